@@ -53,14 +53,27 @@ def sorted_words(df: DataFrame, words: str, dst: str) -> DataFrame:
     return df.withColumn(dst, sorted_text(F.col(words)))
 
 
+def computed_once(df: DataFrame, keep: Iterable[str], **cols: Column) -> DataFrame:
+    """Columns evaluated before anything built on them.
+
+    Spark merges neighbouring projections, which would put a costly expression inside a lambda and run
+    it again for every array element.  A one-element generator keeps the two steps apart.
+    """
+    row = F.struct(*[c.alias(n) for n, c in cols.items()])
+    return df.select(*keep, F.inline(F.array(row)))
+
+
 def ngram_array(arr: Column, n: int) -> Column:
+    """Runs of ``n`` words; ``arr`` should be a stored column, not an expression."""
     last = F.size(arr) - n + 1
     starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(arr, i, n), " "))
+    # Single elements are read in place; a slice would copy the array for every start.
+    return F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(arr, i - 1 + j) for j in range(n)]))
 
 
 def ngrams(df: DataFrame, words: str, n: int, dst: str = "ngrams") -> DataFrame:
-    return df.withColumn(dst, ngram_array(F.col(words), n))
+    kept = [c for c in df.columns if c != words]
+    return computed_once(df, kept, **{words: F.col(words)}).withColumn(dst, ngram_array(F.col(words), n))
 
 
 def usable_phrases(phrases: Iterable[str]) -> list[str]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskfeat.functions.fixed_values import KEPT_SHORT_TOKENS
 from riskfeat.functions.text import (
-    clean, ngram_array, phrase_pattern, remove_stopwords, rules_category, sorted_text, tokens, usable_phrases,
+    clean, computed_once, ngram_array, phrase_pattern, remove_stopwords, rules_category, sorted_text, tokens, usable_phrases,
 )
 from riskfeat.operators.joins import fuzzy_token_pairs
 from riskfeat.operators.rows import first_per_key, top_k_dense
@@ -91,9 +91,9 @@ def phrase_hits(df: DataFrame, col: str, phrases: DataFrame, key: list[str]) ->
     sizes = sorted(r["n"] for r in lengths.collect())
     if not sizes:
         return df.select(*key, F.lit("").alias("phrase")).limit(0)
-    arr = words(F.col(col))
-    runs = F.array_distinct(F.concat(*[ngram_array(arr, n) for n in sizes]))
-    return df.select(*key, F.explode(runs).alias("phrase")).join(clean_phrases, "phrase").select(*key, "phrase").distinct()
+    runs = F.array_distinct(F.concat(*[ngram_array(F.col("_w"), n) for n in sizes]))
+    texts = computed_once(df, key, _w=words(F.col(col)))
+    return texts.select(*key, F.explode(runs).alias("phrase")).join(clean_phrases, "phrase").select(*key, "phrase").distinct()
 
 
 def matched_phrase(df: DataFrame, col: str, phrases: Sequence[str]) -> DataFrame:

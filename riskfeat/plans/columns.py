@@ -416,10 +416,10 @@ def find_all(spark, d):
 
 @query(
     "split_at_word",
-    """SELECT doc_id, CASE WHEN at > 0 THEN substr(text, 1, at - 1) ELSE text END AS before_it,
-              CASE WHEN at > 0 THEN 'the' ELSE '' END AS it, CASE WHEN at > 0 THEN substr(text, at + 3) ELSE '' END AS after_it,
-              CASE WHEN at > 0 THEN substr(text, 1, at - 1) || '|the|' || substr(text, at + 3) ELSE text || '||' END AS joined
-       FROM (SELECT doc_id, text, instr(text, 'the') AS at FROM documents)""",
+    """SELECT doc_id, CASE WHEN hit > 0 THEN substr(text, 1, hit - 1) ELSE text END AS before_it,
+              CASE WHEN hit > 0 THEN 'the' ELSE '' END AS it, CASE WHEN hit > 0 THEN substr(text, hit + 3) ELSE '' END AS after_it,
+              CASE WHEN hit > 0 THEN substr(text, 1, hit - 1) || '|the|' || substr(text, hit + 3) ELSE text || '||' END AS joined
+       FROM (SELECT doc_id, text, instr(text, 'the') AS hit FROM documents)""",
 )
 def split_at_word(spark, d):
     parts = load(spark, d, "documents").select("doc_id", C.split_at("text", "the").alias("p"))
