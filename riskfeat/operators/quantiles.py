@@ -36,6 +36,7 @@ def exact_quantiles(
         tuple(r[k] for k in keys): r["_rows"]
         for r in collect_bounded(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")))
     }
+    sizes = {k: n for k, n in sizes.items() if n}
     if not sizes:
         return {}
     small = [k for k, n in sizes.items() if n <= group_rows]
