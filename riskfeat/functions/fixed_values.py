@@ -78,7 +78,7 @@ OTHER_COUNTERPARTY = "Other"
 # Characters of the text cleaner.
 NOT_LETTER_OR_DIGIT = r"[^A-Za-zÀ-ÿ0-9]+"
 SPELLED_OUT = [("å", "ao"), ("ä", "ae"), ("ö", "oe")]
-WHOLE_NUMBER = "^[0-9]{2,}$"
+WHOLE_NUMBER = "[0-9](?<![^ ][0-9])[0-9]+(?![^ ])"
 
 # Fixed value: probability above which an applicant counts as a defaulter.
 DECISION_LIMIT = 0.4

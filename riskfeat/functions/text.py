@@ -17,8 +17,8 @@ def clean(text: Column) -> Column:
     text = F.regexp_replace(F.lower(text), NOT_LETTER_OR_DIGIT, " ")
     for letter, spelled in SPELLED_OUT:
         text = F.replace(text, F.lit(letter), F.lit(spelled))
-    words = F.filter(F.split(text, " "), lambda w: (w != "") & ~w.rlike(WHOLE_NUMBER))
-    return F.array_join(words, " ")
+    text = F.regexp_replace(text, WHOLE_NUMBER, "")
+    return F.trim(F.regexp_replace(text, "  +", " "))
 
 
 def clean_text(df: DataFrame, src: str, dst: str) -> DataFrame:

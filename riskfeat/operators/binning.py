@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,11 +46,11 @@ def _inner_edge_table(values: DataFrame, keys: list[str], edges: Mapping[Key, li
     return values.sparkSession.createDataFrame([(*k, e[1:-1]) for k, e in edges.items()], schema)
 
 
-def _bin_of(value: Column, inner_edges: Column) -> Column:
-    """Bins (a, b] counted from 0; missing values get -1."""
-    return F.when(value.isNull() | F.isnan(value), MISSING_BIN).otherwise(
-        F.size(F.filter(F.coalesce(inner_edges, F.array().cast("array<double>")), lambda e: value > e))
-    )
+def _edges_passed(value: Column, most: int, passed) -> Column:
+    """How many of the at most ``most`` edges in the column ``_edges`` the value has passed."""
+    hits = [F.when(passed(value, F.get("_edges", F.lit(i))), 1).otherwise(0) for i in range(most)]
+    count = reduce(lambda a, b: a + b, hits, F.lit(0))
+    return F.when(value.isNull() | F.isnan(value), MISSING_BIN).otherwise(count)
 
 
 def quantile_bins(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), cells: int = 10, **limits) -> DataFrame:
@@ -59,10 +60,10 @@ def quantile_bins(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (),
 
 def _binned(values: DataFrame, keys: list[str], cells: int, **limits) -> DataFrame:
     edges = quantile_edges(values, keys, cells, **limits)
-    # One row per feature and segment with at most nine numbers: bounded by the caller's column list.
+    # Bins (a, b] counted from 0.  One row per feature and segment with at most nine numbers: bounded by the caller's column list.
     table = F.broadcast(_inner_edge_table(values, keys, edges).alias("b"))
     joined = values.alias("a").join(table, same(keys), "left")
-    return joined.select("a.*", _bin_of(F.col("value"), F.col("_edges")).alias("bin"))
+    return joined.select("a.*", _edges_passed(F.col("value"), cells - 1, lambda v, e: v > e).alias("bin"))
 
 
 def woe_table(binned: DataFrame, label: str, keys: Sequence[str] = ("feature",), sign: str = "event") -> DataFrame:
@@ -285,9 +286,7 @@ def tree_boundaries(df: DataFrame, cols: Sequence[str], label: str, leaves: int
 def _tree_table(values: DataFrame, keys: list[str], label: str, missing: str, leaves: int = 6, min_share: float = 0.05, **limits) -> DataFrame:
     edges = tree_edges(values, keys, label, leaves, min_share, **limits)
     table = F.broadcast(_inner_edge_table(values, keys, edges).alias("b"))
-    v = F.col("value")
-    inner = F.coalesce(F.col("_edges"), F.array().cast("array<double>"))
-    bin_of = F.when(v.isNull() | F.isnan(v), MISSING_BIN).otherwise(F.size(F.filter(inner, lambda e: v >= e)))
+    bin_of = _edges_passed(F.col("value"), leaves - 1, lambda v, e: v >= e)
     binned = values.alias("a").join(table, same(keys), "left").select("a.*", bin_of.alias("bin"))
     if missing == "drop":
         binned = binned.where(F.col("bin") != MISSING_BIN)

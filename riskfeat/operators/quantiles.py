@@ -24,10 +24,11 @@ def exact_quantiles(
 ) -> dict[Key, dict[float, float]]:
     """Linearly interpolated quantiles of ``value`` per key, nulls and NaN left out.
 
-    Keys name a small set such as features, so the result is a fixed-size array per key.  Groups up
-    to ``group_rows`` rows use Spark's own ``percentile``.  Larger groups are narrowed: approximate
-    cut points bound where each wanted rank lies, exact counts between the cut points follow, and only
-    the intervals holding a wanted rank are looked at again until they are small.
+    Keys name a small set such as features, so the result is a fixed-size array per key.  A group of
+    up to ``group_rows`` rows is reduced to its distinct values, which are then ranked.  A larger group
+    is narrowed first: approximate cut points bound where each wanted rank lies, exact counts between
+    the cut points follow, and only the intervals holding a wanted rank are looked at again until they
+    are small.
     """
     fractions = sorted(set(fractions))
     rows = df.select(*keys, F.col(value).cast("double").alias("_v"))
@@ -35,35 +36,16 @@ def exact_quantiles(
     sizes = {
         tuple(r[k] for k in keys): r["_rows"]
         for r in collect_bounded(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")))
+        if r["_rows"]
     }
-    sizes = {k: n for k, n in sizes.items() if n}
-    if not sizes:
-        return {}
-    small = [k for k, n in sizes.items() if n <= group_rows]
-    large = [k for k, n in sizes.items() if n > group_rows]
-    result: dict[Key, dict[float, float]] = {}
-    if small:
-        part = rows if not large else _restrict(rows, keys, small)
-        agg = part.groupBy(*keys).agg(F.percentile("_v", F.array(*[F.lit(f) for f in fractions])).alias("_q"))
-        for r in collect_bounded(agg):
-            result[tuple(r[k] for k in keys)] = dict(zip(fractions, r["_q"]))
-    if large:
-        result.update(_narrow(rows, keys, {k: sizes[k] for k in large}, fractions, group_rows))
-    return result
+    return _ranked(rows, keys, sizes, fractions, group_rows) if sizes else {}
 
 
 def _key_schema(rows: DataFrame, keys: list[str], extra: list[T.StructField]) -> T.StructType:
     return T.StructType([T.StructField(k, rows.schema[k].dataType, True) for k in keys] + extra)
 
 
-def _restrict(rows: DataFrame, keys: list[str], wanted: list[Key]) -> DataFrame:
-    if not keys:
-        return rows
-    table = rows.sparkSession.createDataFrame(wanted, _key_schema(rows, keys, []))
-    return rows.alias("a").join(F.broadcast(table.alias("b")), same(keys), "left_semi")
-
-
-def _narrow(rows, keys, sizes, fractions, group_rows):
+def _ranked(rows, keys, sizes, fractions, group_rows):
     spark = rows.sparkSession
     dbl = lambda n: T.StructField(n, T.DoubleType(), False)
     wanted = {}
@@ -81,16 +63,14 @@ def _narrow(rows, keys, sizes, fractions, group_rows):
 
     def inside(intervals):
         table = spark.createDataFrame([(*k, i, lo, hi) for i, (k, lo, hi, *_) in enumerate(intervals)], schema)
-        on = same(keys) & (F.col("a._v") > F.col("b._lo")) & (F.col("a._v") < F.col("b._hi"))
-        unbounded = len(intervals) == 1 and not keys and intervals[0][1:3] == (-math.inf, math.inf)
-        if unbounded:
+        if not keys and intervals[0][1:3] == (-math.inf, math.inf):
             return rows.select(F.lit(0).alias("_i"), "_v")
+        above = (F.col("a._v") > F.col("b._lo")) | (F.col("b._lo") == -math.inf)
+        below = (F.col("a._v") < F.col("b._hi")) | (F.col("b._hi") == math.inf)
+        on = same(keys) & above & below
         return rows.alias("a").join(F.broadcast(table.alias("b")), on).select("_i", "_v")
 
     done = []
-    infinities = rows.where(F.abs("_v") == F.lit(math.inf)).limit(1).count() > 0
-    if infinities:
-        raise ValueError("quantiles of infinite values are undefined")
     while active:
         big = [a for a in active if a[4] > group_rows]
         done += [a for a in active if a[4] <= group_rows]

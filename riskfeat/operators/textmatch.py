@@ -17,8 +17,11 @@ from riskfeat.operators.rows import first_per_key, top_k_dense
 PATTERN_PHRASES = 1_000
 
 
-def word_frequency(df: DataFrame, words: str) -> DataFrame:
+def word_frequency(df: DataFrame, words: str, without: Sequence[str] = ()) -> DataFrame:
+    """(word, n), most frequent first, without the listed words."""
     exploded = df.select(F.explode(words).alias("word"))
+    if without:
+        exploded = exploded.where(~F.col("word").isin(sorted(without)))
     return exploded.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word")
 
 
@@ -32,7 +35,9 @@ def token_report(df: DataFrame, words: str, n: str, amount: str) -> DataFrame:
         F.count(F.lit(1)).alias("occurrences"), F.sum(n).alias("n"), F.sum(amount).alias("amount")
     )
     totals = df.agg(F.struct(F.sum(n).alias("n"), F.sum(amount).alias("amount"))).scalar()
-    distinct_tokens = grouped.agg(F.count(F.lit(1)).alias("n")).scalar()
+    # All columns are read here, so that Spark finds the same grouping twice and runs it once.
+    whole = [F.count(F.lit(1)).alias("tokens"), F.sum("occurrences"), F.sum("n"), F.sum("amount")]
+    distinct_tokens = grouped.agg(F.struct(*whole)).scalar().getField("tokens")
 
     def pct(part: Column, whole: Column) -> Column:
         return F.try_divide(part * 100, whole)

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskfeat.runtime import spread
 from riskfeat.sources.tables import parquet_table
 
 
@@ -55,7 +56,7 @@ HOLE = "(l_orderkey + l_linenumber) % 7 = 0"
 
 def with_holes(spark: SparkSession, folder: str) -> DataFrame:
     """lineitem as a feature table: four features, three of them with missing values, label and segment."""
-    return load(spark, folder, "lineitem").selectExpr(
+    return spread(load(spark, folder, "lineitem")).selectExpr(
         "l_orderkey",
         f"CASE WHEN {HOLE} THEN NULL ELSE l_quantity END AS quantity",
         "l_extendedprice AS price",

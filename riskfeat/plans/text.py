@@ -9,6 +9,7 @@ from riskfeat.functions.fixed_values import KEPT_SHORT_TOKENS, PAYEE_RULES, STOP
 from riskfeat.operators import models as M
 from riskfeat.operators import textmatch as T
 from riskfeat.plans.base import load, money, query, r6
+from riskfeat.runtime import spread
 
 
 def quoted(words) -> str:
@@ -31,7 +32,7 @@ WORDS = f"{CLEANED}, w AS (SELECT doc_id, n_chars, {tokens_sql('t')} AS words FR
 
 
 def cleaned(spark, d):
-    return X.clean_text(load(spark, d, "documents").select("doc_id", "n_chars", "text"), "text", "t")
+    return X.clean_text(spread(load(spark, d, "documents").select("doc_id", "n_chars", "text")), "text", "t")
 
 
 def worded(spark, d):
@@ -68,7 +69,7 @@ def remove_stopwords(spark, d):
     f"WITH {WORDS} SELECT word, count(*) AS n FROM (SELECT unnest(list_filter(words, {STOP_SQL})) AS word FROM w) GROUP BY word",
 )
 def word_frequency(spark, d):
-    return T.word_frequency(X.remove_stopwords(worded(spark, d), "words", "kept", STOP_WORDS), "kept")
+    return T.word_frequency(worded(spark, d), "words", STOP_WORDS)
 
 
 REPORT = f"""{WORDS}, p AS (SELECT doc_id % 7 + 1 AS n, n_chars AS vol, words FROM w), e AS (SELECT unnest(words) AS token, n, vol FROM p),

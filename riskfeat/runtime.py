@@ -33,6 +33,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly column work when the input comes in fewer partitions than that.
+
+    A table of some size has more partitions than the cluster has cores, and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
     """True when ``df`` has no more than ``rows`` rows; stops reading just beyond that."""
     return df.limit(rows + 1).count() <= rows
