@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskfeat.runtime import BROADCAST_ROWS, GROUP_ROWS, collect_bounded, cut_lineage, same
+from riskfeat.runtime import GROUP_ROWS, broadcast_if_small, cut_lineage, same
 
 CHUNK = "_chunk"
 TIE = "_tie"
@@ -25,11 +25,12 @@ def _cols(order: Order) -> list[Column]:
 
 
 def _large_groups(df: DataFrame, keys: list[str], group_rows: int) -> tuple[DataFrame | None, int]:
+    """Keys of the groups above the limit, and how many rows these hold together."""
     large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > group_rows)
-    rows = collect_bounded(large, BROADCAST_ROWS)
-    if not rows:
+    n_rows = large.agg(F.sum("_rows")).first()[0]
+    if not n_rows:
         return None, 0
-    return df.sparkSession.createDataFrame(rows, large.schema), sum(r["_rows"] for r in rows)
+    return cut_lineage(large), n_rows
 
 
 def _by_group(
@@ -46,7 +47,7 @@ def _by_group(
         return plain(df, keys, order_cols)
     names = df.columns
     if keys:
-        big = F.broadcast(large.drop("_rows"))
+        big = broadcast_if_small(large.drop("_rows"))
         hot = df.alias("a").join(big.alias("b"), same(keys), "left_semi")
         rest = df.alias("a").join(big.alias("b"), same(keys), "left_anti")
     else:
@@ -83,7 +84,7 @@ def number_rows(
         )
         sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         local = part.withColumn("_rn", F.row_number().over(_window([*ks, CHUNK], cols)))
-        joined = local.alias("a").join(F.broadcast(sizes.alias("b")), same([*ks, CHUNK]))
+        joined = local.alias("a").join(broadcast_if_small(sizes).alias("b"), same([*ks, CHUNK]))
         return joined.select("a.*", (F.col("_rn") + F.col("_before")).alias(out)).drop("_rn")
 
     return _by_group(df, keys, order, group_rows, plain, carried)
@@ -123,7 +124,7 @@ def with_neighbours(
             F.lag("_last").over(across).alias("_before"),
             F.lead("_first").over(across).alias("_after"),
         )
-        joined = local.alias("a").join(F.broadcast(ends.alias("b")), same([*ks, CHUNK]))
+        joined = local.alias("a").join(broadcast_if_small(ends).alias("b"), same([*ks, CHUNK]))
         out = [F.col(f"a.{c}") for c in part.columns]
         if prev:
             out.append(F.coalesce("_p", "_before").alias(prev))
@@ -154,7 +155,7 @@ def running_totals(
         )
         w = _window([*ks, CHUNK], cols).rowsBetween(*up_to_here)
         local = part.withColumns({f"_l_{o}": F.sum(c).over(w) for o, c in sums.items()})
-        joined = local.alias("a").join(F.broadcast(totals.alias("b")), same([*ks, CHUNK]))
+        joined = local.alias("a").join(broadcast_if_small(totals).alias("b"), same([*ks, CHUNK]))
         return joined.select(
             *[F.col(f"a.{c}") for c in part.columns],
             *[(F.col(f"_l_{o}") + F.col(f"_b_{o}")).alias(o) for o in sums],

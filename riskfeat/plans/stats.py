@@ -68,6 +68,15 @@ def drop_duplicate_rows(spark, d):
     return load(spark, d, "customer").select("c_nationkey", "c_mktsegment").dropDuplicates()
 
 
+@query(
+    "first_value_per_group",
+    "SELECT o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS first_order FROM orders GROUP BY o_custkey",
+)
+def first_value_per_group(spark, d):
+    first = F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey"))
+    return load(spark, d, "orders").groupBy("o_custkey").agg(first.alias("first_order"))
+
+
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
