@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -194,7 +195,7 @@ def value_histogram(values: DataFrame, keys: list[str], label: str, group_rows:
     """
     y = F.col(label).cast("int")
     present = values.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    hist = present.groupBy(*keys, "value").agg(F.count_if(y == 0).alias("_g"), F.count_if(y == 1).alias("_b"))
+    hist = cut_lineage(present.groupBy(*keys, "value").agg(F.count_if(y == 0).alias("_g"), F.count_if(y == 1).alias("_b")))
     summed = running_totals(hist, keys, ["value"], {"_cg": "_g", "_cb": "_b"}, group_rows)
     ahead = with_neighbours(summed, keys, ["value"], ["value"], None, "_next", group_rows)
     return cut_lineage(ahead.select(*keys, "value", F.col("_next.value").alias("_next"), "_g", "_b", "_cg", "_cb"))
@@ -208,8 +209,6 @@ def tree_edges(
     Each round looks at the leaves made in the round before, for all keys together, and returns one
     row per leaf: its best cut.  The leaf with the largest gain is cut next.
     """
-    import math
-
     spark = values.sparkSession
     hist = value_histogram(values, keys, label, group_rows)
     ends = hist.groupBy(*keys).agg(
@@ -229,7 +228,7 @@ def tree_edges(
         + [num("_leaf", T.IntegerType()), num("_lo", T.DoubleType()), num("_hi", T.DoubleType())]
         + [num(n, T.LongType()) for n in ("_g0", "_b0", "_lg", "_lb", "_need")]
     )
-    for _round in range(leaves - 1):
+    for _ in range(leaves - 1):
         fresh = [
             (*k, i, leaf["lo"], leaf["hi"], leaf["g0"], leaf["b0"], leaf["g"], leaf["b"], s["need"])
             for k, s in state.items()
