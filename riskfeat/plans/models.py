@@ -265,13 +265,12 @@ def grid_search(spark, d):
 
 @query("prediction_errors")
 def prediction_errors(spark, d):
-    df = features(spark, d).where(F.col("l_orderkey").isNotNull())
-    got = M.fit_dt(df, depth=4).transform(df)
-    # The row id joins predictions back to their source.
-    keyed = got.withColumn("row_id", F.xxhash64("l_orderkey", "quantity", "price", "discount", "tax", "label"))
-    source = keyed.select("row_id", "l_orderkey", "price").dropDuplicates(["row_id"])
-    joined = J.attach_predictions(source, keyed.dropDuplicates(["row_id"]), "row_id", ["label", "prediction"])
-    return J.prediction_errors(joined)
+    orders = load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    level = F.substring("o_orderpriority", 1, 1).cast("double")
+    df = orders.withColumns({"level": level, "label": F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0)})
+    df = P.assemble(df, ["o_totalprice", "level"])
+    predicted = M.fit_dt(df, depth=4).transform(df)
+    return J.prediction_errors(J.attach_predictions(orders, predicted, "o_orderkey", ["label", "prediction"]))
 
 
 @query("model_leaderboard")
