@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +16,55 @@ GROUP_ROWS = 1_000_000
 BROADCAST_ROWS = 100_000
 
 
+_shipped: set[str] = set()
+
+
+def in_one_process(spark: SparkSession) -> bool:
+    """True for local[...] sessions, whose driver and executors are the same process."""
+    return re.match(r"local(\[|$)", spark.sparkContext.master) is not None
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, so that functions run in their Python find it."""
+    sc = spark.sparkContext
+    if in_one_process(spark) or sc.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="riskfeat-ship-"), "riskfeat.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    sc.addPyFile(archive)
+    _shipped.add(sc.applicationId)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared checkpoint folder; it is deleted when the driver's JVM ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return path
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """Write ``df`` to the shared folder as Parquet and read it back: lineage ends there, and a lost
+    executor costs no recomputation."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark, name)}/rows"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Folder for checkpoints: the session's, else a fresh one when Spark runs in one process."""
     sc = spark.sparkContext
@@ -20,7 +73,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
+        if not in_one_process(spark):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         configured = tempfile.mkdtemp(prefix="riskfeat-checkpoint-")
     sc.setCheckpointDir(configured)
