@@ -27,7 +27,7 @@ def in_one_process(spark: SparkSession) -> bool:
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, so that functions run in their Python find it."""
     sc = spark.sparkContext
-    if in_one_process(spark) or sc.applicationId in _shipped:
+    if sc.applicationId in _shipped:
         return
     package = os.path.dirname(os.path.abspath(__file__))
     archive = os.path.join(tempfile.mkdtemp(prefix="riskfeat-ship-"), "riskfeat.zip")
