@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from riskfeat.llm import mixing, token_files
+from riskfeat.llm import decontaminate, mixing, token_files
 from riskfeat.llm.base import load, query
 from riskfeat.runtime import shared_folder
 
@@ -48,3 +46,31 @@ SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM ch
 @query("op2_mix_sources", MIX_SQL)
 def op2_mix_sources(spark, d):
     return mixing.mix(load(spark, d, "documents"))
+
+
+LEAK_SQL = r"""WITH doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+item AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+item_window AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[k:k + least(len(w), 10) - 1], ' ') AS phrase
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM item WHERE len(w) > 0)),
+doc_window AS (
+  SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS phrase
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM doc, (SELECT DISTINCT n FROM item_window) WHERE len(w) >= n)),
+hit AS (SELECT d.doc_id, d.k, d.n, i.item_id FROM doc_window d JOIN item_window i ON d.n = i.n AND d.phrase = i.phrase),
+hit_words AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hit) GROUP BY doc_id),
+hit_items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit, coalesce(i.n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM doc d LEFT JOIN hit_words h ON d.doc_id = h.doc_id LEFT JOIN hit_items i ON d.doc_id = i.doc_id"""
+
+
+@query("op8_decontaminate", LEAK_SQL)
+def op8_decontaminate(spark, d):
+    return decontaminate.contamination(load(spark, d, "documents"), load(spark, d, "benchmark"))

@@ -112,5 +112,5 @@ def byte_class(*ranges: tuple[int, int], inverted: bool = False) -> np.ndarray:
 
 #: Runs of anything but blank, tab and the line ends.
 NOT_BLANK = byte_class((0x20, 0x20), (0x09, 0x0D), inverted=True)
-#: Runs of ASCII digits and letters and of everything beyond ASCII.
-ALPHANUMERIC = byte_class((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F), inverted=True)
+#: Runs of ASCII digits and letters (A-Z already lowered) and of everything beyond ASCII.
+ALPHANUMERIC = byte_class((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F), inverted=True)
