@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -69,11 +69,13 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of a slice of texts: ``doc`` and ``start``/``end`` byte per word, in order, and ``hash``.
 
-    ``is_word`` tells for each byte value whether it belongs to a word; A-Z count as a-z.
+    ``is_word`` tells for each byte value whether it belongs to a word; A-Z count as a-z.  ``raw`` holds
+    the slice's bytes as they are.
     """
 
     def __init__(self, texts: pa.Array, is_word: np.ndarray) -> None:
         raw, at = text_bytes(texts)
+        self.raw = raw
         self.n_docs = len(texts)
         n = len(raw)
         inside = is_word[raw]
@@ -92,16 +94,21 @@ class Words:
         self.doc = np.searchsorted(at, self.start, side="right") - 1
         #: Index of each text's first word; one entry more than texts.
         self.bounds = np.searchsorted(self.start, at)
-        lower = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint64)
-        room = _room(n)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((lower + U(1)) * _powers(BASE, room)[:n], out=sums[1:])
-        h = (sums[self.end] - sums[self.start]) * _powers(BASE_INVERSE, room)[self.start]
-        self.hash = mix(h ^ (self.end - self.start).astype(np.uint64))
+        self._room = _room(n)
+        values = np.where((raw >= 65) & (raw <= 90), raw + 33, raw + 1).astype(np.uint64)
+        values *= _powers(BASE, self._room)[:n]
+        self._sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(values, out=self._sums[1:])
+        self.hash = self.hash_spans(self.start, self.end)
 
     def __len__(self) -> int:
         return len(self.start)
 
+    def hash_spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of byte spans, A-Z lowered; equal strings have equal hashes."""
+        h = (self._sums[end] - self._sums[start]) * _powers(BASE_INVERSE, self._room)[start]
+        return mix(h ^ (end - start).astype(np.uint64))
+
 
 def byte_class(*ranges: tuple[int, int], inverted: bool = False) -> np.ndarray:
     table = np.zeros(256, bool)
