@@ -172,7 +172,7 @@ def iv_sweep(
     values = _sweep_values(df, cols, label, segment, fills, numeric, **limits)
     if method == "quantile":
         return total_iv(woe_table(_binned(values, keys, cells, **limits), label, keys), keys)
-    return total_iv(_tree_table(values, keys, label, missing="bin", **limits), keys)
+    return total_iv(_tree_table(values, keys, label, missing="bin"), keys)
 
 
 # --- entropy bins -----------------------------------------------------------------------------
@@ -188,7 +188,7 @@ def _nh(good: Column, bad: Column) -> Column:
     return -(part(good) + part(bad))
 
 
-def value_histogram(values: DataFrame, keys: list[str], label: str, group_rows: int = GROUP_ROWS) -> DataFrame:
+def value_histogram(values: DataFrame, keys: list[str], label: str) -> DataFrame:
     """Distinct values per key with the good and bad rows up to each, and the next value.
 
     Computed and stored once; every split of every leaf is then plain arithmetic on it.
@@ -196,13 +196,13 @@ def value_histogram(values: DataFrame, keys: list[str], label: str, group_rows:
     y = F.col(label).cast("int")
     present = values.where(F.col("value").isNotNull() & ~F.isnan("value"))
     hist = cut_lineage(present.groupBy(*keys, "value").agg(F.count_if(y == 0).alias("_g"), F.count_if(y == 1).alias("_b")))
-    summed = running_totals(hist, keys, ["value"], {"_cg": "_g", "_cb": "_b"}, group_rows)
-    ahead = with_neighbours(summed, keys, ["value"], ["value"], None, "_next", group_rows)
+    summed = running_totals(hist, keys, ["value"], {"_cg": "_g", "_cb": "_b"})
+    ahead = with_neighbours(summed, keys, ["value"], ["value"], None, "_next")
     return cut_lineage(ahead.select(*keys, "value", F.col("_next.value").alias("_next"), "_g", "_b", "_cg", "_cb"))
 
 
 def tree_edges(
-    values: DataFrame, keys: list[str], label: str, leaves: int = 6, min_share: float = 0.05, group_rows: int = GROUP_ROWS
+    values: DataFrame, keys: list[str], label: str, leaves: int = 6, min_share: float = 0.05
 ) -> dict[Key, list[float]]:
     """Bin edges per key from a best-first entropy tree over one feature.
 
@@ -210,7 +210,7 @@ def tree_edges(
     row per leaf: its best cut.  The leaf with the largest gain is cut next.
     """
     spark = values.sparkSession
-    hist = value_histogram(values, keys, label, group_rows)
+    hist = value_histogram(values, keys, label)
     ends = hist.groupBy(*keys).agg(
         F.min("value").alias("lo"), F.max("value").alias("hi"), F.max("_cg").alias("g"), F.max("_cb").alias("b")
     )
@@ -275,15 +275,15 @@ def tree_edges(
     return {k: sorted({s["min"], *s["cuts"], s["max"] + 0.1}) for k, s in state.items()}
 
 
-def tree_boundaries(df: DataFrame, cols: Sequence[str], label: str, leaves: int = 6, min_share: float = 0.05, **limits) -> DataFrame:
+def tree_boundaries(df: DataFrame, cols: Sequence[str], label: str, leaves: int = 6, min_share: float = 0.05) -> DataFrame:
     """(feature, edges) with bins [a, b)."""
     values = long_features(df, [label], cols)
-    edges = tree_edges(values, ["feature"], label, leaves, min_share, **limits)
+    edges = tree_edges(values, ["feature"], label, leaves, min_share)
     return df.sparkSession.createDataFrame([(k[0], e) for k, e in edges.items()], "feature string, edges array<double>")
 
 
-def _tree_table(values: DataFrame, keys: list[str], label: str, missing: str, leaves: int = 6, min_share: float = 0.05, **limits) -> DataFrame:
-    edges = tree_edges(values, keys, label, leaves, min_share, **limits)
+def _tree_table(values: DataFrame, keys: list[str], label: str, missing: str, leaves: int = 6, min_share: float = 0.05) -> DataFrame:
+    edges = tree_edges(values, keys, label, leaves, min_share)
     table = F.broadcast(_inner_edge_table(values, keys, edges).alias("b"))
     bin_of = _edges_passed(F.col("value"), leaves - 1, lambda v, e: v >= e)
     binned = values.alias("a").join(table, same(keys), "left").select("a.*", bin_of.alias("bin"))
@@ -293,10 +293,10 @@ def _tree_table(values: DataFrame, keys: list[str], label: str, missing: str, le
 
 
 def tree_woe(
-    df: DataFrame, cols: Sequence[str], label: str, missing: str = "drop", leaves: int = 6, min_share: float = 0.05, **limits
+    df: DataFrame, cols: Sequence[str], label: str, missing: str = "drop", leaves: int = 6, min_share: float = 0.05
 ) -> DataFrame:
     """Good/bad table over entropy bins; nulls are left out, or are their own bin -1 with missing="bin"."""
-    t = _tree_table(long_features(df, [label], cols), ["feature"], label, missing, leaves, min_share, **limits)
+    t = _tree_table(long_features(df, [label], cols), ["feature"], label, missing, leaves, min_share)
     per = t.groupBy("feature").agg(F.sum("total").alias("_t"))
     return t.join(per, "feature").select(
         "feature", "bin", (F.col("total") - F.col("events")).alias("good"), F.col("events").alias("bad"), "total",

@@ -23,7 +23,7 @@ from riskfeat.functions.columns import cast_columns, flag, sentinel_to_null
 from riskfeat.functions.fixed_values import DECISION_LIMIT, STOP_WORDS
 from riskfeat.operators import sampling
 from riskfeat.operators.ordered import running_totals
-from riskfeat.runtime import GROUP_ROWS, collect_bounded
+from riskfeat.runtime import collect_bounded
 from riskfeat.sources.sinks import publish_ctas
 
 
@@ -149,9 +149,9 @@ def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
     )
 
 
-def curve_counts(df: DataFrame, label: str, score: str, group_rows: int = GROUP_ROWS) -> DataFrame:
+def curve_counts(df: DataFrame, label: str, score: str) -> DataFrame:
     """(score, pos, neg, tp, fp): true and false positives when everything from this score up is chosen."""
-    return running_totals(score_counts(df, label, score), [], [F.desc("score")], {"tp": "pos", "fp": "neg"}, group_rows)
+    return running_totals(score_counts(df, label, score), [], [F.desc("score")], {"tp": "pos", "fp": "neg"})
 
 
 def _with_totals(points: DataFrame) -> DataFrame:
@@ -159,21 +159,21 @@ def _with_totals(points: DataFrame) -> DataFrame:
     return points.withColumns({"_p": whole.getField("p"), "_n": whole.getField("n")})
 
 
-def roc_points(df: DataFrame, label: str, score: str, **limits) -> DataFrame:
+def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
     """(score, fpr, tpr), one point per distinct score."""
-    points = _with_totals(curve_counts(df, label, score, **limits))
+    points = _with_totals(curve_counts(df, label, score))
     return points.select("score", F.try_divide("fp", "_n").alias("fpr"), F.try_divide("tp", "_p").alias("tpr"))
 
 
-def pr_points(df: DataFrame, label: str, score: str, **limits) -> DataFrame:
+def pr_points(df: DataFrame, label: str, score: str) -> DataFrame:
     """(score, recall, precision)."""
-    points = _with_totals(curve_counts(df, label, score, **limits))
+    points = _with_totals(curve_counts(df, label, score))
     return points.select("score", F.try_divide("tp", "_p").alias("recall"), F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"))
 
 
-def auc(df: DataFrame, label: str, score: str, **limits) -> DataFrame:
+def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """(roc, pr): area under the ROC curve with half credit for ties, and average precision."""
-    points = _with_totals(curve_counts(df, label, score, **limits))
+    points = _with_totals(curve_counts(df, label, score))
     tp_before = F.col("tp") - F.col("pos")
     half = F.col("neg") * (tp_before + F.col("pos") / 2)
     step = F.col("pos") * F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp"))

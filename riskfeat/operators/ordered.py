@@ -1,164 +1,95 @@
 """Ordered computations per group that survive one group holding most of the rows.
 
-A window function sends a whole group to one task.  Groups up to ``group_rows`` rows are left to an
-ordinary window.  Larger groups are range-partitioned on (keys, order), so that one group spans many
-tasks; the window then runs per (keys, chunk), and one small row per chunk carries the result over
-the chunk borders.
+All rows are range-partitioned on (keys, order) and stored once, so one group may span many chunks.
+Windows then run per (keys, chunk).  At most one group enters a chunk from the chunk before it, so what
+is carried over the borders is at most one small row per chunk, whatever the number of groups.
+
+Rows that tie in the stated order are taken in the order of a hash of their columns.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskfeat.runtime import GROUP_ROWS, broadcast_if_small, cut_lineage, same
+from riskfeat.runtime import same, stored
 
 CHUNK = "_chunk"
 TIE = "_tie"
 Order = Sequence["str | Column"]
+UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
+ALL_BEFORE = (Window.unboundedPreceding, -1)
 
 
 def _cols(order: Order) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
 
-def _large_groups(df: DataFrame, keys: list[str], group_rows: int) -> tuple[DataFrame | None, int]:
-    """Keys of the groups above the limit, and how many rows these hold together."""
-    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > group_rows)
-    n_rows = large.agg(F.sum("_rows")).first()[0]
-    if not n_rows:
-        return None, 0
-    return cut_lineage(large), n_rows
+def _chunked(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """``df`` in range order with the number of each row's chunk, stored."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tied = df.withColumn(TIE, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    ranged = tied.repartitionByRange(n, *[F.col(f"`{k}`") for k in keys], *order, F.col(TIE))
+    return stored(ranged.withColumn(CHUNK, F.spark_partition_id()), "ordered")
 
 
-def _by_group(
-    df: DataFrame,
-    keys: list[str],
-    order: Order,
-    group_rows: int,
-    plain: Callable[[DataFrame, list[str], list[Column]], DataFrame],
-    carried: Callable[[DataFrame, list[str], list[Column]], DataFrame],
-) -> DataFrame:
-    large, n_rows = _large_groups(df, keys, group_rows)
-    order_cols = _cols(order)
-    if large is None:
-        return plain(df, keys, order_cols)
-    names = df.columns
-    if keys:
-        big = broadcast_if_small(large.drop("_rows"))
-        hot = df.alias("a").join(big.alias("b"), same(keys), "left_semi")
-        rest = df.alias("a").join(big.alias("b"), same(keys), "left_anti")
-    else:
-        hot, rest = df, None
-    # The tie value is stored before it takes part in the partitioning, so a re-run task cannot
-    # move a row to another range.
-    hot = cut_lineage(hot.withColumn(TIE, F.rand(17)))
-    parts = -(-n_rows // group_rows)
-    full_order = [*order_cols, F.col(TIE)]
-    ranged = hot.repartitionByRange(parts, *[F.col(k) for k in keys], *full_order)
-    ranged = cut_lineage(ranged.withColumn(CHUNK, F.spark_partition_id()))
-    done = carried(ranged, keys, full_order)
-    new = [c for c in done.columns if c not in (*names, CHUNK, TIE)]
-    done = done.select(*names, *new)
-    return done if rest is None else done.unionByName(plain(rest, keys, order_cols))
-
-
-def _window(keys: list[str], order: list[Column]):
-    return Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
-
-
-def number_rows(
-    df: DataFrame, keys: list[str], order: Order, out: str, group_rows: int = GROUP_ROWS
-) -> DataFrame:
-    """1, 2, 3 … per group in the stated order; with no keys, over the whole table."""
+def _in_chunk(keys: list[str], order: list[Column]):
+    return Window.partitionBy(*keys, CHUNK).orderBy(*order, TIE)
+
 
-    def plain(part, ks, cols):
-        return part.withColumn(out, F.row_number().over(_window(ks, cols)).cast("bigint"))
+def _over_chunks(keys: list[str]):
+    return Window.partitionBy(*(keys or [F.lit(0)])).orderBy(CHUNK)
 
-    def carried(part, ks, cols):
-        sizes = part.groupBy(*ks, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
-        before = Window.partitionBy(*(ks or [F.lit(0)])).orderBy(CHUNK).rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        local = part.withColumn("_rn", F.row_number().over(_window([*ks, CHUNK], cols)))
-        joined = local.alias("a").join(broadcast_if_small(sizes).alias("b"), same([*ks, CHUNK]))
-        return joined.select("a.*", (F.col("_rn") + F.col("_before")).alias(out)).drop("_rn")
 
-    return _by_group(df, keys, order, group_rows, plain, carried)
+def _with_carry(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
+    # Only groups that go on from another chunk are carried: at most one or two rows per chunk.
+    return rows.alias("a").join(F.broadcast(carry).alias("b"), same([*keys, CHUNK]), "left")
+
+
+def running_totals(df: DataFrame, keys: list[str], order: Order, sums: dict[str, str | Column]) -> DataFrame:
+    """Running sums per group, the row itself included.  ``sums`` maps new name to what is summed."""
+    cols = _cols(order)
+    names = df.columns
+    rows = _chunked(df, keys, cols)
+    totals = rows.groupBy(*keys, CHUNK).agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
+    before = _over_chunks(keys).rowsBetween(*ALL_BEFORE)
+    carry = totals.select(
+        *keys, CHUNK, F.row_number().over(_over_chunks(keys)).alias("_nth"), *[F.sum(f"_t_{o}").over(before).alias(f"_b_{o}") for o in sums]
+    ).where(F.col("_nth") > 1)
+    w = _in_chunk(keys, cols).rowsBetween(*UP_TO_HERE)
+    local = rows.withColumns({f"_l_{o}": F.sum(c).over(w) for o, c in sums.items()})
+    total = [F.when(F.col(f"_b_{o}").isNull(), F.col(f"_l_{o}")).otherwise(F.coalesce(F.col(f"_l_{o}") + F.col(f"_b_{o}"), F.col(f"_b_{o}"))).alias(o) for o in sums]
+    return _with_carry(local, carry, keys).select(*[F.col(f"a.`{c}`") for c in names], *total)
+
+
+def number_rows(df: DataFrame, keys: list[str], order: Order, out: str) -> DataFrame:
+    """1, 2, 3 … per group in the stated order; with no keys, over the whole table."""
+    return running_totals(df, keys, order, {out: F.lit(1).cast("bigint")})
 
 
 def with_neighbours(
-    df: DataFrame,
-    keys: list[str],
-    order: Order,
-    cols: list[str],
-    prev: str | None = "prev",
-    nxt: str | None = "next",
-    group_rows: int = GROUP_ROWS,
+    df: DataFrame, keys: list[str], order: Order, cols: list[str], prev: str | None = "prev", nxt: str | None = "next"
 ) -> DataFrame:
     """Add the previous and the next row of the group as structs of ``cols`` (null at the ends)."""
-    payload = F.struct(*[F.col(c) for c in cols])
-    wanted = [(prev, F.lag), (nxt, F.lead)]
-
-    def plain(part, ks, order_cols):
-        w = _window(ks, order_cols)
-        return part.withColumns({name: fn(payload).over(w) for name, fn in wanted if name})
-
-    def carried(part, ks, order_cols):
-        w = _window([*ks, CHUNK], order_cols)
-        local = part.withColumn("_me", payload).withColumns(
-            {"_p": F.lag(payload).over(w), "_n": F.lead(payload).over(w)}
-        )
-        edge = local.where(F.col("_p").isNull() | F.col("_n").isNull())
-        ends = edge.groupBy(*ks, CHUNK).agg(
-            F.first(F.when(F.col("_p").isNull(), F.col("_me")), ignorenulls=True).alias("_first"),
-            F.first(F.when(F.col("_n").isNull(), F.col("_me")), ignorenulls=True).alias("_last"),
-        )
-        across = Window.partitionBy(*(ks or [F.lit(0)])).orderBy(CHUNK)
-        ends = ends.select(
-            *ks,
-            CHUNK,
-            F.lag("_last").over(across).alias("_before"),
-            F.lead("_first").over(across).alias("_after"),
-        )
-        joined = local.alias("a").join(broadcast_if_small(ends).alias("b"), same([*ks, CHUNK]))
-        out = [F.col(f"a.{c}") for c in part.columns]
-        if prev:
-            out.append(F.coalesce("_p", "_before").alias(prev))
-        if nxt:
-            out.append(F.coalesce("_n", "_after").alias(nxt))
-        return joined.select(*out)
-
-    return _by_group(df, keys, order, group_rows, plain, carried)
-
-
-def running_totals(
-    df: DataFrame, keys: list[str], order: Order, sums: dict[str, str], group_rows: int = GROUP_ROWS
-) -> DataFrame:
-    """Running sums per group, the row itself included.  ``sums`` maps new name to source column."""
-    up_to_here = (Window.unboundedPreceding, Window.currentRow)
-
-    def plain(part, ks, cols):
-        w = _window(ks, cols).rowsBetween(*up_to_here)
-        return part.withColumns({o: F.sum(c).over(w) for o, c in sums.items()})
-
-    def carried(part, ks, cols):
-        totals = part.groupBy(*ks, CHUNK).agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
-        before = Window.partitionBy(*(ks or [F.lit(0)])).orderBy(CHUNK).rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        totals = totals.select(
-            *ks, CHUNK, *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_b_{o}") for o in sums]
-        )
-        w = _window([*ks, CHUNK], cols).rowsBetween(*up_to_here)
-        local = part.withColumns({f"_l_{o}": F.sum(c).over(w) for o, c in sums.items()})
-        joined = local.alias("a").join(broadcast_if_small(totals).alias("b"), same([*ks, CHUNK]))
-        return joined.select(
-            *[F.col(f"a.{c}") for c in part.columns],
-            *[(F.col(f"_l_{o}") + F.col(f"_b_{o}")).alias(o) for o in sums],
-        )
-
-    return _by_group(df, keys, order, group_rows, plain, carried)
+    order_cols = _cols(order)
+    names = df.columns
+    me = F.struct(*[F.col(c) for c in cols])
+    rows = _chunked(df, keys, order_cols)
+    w = _in_chunk(keys, order_cols)
+    local = rows.withColumns({"_p": F.lag(me).over(w), "_n": F.lead(me).over(w)})
+    ends = local.where(F.col("_p").isNull() | F.col("_n").isNull()).withColumn("_me", me).groupBy(*keys, CHUNK).agg(
+        F.first(F.when(F.col("_p").isNull(), F.col("_me")), ignorenulls=True).alias("_first"),
+        F.first(F.when(F.col("_n").isNull(), F.col("_me")), ignorenulls=True).alias("_last"),
+    )
+    across = _over_chunks(keys)
+    carry = ends.select(
+        *keys, CHUNK, F.lag("_last").over(across).alias("_before"), F.lead("_first").over(across).alias("_after")
+    ).where(F.col("_before").isNotNull() | F.col("_after").isNotNull())
+    out = [F.col(f"a.`{c}`") for c in names]
+    if prev:
+        out.append(F.coalesce("_p", "_before").alias(prev))
+    if nxt:
+        out.append(F.coalesce("_n", "_after").alias(nxt))
+    return _with_carry(local, carry, keys).select(*out)

@@ -49,7 +49,6 @@ def offset_pairs(
     row_id: str,
     out: str = "sum_check",
     largest_first: bool = False,
-    **limits,
 ) -> DataFrame:
     """0, 1 or 2: how many of the party's neighbouring rows carry the opposite amount on the same date.
 
@@ -59,9 +58,7 @@ def offset_pairs(
     """
     keys = [party, date] + ([type_col] if type_col else [])
     by_amount = F.desc(amount) if largest_first else F.asc(amount)
-    near = with_neighbours(
-        df, keys, [F.abs(F.col(amount)), by_amount, F.col(row_id)], [amount], "_prev", "_next", **limits
-    )
+    near = with_neighbours(df, keys, [F.abs(F.col(amount)), by_amount, F.col(row_id)], [amount], "_prev", "_next")
 
     known = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
 

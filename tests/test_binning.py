@@ -99,10 +99,9 @@ def greedy_tree(x, y, leaves, share):
     return sorted({x.min(), *cuts, x.max() + 0.1})
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 90])
-def test_tree_edges_equal_direct_tree(spark, data, limit):
+def test_tree_edges_equal_direct_tree(spark, data):
     cols, label = data
-    got = {r["feature"]: r["edges"] for r in B.tree_boundaries(make(spark, cols, label), list(cols), "label", group_rows=limit).collect()}
+    got = {r["feature"]: r["edges"] for r in B.tree_boundaries(make(spark, cols, label), list(cols), "label").collect()}
     for c in ("x", "gaps", "zeros", "constant"):
         v = np.array(cols[c], dtype=float)
         ok = ~np.isnan(v)
