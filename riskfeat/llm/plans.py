@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskfeat.llm import decontaminate, mixing, token_files
+from riskfeat.llm import decontaminate, mixing, token_files, warc
 from riskfeat.llm.base import load, query
 from riskfeat.runtime import shared_folder
 
@@ -74,3 +74,19 @@ FROM doc d LEFT JOIN hit_words h ON d.doc_id = h.doc_id LEFT JOIN hit_items i ON
 @query("op8_decontaminate", LEAK_SQL)
 def op8_decontaminate(spark, d):
     return decontaminate.contamination(load(spark, d, "documents"), load(spark, d, "benchmark"))
+
+
+WARC_SQL = """WITH page AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+winner AS (SELECT payload_digest, max(page_id) AS winner FROM page WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+  CASE WHEN w.winner <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN w.winner <> p.page_id THEN w.winner END AS refers_to
+FROM page p LEFT JOIN winner w ON p.payload_digest = w.payload_digest"""
+
+
+@query("op10_warc", WARC_SQL)
+def op10_warc(spark, d):
+    folder = shared_folder(spark, "warc")
+    warc.write(load(spark, d, "pages"), folder)
+    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
