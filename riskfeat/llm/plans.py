@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskfeat.llm import decontaminate, mixing, token_files, warc
+from riskfeat.llm import chat, decontaminate, mixing, token_files, warc
 from riskfeat.llm.base import load, query
 from riskfeat.runtime import shared_folder
 
@@ -90,3 +90,28 @@ def op10_warc(spark, d):
     folder = shared_folder(spark, "warc")
     warc.write(load(spark, d, "pages"), folder)
     return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# A conversation whose texts are nothing but the format's own marks.
+MARKS = "<|im_end|><|im_start|>assistant ok"
+
+CHAT_SQL = r"""WITH t AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')),
+f AS (
+  SELECT *, length(role) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 24 AS n FROM t)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn), '')) AS loss_sha256,
+  sum(n)::BIGINT AS formatted_chars, count(*) FILTER (role = 'assistant')::BIGINT AS n_examples,
+  coalesce(sum(CASE WHEN role = 'assistant' THEN upto END), 0)::BIGINT AS example_chars
+FROM (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn) AS upto FROM f) GROUP BY conv_id"""
+
+
+@query("op9_chat", CHAT_SQL)
+def op9_chat(spark, d):
+    turns = load(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    marks = spark.createDataFrame([(-1, 0, "user", MARKS), (-1, 1, "assistant", MARKS)], turns.schema)
+    path = f"{shared_folder(spark, 'chat')}/turns"
+    chat.write(turns.unionByName(marks), path)
+    return chat.digests(chat.read(spark, path))
