@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskfeat.llm import chat, decontaminate, mixing, token_files, warc
+from riskfeat.llm import chat, decontaminate, fingerprints, mixing, token_files, warc
 from riskfeat.llm.base import load, query
 from riskfeat.runtime import shared_folder
 
@@ -115,3 +115,8 @@ def op9_chat(spark, d):
     path = f"{shared_folder(spark, 'chat')}/turns"
     chat.write(turns.unionByName(marks), path)
     return chat.digests(chat.read(spark, path))
+
+
+@query("op4_fingerprints")
+def op4_fingerprints(spark, d):
+    return fingerprints.fingerprints(load(spark, d, "documents"))
