@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskfeat.llm import chat, decontaminate, fingerprints, mixing, token_files, warc
+from riskfeat.llm import chat, decontaminate, fingerprints, language, mixing, quality, token_files, warc
 from riskfeat.llm.base import load, query
 from riskfeat.runtime import shared_folder
 
@@ -120,3 +120,13 @@ def op9_chat(spark, d):
 @query("op4_fingerprints")
 def op4_fingerprints(spark, d):
     return fingerprints.fingerprints(load(spark, d, "documents"))
+
+
+@query("op3_language")
+def op3_language(spark, d):
+    return language.identify(load(spark, d, "documents"), language.held_out(2, 4))
+
+
+@query("op5_quality")
+def op5_quality(spark, d):
+    return quality.classify(load(spark, d, "documents"), load(spark, d, "labels"), language.held_out(0, 5))
