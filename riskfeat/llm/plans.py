@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskfeat.llm import chat, decontaminate, fingerprints, language, mixing, quality, token_files, warc
+from riskfeat.llm import chat, decontaminate, fingerprints, jaccard, language, mixing, quality, token_files, warc
 from riskfeat.llm.base import load, query
 from riskfeat.runtime import shared_folder
 
@@ -130,3 +130,23 @@ def op3_language(spark, d):
 @query("op5_quality")
 def op5_quality(spark, d):
     return quality.classify(load(spark, d, "documents"), load(spark, d, "labels"), language.held_out(0, 5))
+
+
+JACCARD_SQL = r"""WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+link AS (
+  SELECT a, b FROM common JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 75 * (x.n + y.n - c)),
+reach AS (SELECT doc_id, doc_id AS other FROM n UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON r.other = l.a)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(min(r.other), w.doc_id) AS component_id
+FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN reach r ON w.doc_id = r.doc_id GROUP BY w.doc_id, n.n"""
+
+
+@query("op7_jaccard_join", JACCARD_SQL)
+def op7_jaccard_join(spark, d):
+    return jaccard.joined(load(spark, d, "documents"))
