@@ -17,6 +17,7 @@ BROADCAST_ROWS = 100_000
 
 
 _shipped: set[str] = set()
+_folders: list[str] = []
 
 
 def in_one_process(spark: SparkSession) -> bool:
@@ -48,9 +49,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     files.mkdirs(at)
     files.deleteOnExit(at)
+    _folders.append(path)
     return path
 
 
+def new_folders(since: int = 0) -> list[str]:
+    """Shared folders made by this process, in order, from the given number on."""
+    return _folders[since:]
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
