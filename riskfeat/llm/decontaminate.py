@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskfeat.llm.words import ALPHANUMERIC, Words, byte_lengths, slices
-from riskfeat.runtime import shared_folder
+from riskfeat.runtime import broadcast_if_small, shared_folder, stored
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
@@ -36,8 +36,8 @@ GAP = 64
 #: The row of a shard that lists its documents instead of the positions of a word.
 DOCUMENTS = -1
 
-INDEX_SCHEMA = "shard bigint, term bigint, n bigint, width int, gaps binary, doc_ids array<bigint>, n_words array<bigint>"
-HITS_SCHEMA = "shard bigint, place bigint, doc_id bigint, n_words bigint, hits array<bigint>, items array<string>"
+INDEX_SCHEMA = "shard bigint, term bigint, n bigint, width int, gaps binary, doc_ids array<bigint>, n_words array<bigint>, text_keys array<bigint>"
+HITS_SCHEMA = "shard bigint, place bigint, doc_id bigint, text_key bigint, n_words bigint, hits array<bigint>, items array<string>"
 
 
 def _packed(positions: np.ndarray) -> tuple[int, bytes]:
@@ -51,7 +51,7 @@ def _unpacked(width: int, gaps: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(gaps, dtype=f"<u{width}"), dtype=np.int64)
 
 
-def _index_slice(ids: pa.Array, texts: pa.Array, terms: np.ndarray, shard: int) -> pa.RecordBatch:
+def _index_slice(ids: pa.Array, keys: pa.Array, texts: pa.Array, terms: np.ndarray, shard: int) -> pa.RecordBatch:
     words = Words(texts, ALPHANUMERIC)
     n_words = np.diff(words.bounds)
     first = np.cumsum(n_words + GAP) - (n_words + GAP)
@@ -66,6 +66,7 @@ def _index_slice(ids: pa.Array, texts: pa.Array, terms: np.ndarray, shard: int)
     k = len(lists)
     docs = pa.array([None] * k + [ids.to_pylist()], pa.list_(pa.int64()))
     counts = pa.array([None] * k + [n_words.tolist()], pa.list_(pa.int64()))
+    text_keys = pa.array([None] * k + [keys.to_pylist()], pa.list_(pa.int64()))
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.full(k + 1, shard)),
@@ -75,8 +76,9 @@ def _index_slice(ids: pa.Array, texts: pa.Array, terms: np.ndarray, shard: int)
             pa.array([*(b for _, b in packed), None], pa.binary()),
             docs,
             counts,
+            text_keys,
         ],
-        ["shard", "term", "n", "width", "gaps", "doc_ids", "n_words"],
+        ["shard", "term", "n", "width", "gaps", "doc_ids", "n_words", "text_keys"],
     )
 
 
@@ -86,7 +88,7 @@ def _indexer(terms: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator
         for batch in batches:
             texts = batch.column("text").fill_null("")
             for lo, hi in slices(texts, SHARD_BYTES):
-                yield _index_slice(batch.column("doc_id").slice(lo, hi - lo), texts.slice(lo, hi - lo), terms, shard)
+                yield _index_slice(batch.column("doc_id").slice(lo, hi - lo), batch.column("text_key").slice(lo, hi - lo), texts.slice(lo, hi - lo), terms, shard)
                 shard += 1
 
     return run
@@ -111,7 +113,7 @@ class Phrases:
 
 def build(docs: DataFrame, path: str, terms: np.ndarray) -> None:
     """Store the positions of ``terms`` (sorted word hashes) in ``docs`` (doc_id, text)."""
-    index = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_indexer(terms), INDEX_SCHEMA)
+    index = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(_indexer(terms), INDEX_SCHEMA)
     index.write.option("compression", "zstd").parquet(path)
 
 
@@ -154,7 +156,7 @@ def _search_shard(part: pd.DataFrame, phrases: Phrases, slop: int) -> pd.DataFra
             items.setdefault(place, set()).update(owners)
     n = len(n_words)
     return pd.DataFrame({
-        "shard": listing["shard"], "place": range(n), "doc_id": pd.array(list(ids), dtype="Int64"), "n_words": n_words,
+        "shard": listing["shard"], "place": range(n), "doc_id": pd.array(list(ids), dtype="Int64"), "text_key": np.asarray(listing["text_keys"], dtype=np.int64), "n_words": n_words,
         "hits": [hits.get(i, []) for i in range(n)], "items": [sorted(items.get(i, ())) for i in range(n)],
     })
 
@@ -190,7 +192,7 @@ def _report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             n_items.append(len(own))
             digest.append(hashlib.sha256(",".join(own).encode()).hexdigest())
         yield pd.DataFrame({
-            "doc_id": b["doc_id"].astype("Int64"), "n_words": b["n_words"], "n_hit": n_hit, "n_items": n_items,
+            "doc_id": b["doc_id"].astype("Int64"), "text_key": b["text_key"], "n_words": b["n_words"], "n_hit": n_hit, "n_items": n_items,
             "items_sha256": digest, "contaminated": [x > 0 for x in n_hit],
         })
 
@@ -205,14 +207,23 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int =
         build(docs, path, phrases.terms)
         hits = search(docs.sparkSession.read.schema(INDEX_SCHEMA).parquet(path), phrases, slop)
         found = hits if found is None else found.unionByName(hits).groupBy("shard", "place").agg(
-            F.first("doc_id", ignorenulls=True).alias("doc_id"), F.first("n_words").alias("n_words"),
+            F.first("doc_id").alias("doc_id"), F.first("text_key").alias("text_key"), F.first("n_words").alias("n_words"),
             F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"),
         )
     return found
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
+    """doc_id, text_key (a hash of the text), n_words, n_hit, n_items, items_sha256, contaminated of every
+    document."""
     return matches(docs, items, window, slop).mapInPandas(
-        _report, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
+        _report, "doc_id bigint, text_key bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
     )
+
+
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which no phrase of a test item occurs."""
+    found = contamination(docs, items, window).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    bad = broadcast_if_small(stored(found, "contaminated"))
+    same_row = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    return docs.join(bad, same_row, "left_anti")

@@ -364,3 +364,17 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     return rows.join(of_class, (rows["set_id"] == of_class["set_id"]) & (rows["n"] > 0), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose doc_id is their component's id.
+
+    Of rows with the same id and text one stays.  Rows with the same id and different texts all stay.
+    """
+    kept = stored(joined(docs, words, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")), "kept")
+    ids = kept.groupBy("_id").agg(F.count(F.lit(1)).alias("_n"))
+    same_id = F.col("doc_id").eqNullSafe(F.col("_id"))
+    rows = docs.join(ids, same_id, "left_semi")
+    if not ids.where("_n > 1").head(1):
+        return rows
+    return rows.dropDuplicates(["doc_id", "text"])

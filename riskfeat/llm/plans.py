@@ -73,7 +73,7 @@ FROM doc d LEFT JOIN hit_words h ON d.doc_id = h.doc_id LEFT JOIN hit_items i ON
 
 @query("op8_decontaminate", LEAK_SQL)
 def op8_decontaminate(spark, d):
-    return decontaminate.contamination(load(spark, d, "documents"), load(spark, d, "benchmark"))
+    return decontaminate.contamination(load(spark, d, "documents"), load(spark, d, "benchmark")).drop("text_key")
 
 
 WARC_SQL = """WITH page AS (

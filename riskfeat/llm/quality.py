@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskfeat.llm.words import NOT_BLANK, Words, slices, text_bytes
 
@@ -188,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, held: Column, per_class: int = PER_C
     return model
 
 
-def _scorer(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scorer(model, out: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").fill_null("")
@@ -196,17 +197,23 @@ def _scorer(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
             for lo, hi in slices(texts):
                 x, first = passages(texts.slice(lo, hi - lo))
                 scores.append(model.value.score(x, first))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores))], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores))], [*batch.schema.names, out])
 
     return run
 
 
-def with_scores(docs: DataFrame, labels: DataFrame, held: Column, per_class: int = PER_CLASS) -> DataFrame:
-    """``docs`` with the column ``score``; documents need doc_id and text."""
-    from pyspark.sql import types as T
-
+def with_scores(docs: DataFrame, labels: DataFrame, held: Column, per_class: int = PER_CLASS, out: str = "score") -> DataFrame:
+    """``docs`` with the scores in column ``out``, which must be a new name."""
+    if out in docs.columns:
+        raise ValueError(f"there is a column {out} already")
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, held, per_class))
-    return docs.mapInArrow(_scorer(model), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(_scorer(model, out), T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, held: Column, per_class: int = PER_CLASS, accept: float = ACCEPT) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are not rejected."""
+    out = "_quality_score"
+    return with_scores(docs, labels, held, per_class, out).where(F.col(out) >= accept).drop(out)
 
 
 def classify(docs: DataFrame, labels: DataFrame, held: Column, per_class: int = PER_CLASS, accept: float = ACCEPT) -> DataFrame:
