@@ -24,7 +24,10 @@ _put_aside: list[str] = []
 
 
 def _tidy(stage: Stage) -> Stage:
-    """Remove what the stage before has put aside: its result is in files of its own by now."""
+    """Remove what the stage before has put aside: its result is in files of its own by now.
+
+    What the last stage returns is read from the token files, so these stay.
+    """
 
     @functools.wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +35,8 @@ def _tidy(stage: Stage) -> Stage:
             drop_folder(spark, _put_aside.pop())
         before = len(new_folders())
         out = stage(spark, docs, sf_dir)
-        _put_aside.extend(new_folders(before))
+        if stage.__name__ != "write_tokens":
+            _put_aside.extend(new_folders(before))
         return out
 
     return run_stage
@@ -87,4 +91,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{name}")
             docs = spark.read.schema(docs.schema).parquet(f"{folder}/{name}")
+        if 0 < k < len(STAGES) - 1:
+            drop_folder(spark, f"{folder}/{STAGES[k - 1][0]}")
     return docs
