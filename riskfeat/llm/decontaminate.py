@@ -225,5 +225,5 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which no phrase of a test item occurs."""
     found = contamination(docs, items, window).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
     bad = broadcast_if_small(stored(found, "contaminated"))
-    same_row = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    same_row = docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_key"])
     return docs.join(bad, same_row, "left_anti")

@@ -131,7 +131,7 @@ def prefix(elements: np.ndarray, levels: np.ndarray, percent: int = PERCENT) ->
 POSTINGS = "bucket int, shingles binary, sub binary, sets binary, set_id bigint, n bigint, sig binary"
 
 
-def _post(model, words: int, percent: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _post(model, words: int, percent: int, buckets: int, block_sets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Two kinds of rows: a batch's postings by bucket, and each class's signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +155,7 @@ def _post(model, words: int, percent: int, buckets: int) -> Callable[[Iterator[p
                 continue
             shingles = np.concatenate(sets)
             of = np.repeat(np.array(ids, dtype=np.int64), [len(s) for s in sets])
-            parts = -(-counts[_cell(shingles)] // BLOCK_SETS)
+            parts = -(-counts[_cell(shingles)] // block_sets)
             sub = np.where((levels[_cell(shingles)] > 0) & (parts > 1), 1 + (mix(of.view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64), 0)
             bucket = (mix(shingles ^ sub.astype(np.uint64)) % U(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
@@ -301,7 +301,7 @@ def _links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stored(_grouped(placed).mapInArrow(_join_block(percent), "a bigint, b bigint"), "links")
 
 
-def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block_sets: int = BLOCK_SETS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     if not 50 <= percent <= 100:
         raise ValueError("percent must be between 50 and 100")
@@ -322,7 +322,7 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     model = spark.sparkContext.broadcast((counts, _levels(counts), hot))
     buckets = max(partitions(spark), -(-int(totals["postings"] or 0) // BUCKET_POSTINGS))
 
-    posted = stored(texts.mapInArrow(_post(model, words, percent, buckets), POSTINGS), "postings")
+    posted = stored(texts.mapInArrow(_post(model, words, percent, buckets, block_sets), POSTINGS), "postings")
     signatures = posted.where("bucket < 0").select("set_id", "n", "sig").dropDuplicates(["set_id"])
     postings = posted.where("bucket >= 0").select("bucket", "shingles", "sub", "sets")
     dealt = postings.repartition(buckets, "bucket").sortWithinPartitions("bucket")
@@ -373,8 +373,7 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     """
     kept = stored(joined(docs, words, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")), "kept")
     ids = kept.groupBy("_id").agg(F.count(F.lit(1)).alias("_n"))
-    same_id = F.col("doc_id").eqNullSafe(F.col("_id"))
-    rows = docs.join(ids, same_id, "left_semi")
+    rows = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
     if not ids.where("_n > 1").head(1):
         return rows
     return rows.dropDuplicates(["doc_id", "text"])

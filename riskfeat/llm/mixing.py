@@ -83,7 +83,6 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, see
 def emit(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, seed: int = 0) -> DataFrame:
     """The rows of ``docs`` with all their columns, each as often as the mix takes it."""
     targets = source_targets(docs.select("source", word_count().alias("size")), weights, most)
-    names = docs.columns
-    rows = docs.select(F.struct(*names).alias("_row"), "doc_id", "source")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "source")
     chosen = with_copies(rows, targets, seed).where(F.col("copies") > 0)
     return chosen.select("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select("_row.*")
