@@ -5,13 +5,14 @@ the first quarter of each, in an order that all texts share, so every class is e
 its first quarter of shingles, and a block's classes meet in a signature tree (``signature_trees``):
 
 1. trees over the signatures alone drop the classes that have no possible partner in a block;
-2. the rest bring their whole sets, each to its largest block, where tree traversal and exact checks
-   give links; most copies are joined here, and the components are computed;
-3. blocks that still hold several components get their sets, and the traversal skips what is joined.
+2. the rest bring their whole sets, once each, to a tree over all classes that blocks tie together, where
+   the traversal, skipping what is joined already, and exact checks give the links;
+3. where more are tied together than one task should hold, each first goes to its largest block, and
+   then the blocks that still hold several components are searched, again skipping what is joined.
 
 The common order puts frequent shingles last.  Frequencies are counted over all documents in CELLS
-counters, a table of fixed size.  A block that very many texts enter is split into sub-blocks by a
-class's hash; step 3 joins the sub-blocks of a shingle in pairs if they hold different components.
+counters, a table of fixed size.  A block that very many texts enter is split into parts by a class's
+hash; step 3 also joins the parts of a shingle in pairs if they hold different components.
 
 Shingles and sets are compared by 64-bit hashes.
 
@@ -37,7 +38,7 @@ from riskfeat.llm.base import partitions
 from riskfeat.llm.components import components
 from riskfeat.llm.signature_trees import PERCENT, links, partnered, signature, width_for
 from riskfeat.llm.words import NOT_BLANK, Words, mix, slices
-from riskfeat.runtime import stored
+from riskfeat.runtime import broadcast_if_small, stored
 
 WORDS = 5
 CELLS = 1 << 20
@@ -46,6 +47,8 @@ CELL_BLOCK = 1 << 14
 BLOCK_SETS = 2_048
 #: Postings that one task is meant to group.
 BUCKET_POSTINGS = 1_000_000
+#: Shingles of all sets that one tree of whole sets is meant to hold.
+UNION_ELEMENTS = 4_000_000
 MOST_HOT = 1 << 16
 U = np.uint64
 
@@ -301,6 +304,26 @@ def _links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stored(_grouped(placed).mapInArrow(_join_block(percent), "a bigint, b bigint"), "links")
 
 
+def _links_in_parts(survivors: DataFrame, blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among classes that are too many for one tree, block by block."""
+    best = survivors.groupBy("set_id").agg(F.max_by("block", F.struct("size", "block")).alias("block"))
+    first = _links(best.select("block", "set_id", F.col("set_id").alias("root")), sets, percent)
+    joined_now = stored(components(first), "components")
+    # Blocks with several components left.
+    rooted = survivors.join(joined_now.withColumnRenamed("id", "set_id"), "set_id", "left").select("block", "set_id", F.coalesce("root", "set_id").alias("root"))
+    open_blocks = rooted.groupBy("block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    mixed = rooted.join(open_blocks.where("lo <> hi").select("block"), "block", "left_semi")
+    roots = blocks.where("family is not null").select("family", "block").join(open_blocks, "block")
+    spread = roots.groupBy("family").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi")).where("_lo <> _hi").select("family")
+    parts = roots.join(spread, "family", "left_semi").select("family", "block", "lo", "hi")
+    x, y = parts.alias("x"), parts.alias("y")
+    # Parts of one hot shingle, paired only where they hold different components.
+    two = x.join(y, (F.col("x.family") == F.col("y.family")) & (F.col("x.block") < F.col("y.block")) & ~((F.col("x.lo") == F.col("y.hi")) & (F.col("x.hi") == F.col("y.lo"))))
+    two = two.select(F.xxhash64("x.block", "y.block").alias("pair"), F.explode(F.array("x.block", "y.block")).alias("block"))
+    crossed = two.join(rooted, "block").select(F.col("pair").alias("block"), "set_id", "root")
+    return first.unionByName(_links(mixed.unionByName(crossed), sets, percent))
+
+
 def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block_sets: int = BLOCK_SETS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     if not 50 <= percent <= 100:
@@ -331,30 +354,24 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block_se
     # 1. Trees of signatures: classes without a possible partner go.
     entered = blocks.select("block", F.col("family").isNotNull().alias("is_hot"), F.explode("members").alias("set_id")).join(signatures, "set_id")
     survivors = stored(_grouped(entered.select("block", "is_hot", "set_id", "n", "sig")).mapInArrow(_survive(percent), "block bigint, set_id bigint, size bigint"), "survivors")
-    wanted = survivors.select("set_id").distinct().join(classes, "set_id").select(F.col("first").alias("doc_id"))
+    left = stored(survivors.select("set_id").distinct().join(classes, "set_id").select("set_id", "first", "n"), "left")
+    wanted = broadcast_if_small(left.select(F.col("first").alias("doc_id")))
     fetched = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text")
-    sets = stored(fetched.mapInArrow(_elements(words), "set_id bigint, elements binary"), "sets")
-
-    # 2. Whole sets, each in its largest block.
-    best = survivors.groupBy("set_id").agg(F.max_by("block", F.struct("size", "block")).alias("block"))
-    first = _links(best.select("block", "set_id", F.col("set_id").alias("root")), sets, percent)
-    found = stored(components(first), "components")
-
-    # 3. Blocks with several components left.
-    rooted = survivors.join(found.withColumnRenamed("id", "set_id"), "set_id", "left").select("block", "set_id", F.coalesce("root", "set_id").alias("root"))
-    open_blocks = rooted.groupBy("block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    mixed = rooted.join(open_blocks.where("lo <> hi").select("block"), "block", "left_semi")
-    hot_blocks = blocks.where("family is not null").select("family", "block")
-    roots = hot_blocks.join(open_blocks, "block")
-    spread = roots.groupBy("family").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi")).where("_lo <> _hi").select("family")
-    parts = roots.join(spread, "family", "left_semi").select("family", "block", "lo", "hi")
-    x, y = parts.alias("x"), parts.alias("y")
-    # Parts of one hot shingle, paired only where they hold different components.
-    two = x.join(y, (F.col("x.family") == F.col("y.family")) & (F.col("x.block") < F.col("y.block")) & ~((F.col("x.lo") == F.col("y.hi")) & (F.col("x.hi") == F.col("y.lo"))))
-    two = two.select(F.xxhash64("x.block", "y.block").alias("pair"), F.explode(F.array("x.block", "y.block")).alias("block"))
-    crossed = two.join(rooted, "block").select(F.col("pair").alias("block"), "set_id", "root")
-    second = _links(mixed.unionByName(crossed), sets, percent)
-    final = components(first.unionByName(second))
+    sets = stored(fetched.mapInArrow(_elements(words), "set_id bigint, elements binary").join(left.select("set_id"), "set_id", "left_semi"), "sets")
+
+    # 2. Whole sets, all that blocks tie together in one tree.
+    keyed = survivors.join(blocks.select("block", F.coalesce("family", "block").alias("key")), "block").select("key", "set_id")
+    leaders = keyed.groupBy("key").agg(F.min("set_id").alias("b"))
+    tied = components(keyed.join(leaders, "key").select(F.col("set_id").alias("a"), "b"))
+    unions = stored(tied.withColumnRenamed("id", "set_id").join(left.select("set_id", "n"), "set_id"), "unions")
+    sizes = unions.groupBy("root").agg(F.count(F.lit(1)).alias("_k"), F.sum("n").alias("_n"))
+    large = stored(sizes.where((F.col("_k") > 2 * block_sets) | (F.col("_n") > UNION_ELEMENTS)).select("root"), "large")
+    one_tree = unions.join(large, "root", "left_anti").select(F.col("root").alias("block"), "set_id", F.col("set_id").alias("root"))
+    found = _links(one_tree, sets, percent)
+    if large.head(1):
+        some = unions.join(large, "root", "left_semi").select("set_id")
+        found = found.unionByName(_links_in_parts(survivors.join(some, "set_id", "left_semi"), blocks, sets, percent))
+    final = components(found)
 
     # Classes that have copies or links give their documents a component; others are their own.
     shared = classes.join(final.withColumnRenamed("id", "set_id"), "set_id", "left").where("root is not null or copies > 1")
