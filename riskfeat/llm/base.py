@@ -25,8 +25,14 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+#: Rows of one Arrow batch: texts are long, and two tasks share an executor's memory outside the heap.
+BATCH_ROWS = 2_000
+
+
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     ship(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return parquet_table(spark, folder, name)
 
 

@@ -189,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, held: Column, per_class: int = PER_C
     return model
 
 
-def _scorer(model, out: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scorer(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").fill_null("")
@@ -197,7 +197,7 @@ def _scorer(model, out: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             for lo, hi in slices(texts):
                 x, first = passages(texts.slice(lo, hi - lo))
                 scores.append(model.value.score(x, first))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores))], [*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.concatenate(scores))], ["row", "score"])
 
     return run
 
@@ -207,7 +207,9 @@ def with_scores(docs: DataFrame, labels: DataFrame, held: Column, per_class: int
     if out in docs.columns:
         raise ValueError(f"there is a column {out} already")
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, held, per_class))
-    return docs.mapInArrow(_scorer(model, out), T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(_scorer(model), schema).select("row.*", F.col("score").alias(out))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, held: Column, per_class: int = PER_CLASS, accept: float = ACCEPT) -> DataFrame:
