@@ -4,9 +4,10 @@ Texts with equal shingle sets form one class from the start.  Two similar classe
 the first quarter of each, in an order that all texts share, so every class is entered in the blocks of
 its first quarter of shingles, and a block's classes meet in a signature tree (``signature_trees``):
 
-1. trees over the signatures alone drop the classes that have no possible partner in a block;
-2. the rest bring their whole sets, once each, to a tree over all classes that blocks tie together, where
-   the traversal, skipping what is joined already, and exact checks give the links;
+1. trees over the signatures alone drop the classes that have no possible partner in a block, and part
+   the rest into those that chains of possible pairs connect;
+2. these bring their whole sets, once each, to a tree over all classes that are so connected, where the
+   traversal, skipping what is joined already, and exact checks give the links;
 3. where more are tied together than one task should hold, each first goes to its largest block, and
    then the blocks that still hold several components are searched, again skipping what is joined.
 
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from riskfeat.llm.base import partitions
 from riskfeat.llm.components import components
-from riskfeat.llm.signature_trees import PERCENT, links, partnered, signature, width_for
+from riskfeat.llm.signature_trees import PERCENT, links, signature, tied, width_for
 from riskfeat.llm.words import NOT_BLANK, Words, mix, slices
 from riskfeat.runtime import broadcast_if_small, stored
 
@@ -240,18 +241,23 @@ def _grouped(rows: DataFrame) -> DataFrame:
 def _survive(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        names = ["block", "set_id", "size"]
+        names = ["block", "key", "set_id", "size"]
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], names)
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], names)
 
         for t in runs_of(batches, "block"):
-            if t.column("is_hot")[0].as_py():
-                found = np.ones(t.num_rows, bool)
+            block, family, ids = t.column("block")[0].as_py(), t.column("family")[0].as_py(), t.column("set_id").to_numpy()
+            if family is not None:
+                out += [(block, family, i, len(ids)) for i in ids.tolist()]
             else:
-                found = partnered(t.column("n").to_numpy(), [np.frombuffer(s, dtype=np.uint64) for s in t.column("sig").to_pylist()], percent)
-            block, ids, k = t.column("block")[0].as_py(), t.column("set_id").to_numpy(), int(found.sum())
-            out += [(block, i, k) for i in ids[found].tolist()]
+                order = np.argsort(ids)
+                signatures = t.column("sig").to_pylist()
+                label = tied(t.column("n").to_numpy()[order], [np.frombuffer(signatures[i], dtype=np.uint64) for i in order], percent)
+                for k in np.unique(label[label >= 0]):
+                    some = ids[order][label == k]
+                    name = int.from_bytes(hashlib.blake2b(some.tobytes(), digest_size=8).digest(), "little", signed=True)
+                    out += [(name, name, i, len(some)) for i in some.tolist()]
             if len(out) > 50_000:
                 yield flush()
                 out.clear()
@@ -352,18 +358,19 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block_se
     blocks = stored(dealt.mapInArrow(_block, BLOCKS).dropDuplicates(["block"]), "blocks")
 
     # 1. Trees of signatures: classes without a possible partner go.
-    entered = blocks.select("block", F.col("family").isNotNull().alias("is_hot"), F.explode("members").alias("set_id")).join(signatures, "set_id")
-    survivors = stored(_grouped(entered.select("block", "is_hot", "set_id", "n", "sig")).mapInArrow(_survive(percent), "block bigint, set_id bigint, size bigint"), "survivors")
+    entered = blocks.select("block", "family", F.explode("members").alias("set_id")).join(signatures, "set_id")
+    searched = _grouped(entered.select("block", "family", "set_id", "n", "sig")).mapInArrow(_survive(percent), "block bigint, key bigint, set_id bigint, size bigint")
+    survivors = stored(searched.dropDuplicates(["block", "set_id"]), "survivors")
     left = stored(survivors.select("set_id").distinct().join(classes, "set_id").select("set_id", "first", "n"), "left")
     wanted = broadcast_if_small(left.select(F.col("first").alias("doc_id")))
     fetched = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text")
     sets = stored(fetched.mapInArrow(_elements(words), "set_id bigint, elements binary").join(left.select("set_id"), "set_id", "left_semi"), "sets")
 
     # 2. Whole sets, all that blocks tie together in one tree.
-    keyed = survivors.join(blocks.select("block", F.coalesce("family", "block").alias("key")), "block").select("key", "set_id")
+    keyed = survivors.select("key", "set_id")
     leaders = keyed.groupBy("key").agg(F.min("set_id").alias("b"))
-    tied = components(keyed.join(leaders, "key").select(F.col("set_id").alias("a"), "b"))
-    unions = stored(tied.withColumnRenamed("id", "set_id").join(left.select("set_id", "n"), "set_id"), "unions")
+    together = components(keyed.join(leaders, "key").select(F.col("set_id").alias("a"), "b"))
+    unions = stored(together.withColumnRenamed("id", "set_id").join(left.select("set_id", "n"), "set_id"), "unions")
     sizes = unions.groupBy("root").agg(F.count(F.lit(1)).alias("_k"), F.sum("n").alias("_n"))
     large = stored(sizes.where((F.col("_k") > 2 * block_sets) | (F.col("_n") > UNION_ELEMENTS)).select("root"), "large")
     one_tree = unions.join(large, "root", "left_anti").select(F.col("root").alias("block"), "set_id", F.col("set_id").alias("root"))

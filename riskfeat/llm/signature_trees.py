@@ -102,25 +102,27 @@ class Tree:
                 stack.append((level - 1, x, y))
 
 
-def partnered(sizes: np.ndarray, sigs: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
-    """Which sets of a block have a possible partner in it, by signatures of their own widths alone.
+def tied(sizes: np.ndarray, sigs: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
+    """A number per set of a block: sets that a chain of possible pairs connects share it, and sets without
+    a possible partner have -1.  Signatures of their own widths are all it takes.
 
     Sets of one width are compared with each other and, folded to half, with those of half the width: no
-    similar sets lie further apart, since sizes differ by a third at most.
+    similar sets lie further apart, since sizes differ by a factor of two at most.
     """
     bits = np.array([64 * len(s) for s in sigs])
-    found = np.zeros(len(sizes), bool)
+    label, found = np.arange(len(sizes)), np.zeros(len(sizes), bool)
     for w in np.unique(bits):
         at = np.flatnonzero((bits == w) | (bits == 2 * w))
         if len(at) < 2:
             continue
         wide = bits[at] > w
         matrix = np.stack([folded(sigs[i], w) if x else sigs[i] for i, x in zip(at, wide, strict=True)])
-        done = np.zeros(len(at), bool)
-        for i, j in Tree(sizes[at], matrix, percent).pairs(lambda i, j: (done[i] & done[j]) | (wide[i] & wide[j])):  # noqa: B023
-            done[i] = done[j] = True
-        found[at] |= done
-    return found
+        for i, j in Tree(sizes[at], matrix, percent).pairs(lambda i, j: (label[at[i]] == label[at[j]]) | (wide[i] & wide[j])):  # noqa: B023
+            found[at[i]] = found[at[j]] = True
+            for x, y in zip(at[i].tolist(), at[j].tolist(), strict=True):
+                if label[x] != label[y]:
+                    label[label == label[y]] = label[x]
+    return np.where(found, label, -1)
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:

@@ -107,8 +107,8 @@ def test_trees_lose_no_pair(sets, percent):
     tree = trees.Tree(sizes, np.stack([trees.signature(s, 256) for s in hashed]), percent)
     left = {tuple(sorted(p)) for i, j in tree.pairs() for p in zip(i.tolist(), j.tolist(), strict=True)}
     assert want <= left
-    found = trees.partnered(sizes, [trees.signature(s, int(trees.width_for(len(s)))) for s in hashed], percent)
-    assert all(found[i] and found[j] for i, j in want)
+    label = trees.tied(sizes, [trees.signature(s, int(trees.width_for(len(s)))) for s in hashed], percent)
+    assert all(label[i] == label[j] >= 0 for i, j in want)
     links = trees.links(hashed, np.arange(len(sets)), percent)
     assert set(map(tuple, map(sorted, links))) <= want
     assert least_of(len(sets), links) and len({*least_of(len(sets), links)}) == len({*least_of(len(sets), want)})
