@@ -115,6 +115,13 @@ def missing_to_null(col) -> Column:
     return F.when(~F.isnan(col), col)
 
 
+def nan_free(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:
+    """NaN to null in the float columns, all of them or those named."""
+    floats = {n for n, t in df.dtypes if t in ("float", "double")}
+    changed = {c: missing_to_null(F.col(f"`{c}`")) for c in (df.columns if cols is None else cols) if c in floats}
+    return df.withColumns(changed) if changed else df
+
+
 # --- column-wise table changes ----------------------------------------------------------------
 
 

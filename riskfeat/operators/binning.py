@@ -13,9 +13,9 @@ from pyspark.sql import types as T
 from riskfeat.functions.columns import log_ratio
 from riskfeat.operators.ordered import running_totals, with_neighbours
 from riskfeat.operators.prepare import medians
-from riskfeat.operators.quantiles import exact_quantiles
+from riskfeat.operators.quantiles import quantile_rows
 from riskfeat.operators.stats import feature_profile, long_features
-from riskfeat.runtime import GROUP_ROWS, collect_bounded, cut_lineage, same
+from riskfeat.runtime import broadcast_if_small, collect_bounded, same, stored
 
 MISSING_BIN = -1
 Key = tuple
@@ -24,19 +24,16 @@ Key = tuple
 # --- quantile bins ----------------------------------------------------------------------------
 
 
-def _edges(quantile: Mapping[float, float], cells: int) -> list[float]:
-    """Edges for the largest number of cells, at most ``cells``, without repeated edges."""
-    for k in range(cells, 1, -1):
-        e = [quantile[i / k] for i in range(k + 1)]
-        if len(set(e)) == k + 1:
-            return e
-    return [quantile[0.0], quantile[1.0]]
+def quantile_edge_rows(values: DataFrame, keys: list[str], cells: int = 10, value: str = "value") -> DataFrame:
+    """(keys…, edges): edges for the largest number of cells, at most ``cells``, without repeated edges.
 
-
-def quantile_edges(values: DataFrame, keys: list[str], cells: int = 10, value: str = "value", **limits) -> dict[Key, list[float]]:
-    """Bin edges per key: the quantiles of all cell numbers are found together."""
-    shares = {i / k for k in range(1, cells + 1) for i in range(k + 1)}
-    return {k: _edges(q, cells) for k, q in exact_quantiles(values, keys, value, sorted(shares), **limits).items()}
+    The quantiles of all cell numbers are found together.
+    """
+    shares = sorted({i / k for k in range(1, cells + 1) for i in range(k + 1)})
+    at = {f: F.col("_q")[i] for i, f in enumerate(shares)}
+    tries = [F.array(*[at[i / k] for i in range(k + 1)]) for k in range(cells, 1, -1)]
+    edges = [F.when(F.size(F.array_distinct(e)) == F.size(e), e) for e in tries]
+    return quantile_rows(values, keys, value, shares, "_q").select(*keys, F.coalesce(*edges, F.array(at[0.0], at[1.0])).alias("edges"))
 
 
 def _inner_edge_table(values: DataFrame, keys: list[str], edges: Mapping[Key, list[float]]) -> DataFrame:
@@ -54,15 +51,16 @@ def _edges_passed(value: Column, most: int, passed) -> Column:
     return F.when(value.isNull() | F.isnan(value), MISSING_BIN).otherwise(count)
 
 
-def quantile_bins(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), cells: int = 10, **limits) -> DataFrame:
+def quantile_bins(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), cells: int = 10) -> DataFrame:
     """Long form (keep…, feature, value, bin) with at most ``cells`` quantile bins per feature."""
-    return _binned(long_features(df, list(keep), cols), ["feature"], cells, **limits)
+    return _binned(long_features(df, list(keep), cols), ["feature"], cells)
 
 
-def _binned(values: DataFrame, keys: list[str], cells: int, **limits) -> DataFrame:
-    edges = quantile_edges(values, keys, cells, **limits)
-    # Bins (a, b] counted from 0.  One row per feature and segment with at most nine numbers: bounded by the caller's column list.
-    table = F.broadcast(_inner_edge_table(values, keys, edges).alias("b"))
+def _binned(values: DataFrame, keys: list[str], cells: int) -> DataFrame:
+    edges = stored(quantile_edge_rows(values, keys, cells), "edges")
+    inner = edges.select(*keys, F.slice("edges", F.lit(2), F.size("edges") - 2).alias("_edges"))
+    # Bins (a, b] counted from 0.
+    table = broadcast_if_small(inner).alias("b")
     joined = values.alias("a").join(table, same(keys), "left")
     return joined.select("a.*", _edges_passed(F.col("value"), cells - 1, lambda v, e: v > e).alias("bin"))
 
@@ -89,9 +87,9 @@ def woe_table(binned: DataFrame, label: str, keys: Sequence[str] = ("feature",),
     return shares.withColumns({"woe": evidence if sign == "event" else -evidence, "iv": diff * evidence})
 
 
-def quantile_woe(df: DataFrame, cols: Sequence[str], label: str, cells: int = 10, **limits) -> DataFrame:
+def quantile_woe(df: DataFrame, cols: Sequence[str], label: str, cells: int = 10) -> DataFrame:
     """Good/bad view of quantile bins; bad rate and ln(good share / bad share), bin max plus 0.1."""
-    t = woe_table(quantile_bins(df, cols, [label], cells, **limits), label, sign="good")
+    t = woe_table(quantile_bins(df, cols, [label], cells), label, sign="good")
     whole = F.lit(1) * F.col("total")
     per = t.groupBy("feature").agg(F.sum("total").alias("_t"))
     return t.join(per, "feature").select(
@@ -116,9 +114,9 @@ def total_iv(table: DataFrame, keys: Sequence[str] = ("feature",)) -> DataFrame:
     return table.groupBy(*keys).agg(F.sum("iv").alias("iv"))
 
 
-def iv_summary(df: DataFrame, cols: Sequence[str], label: str, cells: int = 10, **limits) -> DataFrame:
+def iv_summary(df: DataFrame, cols: Sequence[str], label: str, cells: int = 10) -> DataFrame:
     """(feature, missing, zero, n_unique, iv)."""
-    iv = total_iv(woe_table(quantile_bins(df, cols, [label], cells, **limits), label))
+    iv = total_iv(woe_table(quantile_bins(df, cols, [label], cells), label))
     return feature_profile(df, cols).join(iv, "feature")
 
 
@@ -127,13 +125,13 @@ def select_by_iv(iv: DataFrame, limit: float = 0.0) -> DataFrame:
     return iv.where((F.col("iv") >= limit) & ~F.isnan("iv"))
 
 
-def fill_variants(df: DataFrame, cols: Sequence[str], fills: Sequence[str], numeric: Sequence[str] | None = None, **limits) -> dict[str, dict[str, Column]]:
+def fill_variants(df: DataFrame, cols: Sequence[str], fills: Sequence[str], numeric: Sequence[str] | None = None) -> dict[str, dict[str, Column]]:
     """Per fill name the column expressions: none keeps nulls, zero and median replace them.
 
     The median ignores zeros and replaces them too, for the ``numeric`` columns; the rest is zero.
     """
     numeric = list(cols if numeric is None else numeric)
-    mid = medians(df, numeric, missing=0, **limits) if "median" in fills else {}
+    mid = medians(df, numeric, missing=0) if "median" in fills else {}
     out: dict[str, dict[str, Column]] = {}
     for fill in fills:
         exprs = {}
@@ -151,8 +149,8 @@ def fill_variants(df: DataFrame, cols: Sequence[str], fills: Sequence[str], nume
     return out
 
 
-def _sweep_values(df, cols, label, segment, fills, numeric, **limits) -> DataFrame:
-    variants = fill_variants(df, cols, fills, numeric, **limits)
+def _sweep_values(df, cols, label, segment, fills, numeric) -> DataFrame:
+    variants = fill_variants(df, cols, fills, numeric)
     rows = F.array(
         *[
             F.struct(F.lit(fill).alias("fill"), F.lit(c).alias("feature"), e.alias("value"))
@@ -165,13 +163,13 @@ def _sweep_values(df, cols, label, segment, fills, numeric, **limits) -> DataFra
 
 def iv_sweep(
     df: DataFrame, cols: Sequence[str], label: str, segment: str, fills: Sequence[str] = ("none", "zero", "median"),
-    method: str = "quantile", cells: int = 10, numeric: Sequence[str] | None = None, **limits,
+    method: str = "quantile", cells: int = 10, numeric: Sequence[str] | None = None,
 ) -> DataFrame:
     """(segment, fill, feature, iv) for every segment and fill method, from one long table."""
     keys = ["segment", "fill", "feature"]
-    values = _sweep_values(df, cols, label, segment, fills, numeric, **limits)
+    values = _sweep_values(df, cols, label, segment, fills, numeric)
     if method == "quantile":
-        return total_iv(woe_table(_binned(values, keys, cells, **limits), label, keys), keys)
+        return total_iv(woe_table(_binned(values, keys, cells), label, keys), keys)
     return total_iv(_tree_table(values, keys, label, missing="bin"), keys)
 
 
@@ -195,10 +193,10 @@ def value_histogram(values: DataFrame, keys: list[str], label: str) -> DataFrame
     """
     y = F.col(label).cast("int")
     present = values.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    hist = cut_lineage(present.groupBy(*keys, "value").agg(F.count_if(y == 0).alias("_g"), F.count_if(y == 1).alias("_b")))
+    hist = stored(present.groupBy(*keys, "value").agg(F.count_if(y == 0).alias("_g"), F.count_if(y == 1).alias("_b")))
     summed = running_totals(hist, keys, ["value"], {"_cg": "_g", "_cb": "_b"})
     ahead = with_neighbours(summed, keys, ["value"], ["value"], None, "_next")
-    return cut_lineage(ahead.select(*keys, "value", F.col("_next.value").alias("_next"), "_g", "_b", "_cg", "_cb"))
+    return stored(ahead.select(*keys, "value", F.col("_next.value").alias("_next"), "_g", "_b", "_cg", "_cb"))
 
 
 def tree_edges(

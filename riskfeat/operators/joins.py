@@ -10,7 +10,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskfeat.runtime import broadcast_if_small
+from riskfeat.runtime import broadcast_if_small, same
 
 
 def chain_left_join(dfs: Sequence[DataFrame], keys: list[str]) -> DataFrame:
@@ -135,8 +135,10 @@ def lookback_join(
 
 
 def aggregate_join_back(df: DataFrame, keys: list[str], aggs: Mapping[str, Column]) -> DataFrame:
-    """Group results attached to every detail row."""
-    return df.join(df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()]), keys, "left")
+    """Group results attached to every detail row; a null key is a group too."""
+    groups = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
+    joined = df.alias("a").join(groups.alias("b"), same(keys), "left")
+    return joined.select("a.*", *[F.col(f"b.`{n}`") for n in aggs])
 
 
 def merge_aggregates(*dfs: DataFrame, on: list[str], how: str = "inner") -> DataFrame:

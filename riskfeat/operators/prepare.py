@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
@@ -13,6 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskfeat.functions.columns import nan_free
 from riskfeat.operators.quantiles import exact_quantiles
 from riskfeat.operators.stats import corr_expr, long_features, per_column
 from riskfeat.runtime import collect_bounded
@@ -22,22 +22,22 @@ def fill_zero(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return df.na.fill(0, subset=None if cols is None else list(cols))
 
 
-def medians(df: DataFrame, cols: Sequence[str], missing: float | None = None, **limits) -> dict[str, float]:
+def medians(df: DataFrame, cols: Sequence[str], missing: float | None = None) -> dict[str, float]:
     """Exact median per column; values equal to ``missing`` count as missing too."""
     values = long_features(df, [], cols)
     if missing is not None:
         values = values.where(F.col("value") != missing)
-    return {k[0]: q[0.5] for k, q in exact_quantiles(values, ["feature"], "value", [0.5], **limits).items()}
+    return {k[0]: q[0.5] for k, q in exact_quantiles(values, ["feature"], "value", [0.5]).items()}
 
 
 def fill_median(
-    df: DataFrame, cols: Sequence[str], missing: float | None = None, rest_zero: bool = False, **limits
+    df: DataFrame, cols: Sequence[str], missing: float | None = None, rest_zero: bool = False
 ) -> DataFrame:
     """Missing values of each column replaced by its median, as doubles.
 
     With ``rest_zero`` what then is still missing (columns without any value) becomes 0.
     """
-    mid = medians(df, cols, missing, **limits)
+    mid = medians(df, cols, missing)
 
     def filled(c: str):
         v = F.col(c).cast("double")
@@ -52,18 +52,14 @@ def fill_mode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Missing values replaced by the most frequent one, the lowest of equally frequent ones."""
     if not cols:
         return df
-    best = [
-        df.where(F.col(c).isNotNull())
-        .groupBy(c)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .orderBy(F.desc("_n"), F.asc(c))
-        .limit(1)
-        .select(F.lit(c).alias("_c"), F.col(c).cast("string").alias("_v"))
-        for c in cols
-    ]
-    counts = reduce(DataFrame.unionByName, best)
     types = dict(df.dtypes)
-    modes = {r["_c"]: r["_v"] for r in collect_bounded(counts)}
+    text = [c for c in cols if types[c] in ("string", "boolean", "date") or types[c].startswith("timestamp")]
+    pairs = F.array(*[F.struct(F.lit(c).alias("_c"), F.col(f"`{c}`").cast("string").alias("_v")) for c in cols])
+    counts = df.select(F.inline(pairs)).where(F.col("_v").isNotNull()).groupBy("_c", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    number = F.when(~F.col("_c").isin(text), F.expr("try_cast(_v AS double)")) if text else F.expr("try_cast(_v AS double)")
+    best = counts.groupBy("_c").agg(F.min(F.struct(-F.col("_n"), number, "_v")).alias("_b"))
+    # One row per listed column.
+    modes = {r["_c"]: r["_v"] for r in best.select("_c", "_b._v").collect()}
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(modes[c]).cast(types[c])) for c in cols if c in modes})
 
 
@@ -177,7 +173,7 @@ def f_scores(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
     """(feature, f): linear F-test of each column against the label, nulls left out pairwise."""
     y = F.col(label).cast("double")
     found = per_column(
-        df, cols, {"r": lambda c: corr_expr(c.cast("double"), y), "n": lambda c: F.count(F.when(y.isNotNull(), c))}, "feature"
+        nan_free(df, [*cols, label]), cols, {"r": lambda c: corr_expr(c.cast("double"), y), "n": lambda c: F.count(F.when(y.isNotNull(), c))}, "feature"
     )
     r2 = F.col("r") * F.col("r")
     return found.select("feature", F.try_divide(r2 * (F.col("n") - 2), 1 - r2).alias("f"))

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskfeat.functions.columns import nan_free
 from riskfeat.operators.stats import per_column
 from riskfeat.runtime import collect_bounded
 
@@ -23,7 +24,7 @@ def _rows(_c):
 def overview(df: DataFrame) -> DataFrame:
     """(column, dtype, pct_missing)."""
     types = dict(df.dtypes)
-    found = per_column(df, df.columns, {"pct_missing": lambda c: F.try_divide(_n_null(c) * F.lit(100.0), _rows(c))})
+    found = per_column(nan_free(df), df.columns, {"pct_missing": lambda c: F.try_divide(_n_null(c) * F.lit(100.0), _rows(c))})
     dtype = F.element_at(F.create_map(*[F.lit(x) for kv in types.items() for x in kv]), F.col("column"))
     return found.select("column", dtype.alias("dtype"), "pct_missing")
 

@@ -1,122 +1,45 @@
-"""Exact quantiles per small key set (features, segments) without holding a column in one task."""
+"""Exact quantiles per key (feature, segment) without holding a column in one task."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from riskfeat.runtime import GROUP_ROWS, collect_bounded, same
+from riskfeat.operators.ordered import running_totals
+from riskfeat.runtime import same
 
 Key = tuple
-CUTS = 64
 
 
-def exact_quantiles(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    fractions: Sequence[float],
-    group_rows: int = GROUP_ROWS,
-) -> dict[Key, dict[float, float]]:
-    """Linearly interpolated quantiles of ``value`` per key, nulls and NaN left out.
+def quantile_rows(df: DataFrame, keys: list[str], value: str, fractions: Sequence[float], out: str = "quantiles") -> DataFrame:
+    """(keys…, out): the linearly interpolated quantiles of ``value`` per key, nulls and NaN left out.
 
-    Keys name a small set such as features, so the result is a fixed-size array per key.  A group of
-    up to ``group_rows`` rows is reduced to its distinct values, which are then ranked.  A larger group
-    is narrowed first: approximate cut points bound where each wanted rank lies, exact counts between
-    the cut points follow, and only the intervals holding a wanted rank are looked at again until they
-    are small.
+    Rows are first summed to distinct values.  Running counts over these, which may span many tasks,
+    tell which values hold the wanted ranks, and one aggregate picks them.
     """
+    v = F.col(value).cast("double")
+    rows = df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    histogram = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    counted = running_totals(histogram, keys, ["_v"], {"_to": "_n"})
+    sizes = counted.groupBy(*keys).agg(F.sum("_n").alias("_rows")) if keys else counted.agg(F.sum("_n").alias("_rows"))
+    ranked = counted.alias("a").join(sizes.alias("b"), same(keys)).select("a.*", "_rows")
+
+    def at(rank: Column) -> Column:
+        """The value at a rank: no other row of the key covers it."""
+        return F.max(F.when((rank >= F.col("_to") - F.col("_n")) & (rank < F.col("_to")), F.col("_v")))
+
+    spots = [F.lit(float(f)) * (F.col("_rows") - 1) for f in fractions]
+    names = [(f"_l{i}", f"_h{i}") for i in range(len(fractions))]
+    picks = [at(r).alias(n) for h, (lo, hi) in zip(spots, names, strict=True) for r, n in ((F.floor(h), lo), (F.ceil(h), hi))]
+    found = ranked.groupBy(*keys, "_rows").agg(*picks)
+    between = [F.col(lo) + (F.col(hi) - F.col(lo)) * (h - F.floor(h)) for h, (lo, hi) in zip(spots, names, strict=True)]
+    return found.select(*keys, F.array(*between).alias(out))
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, fractions: Sequence[float]) -> dict[Key, dict[float, float]]:
+    """The quantiles on the driver, for keys that the caller lists (columns of a table)."""
     fractions = sorted(set(fractions))
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v"))
-    rows = rows.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    sizes = {
-        tuple(r[k] for k in keys): r["_rows"]
-        for r in collect_bounded(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")))
-        if r["_rows"]
-    }
-    return _ranked(rows, keys, sizes, fractions, group_rows) if sizes else {}
-
-
-def _key_schema(rows: DataFrame, keys: list[str], extra: list[T.StructField]) -> T.StructType:
-    return T.StructType([T.StructField(k, rows.schema[k].dataType, True) for k in keys] + extra)
-
-
-def _ranked(rows, keys, sizes, fractions, group_rows):
-    spark = rows.sparkSession
-    dbl = lambda n: T.StructField(n, T.DoubleType(), False)
-    wanted = {}
-    for key, n in sizes.items():
-        spots = {}
-        for f in fractions:
-            h = f * (n - 1)
-            spots[f] = (math.floor(h), math.ceil(h), h - math.floor(h))
-        wanted[key] = spots
-    ranks = {k: sorted({r for lo, hi, _ in s.values() for r in (lo, hi)}) for k, s in wanted.items()}
-    found: dict[Key, dict[int, float]] = {k: {} for k in sizes}
-    # Open intervals (lo, hi) per key: rows strictly below the interval, rows inside, wanted ranks.
-    active = [(k, -math.inf, math.inf, 0, n, ranks[k]) for k, n in sizes.items()]
-    schema = _key_schema(rows, keys, [T.StructField("_i", T.IntegerType(), False), dbl("_lo"), dbl("_hi")])
-
-    def inside(intervals):
-        table = spark.createDataFrame([(*k, i, lo, hi) for i, (k, lo, hi, *_) in enumerate(intervals)], schema)
-        if not keys and intervals[0][1:3] == (-math.inf, math.inf):
-            return rows.select(F.lit(0).alias("_i"), "_v")
-        above = (F.col("a._v") > F.col("b._lo")) | (F.col("b._lo") == -math.inf)
-        below = (F.col("a._v") < F.col("b._hi")) | (F.col("b._hi") == math.inf)
-        on = same(keys) & above & below
-        return rows.alias("a").join(F.broadcast(table.alias("b")), on).select("_i", "_v")
-
-    done = []
-    while active:
-        big = [a for a in active if a[4] > group_rows]
-        done += [a for a in active if a[4] <= group_rows]
-        if not big:
-            break
-        held = inside(big)
-        shares = [i / CUTS for i in range(CUTS + 1)]
-        sketch = held.groupBy("_i").agg(
-            F.percentile_approx("_v", F.array(*[F.lit(s) for s in shares]), F.lit(10_000)).alias("_c")
-        )
-        cuts = {r["_i"]: sorted(set(r["_c"])) for r in collect_bounded(sketch)}
-        cut_table = spark.createDataFrame(
-            [(i, c) for i, c in cuts.items()], "_i int, _cuts array<double>"
-        )
-        # Even slots are open intervals between cut points, odd slots are the cut points themselves.
-        slot = F.size(F.filter("_cuts", lambda c: c < F.col("_v"))) * 2 + F.array_contains("_cuts", F.col("_v")).cast("int")
-        counted = held.join(F.broadcast(cut_table), "_i").groupBy("_i", slot.alias("_slot")).agg(F.count(F.lit(1)).alias("_n"))
-        counts: dict[int, dict[int, int]] = {}
-        for r in collect_bounded(counted):
-            counts.setdefault(r["_i"], {})[r["_slot"]] = r["_n"]
-        active = []
-        for i, (key, lo, hi, below, _n, rs) in enumerate(big):
-            points = cuts[i]
-            for s in range(2 * len(points) + 1):
-                n = counts[i].get(s, 0)
-                hit = [r for r in rs if below <= r < below + n]
-                if hit and s % 2:
-                    found[key].update({r: points[s // 2] for r in hit})
-                elif hit:
-                    left = points[s // 2 - 1] if s else lo
-                    right = points[s // 2] if s // 2 < len(points) else hi
-                    active.append((key, left, right, below, n, hit))
-                below += n
-    if done:
-        values = inside(done).groupBy("_i", "_v").agg(F.count(F.lit(1)).alias("_n"))
-        w = Window.partitionBy("_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        spots = spark.createDataFrame(
-            [(i, r - a[3], j) for i, a in enumerate(done) for j, r in enumerate(a[5])], "_i int, _r bigint, _j int"
-        )
-        ranked = values.withColumn("_to", F.sum("_n").over(w))
-        on = [F.col("v._i") == F.col("s._i"), F.col("_r") < F.col("_to"), F.col("_r") >= F.col("_to") - F.col("_n")]
-        hits = ranked.alias("v").join(F.broadcast(spots.alias("s")), on).select("v._i", "_j", "_v")
-        for r in collect_bounded(hits):
-            key, *_, rs = done[r["_i"]]
-            found[key][rs[r["_j"]]] = r["_v"]
-    return {
-        k: {f: found[k][lo] + (found[k][hi] - found[k][lo]) * g for f, (lo, hi, g) in s.items()}
-        for k, s in wanted.items()
-    }
+    rows = quantile_rows(df, keys, value, fractions).collect()
+    return {tuple(r[k] for k in keys): dict(zip(fractions, r["quantiles"], strict=True)) for r in rows}

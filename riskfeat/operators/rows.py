@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskfeat.operators.ordered import Order, _cols, number_rows, with_neighbours
+from riskfeat.runtime import same
 
 __all__ = [
     "add_id", "first_per_key", "number_rows", "offset_pairs", "running_list", "sort_rows", "top_k_dense",
@@ -24,7 +25,8 @@ def top_k_dense(df: DataFrame, part: list[str], value: str, k: int, out: str = "
     """
     w = Window.partitionBy(*part).orderBy(F.desc(value))
     ranks = df.select(*part, value).distinct().withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
-    return df.join(ranks, [*part, value])
+    joined = df.alias("a").join(ranks.alias("b"), same([*part, value]))
+    return joined.select("a.*", F.col(f"b.`{out}`"))
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: Order) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from riskfeat.operators.neighbours import nearest
 from riskfeat.operators.ordered import number_rows
-from riskfeat.runtime import GROUP_ROWS, collect_bounded
+from riskfeat.runtime import collect_bounded
 
 SLOT_BITS = 12
 
@@ -39,38 +39,26 @@ def split_time(df: DataFrame, col: str, train_end, test_end) -> tuple[DataFrame,
     return df.where(c < train_end).drop(col), df.where((c >= train_end) & (c < test_end)).drop(col)
 
 
-def take_exactly(df: DataFrame, n: int, ids: Sequence[str], seed: int = 123, last_rows: int = GROUP_ROWS) -> DataFrame:
+def take_exactly(df: DataFrame, n: int, ids: Sequence[str], seed: int = 123) -> DataFrame:
     """Exactly ``n`` random rows without replacement: those with the lowest seeded hash of the id.
 
     Counts per hash range show which ranges belong whole to the sample; only the range that holds the
-    n-th row is looked at closer, so nothing is sorted as a whole.  The id should be unique.
+    n-th row is put in order, so nothing is sorted as a whole.  The id should be unique.
     """
     if n <= 0:
         return df.limit(0)
     hashed = df.withColumn("_h", _hash(ids, seed))
-    bits, edge, left = 0, 0, n
-    inside = hashed
-    while bits + SLOT_BITS <= 60:
-        slot = F.shiftrightunsigned("_h", 64 - bits - SLOT_BITS)
-        counts = {r["s"]: r["n"] for r in collect_bounded(inside.groupBy(slot.alias("s")).agg(F.count(F.lit(1)).alias("n")))}
-        bits += SLOT_BITS
-        for s in sorted(counts):
-            if counts[s] >= left:
-                edge = s
-                break
-            left -= counts[s]
-        else:
-            return df
-        prefix = F.shiftrightunsigned("_h", 64 - bits)
-        inside = hashed.where(prefix == edge)
-        if counts[edge] == left:
-            return hashed.where(prefix <= edge).drop("_h")
-        if counts[edge] <= last_rows:
+    slot = F.shiftrightunsigned("_h", 64 - SLOT_BITS)
+    counts = {r["s"]: r["n"] for r in hashed.groupBy(slot.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    left = n
+    for edge in sorted(counts):
+        if counts[edge] >= left:
             break
-    prefix = F.shiftrightunsigned("_h", 64 - bits)
-    whole = hashed.where(prefix < edge)
-    rest = number_rows(hashed.where(prefix == edge), [], ["_h", *ids], "_rn").where(F.col("_rn") <= left).drop("_rn")
-    return whole.unionByName(rest).drop("_h")
+        left -= counts[edge]
+    else:
+        return df
+    rest = number_rows(hashed.where(slot == edge), [], ["_h", *ids], "_rn").where(F.col("_rn") <= left).drop("_rn")
+    return hashed.where(slot < edge).unionByName(rest).drop("_h")
 
 
 def _class_sizes(df: DataFrame, label: str) -> tuple[dict, object, object]:

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Mapping, Sequence
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskfeat.functions.columns import missing_to_null, nan_free
 from riskfeat.operators.quantiles import exact_quantiles
 from riskfeat.runtime import collect_bounded
 
@@ -83,7 +83,8 @@ def covar(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def corr_expr(a: Column, b: Column) -> Column:
     """Pearson correlation over rows where both are present; null when either does not vary."""
-    x, y = F.when(b.isNotNull(), a).cast("double"), F.when(a.isNotNull(), b).cast("double")
+    a, b = missing_to_null(a.cast("double")), missing_to_null(b.cast("double"))
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
     return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y)))
 
 
@@ -91,26 +92,14 @@ def corr(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.agg(corr_expr(F.col(a), F.col(b)).alias("corr"))
 
 
-WIDE = 20
-
-
 def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(feature_1, feature_2, correlation) for every unordered pair, nulls left out pairwise.
+    """(feature_1, feature_2, correlation) for every unordered pair, missing values left out pairwise.
 
-    Up to ``WIDE`` columns are one built-in aggregate.  Beyond that each task sums the cross moments
-    of its rows as matrices, and only those small matrices are shuffled.
+    Each task sums the cross moments of its rows as matrices, and only those small matrices are
+    shuffled.  NaN is missing.
     """
-    if len(cols) <= WIDE:
-        pairs = [
-            F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), corr_expr(F.col(a), F.col(b)).alias("correlation"))
-            for a, b in combinations(cols, 2)
-        ]
-        return df.agg(F.array(*pairs).alias("_p")).select(F.inline("_p"))
-    return _wide_correlations(df, list(cols))
-
-
-def _wide_correlations(df: DataFrame, cols: list[str]) -> DataFrame:
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    cols = list(cols)
+    data = df.select(*[missing_to_null(F.col(c).cast("double")).alias(c) for c in cols])
     centre = np.array([m if m is not None else 0.0 for m in data.agg(*[F.avg(c) for c in cols]).first()])
     d = len(cols)
 
@@ -168,13 +157,13 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
-def quantiles(df: DataFrame, col: str, qs: Sequence[float], approximate: bool = False, **limits) -> DataFrame:
+def quantiles(df: DataFrame, col: str, qs: Sequence[float], approximate: bool = False) -> DataFrame:
     """(q, value): exact with linear interpolation, or approximate on request."""
     spark = df.sparkSession
     if approximate:
         one = df.agg(F.percentile_approx(col, F.array(*[F.lit(q) for q in qs])).alias("_v"))
         return one.select(F.explode(F.arrays_zip(F.array(*[F.lit(q) for q in qs]).alias("q"), F.col("_v").alias("value"))).alias("z")).select("z.q", F.col("z.value").cast("double").alias("value"))
-    found = exact_quantiles(df, [], col, qs, **limits).get((), {})
+    found = exact_quantiles(df, [], col, qs).get((), {})
     return spark.createDataFrame([(float(q), found.get(q)) for q in qs], "q double, value double")
 
 
@@ -191,8 +180,8 @@ def bucket_number(value: Column, lo: float, hi: float, n: int) -> Column:
 
 
 def histogram(df: DataFrame, col: str, n: int) -> DataFrame:
-    """(bucket, lo, hi, n) in equal widths between the smallest and the largest value."""
-    spark = df.sparkSession
+    """(bucket, lo, hi, n) in equal widths between the smallest and the largest value, NaN left out."""
+    spark, df = df.sparkSession, nan_free(df, [col])
     bounds = _bounds(df, col)
     if bounds is None:
         return spark.createDataFrame([], "bucket int, lo double, hi double, n bigint")
@@ -224,7 +213,7 @@ def banded_histogram(
     df: DataFrame, col: str, limits: Sequence[float], n: int, above: float | None = None, below: float | None = None
 ) -> DataFrame:
     """Equal-width histogram inside each value band, over values in (above, below) where given."""
-    kept = df.where(F.col(col).isNotNull())
+    kept = nan_free(df, [col]).where(F.col(col).isNotNull())
     if above is not None:
         kept = kept.where(F.col(col) > above)
     if below is not None:
@@ -260,6 +249,6 @@ def feature_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(feature, missing, zero, n_unique): shares of all rows and the number of distinct values."""
     missing = lambda c: F.count_if(c.isNull()) / F.count(F.lit(1))
     zero = lambda c: F.count_if(c == 0) / F.count(F.lit(1))
-    return per_column(df, cols, {"missing": missing, "zero": zero, "n_unique": F.count_distinct}, "feature")
+    return per_column(nan_free(df, cols), cols, {"missing": missing, "zero": zero, "n_unique": F.count_distinct}, "feature")
 
 

@@ -14,7 +14,6 @@ from riskfeat.functions.text import (
 from riskfeat.operators.joins import fuzzy_token_pairs
 from riskfeat.operators.rows import first_per_key, top_k_dense
 
-PATTERN_PHRASES = 1_000
 
 
 def word_frequency(df: DataFrame, words: str, without: Sequence[str] = ()) -> DataFrame:
@@ -69,21 +68,20 @@ def token_candidates(
 
 
 def contains_any(df: DataFrame, col: str, phrases: Sequence[str] | DataFrame, key: list[str] | None = None) -> DataFrame:
-    """Rows whose text holds a phrase between white space or the text's ends.
+    """Rows whose text holds a phrase as a run of whole words, whatever white space lies between them.
 
-    A list of up to 1,000 phrases is one pattern.  A longer list, or a table with a column
-    ``phrase``, is matched by an equi-join of the text's word runs with the phrases; ``key`` names the
-    text's id for that.
+    A table with a column ``phrase`` is matched by an equi-join of the text's word runs with the
+    phrases, and ``key`` names the text's id for that.  A list is one pattern on the text with its white
+    space squeezed, which comes to the same.
     """
     if not isinstance(phrases, DataFrame):
-        listed = usable_phrases(phrases)
+        listed = usable_phrases(" ".join(p.split()) for p in phrases if p)
         if not listed:
             return df.limit(0)
-        if len(listed) <= PATTERN_PHRASES:
-            return df.where(F.col(col).rlike(phrase_pattern(listed)))
-        phrases = df.sparkSession.createDataFrame([(p,) for p in listed], "phrase string")
+        squeezed = F.trim(F.regexp_replace(F.col(col), r"\s+", " "))
+        return df.where(squeezed.rlike(phrase_pattern(listed)))
     if key is None:
-        raise ValueError("a long phrase list needs the key of the texts")
+        raise ValueError("a table of phrases needs the key of the texts")
     hits = phrase_hits(df, col, phrases, key).select(*key).distinct()
     return df.join(hits, key, "left_semi")
 

@@ -77,15 +77,15 @@ def own_transfer_flags(
 
 def residual_flow(
     df: DataFrame, party: str, date: str, month: str, type_col: str, amount: str, row_id: str,
-    drop_type: str | None, codes: Sequence, **limits,
+    drop_type: str | None, codes: Sequence,
 ) -> DataFrame:
     """Income per party, month and type that is left once offsetting rows are taken out, twice:
     first within the same type, then, without ``drop_type``, across types."""
-    first = offset_pairs(df, party, date, amount, type_col, row_id, **limits).where(F.col("sum_check") == 0)
+    first = offset_pairs(df, party, date, amount, type_col, row_id).where(F.col("sum_check") == 0)
     rest = first.drop("sum_check")
     if drop_type is not None:
         rest = rest.where(F.col(type_col) != drop_type)
-    second = offset_pairs(rest, party, date, amount, None, row_id, largest_first=True, **limits)
+    second = offset_pairs(rest, party, date, amount, None, row_id, largest_first=True)
     left = second.where(F.col("sum_check") == 0)
     return monthly_flow(left, [party, month, type_col], type_col, amount, "income", codes=codes)
 

@@ -187,9 +187,10 @@ def filter_has_tokens(spark, d):
        AND strftime(o_orderdate, '%Y-%m') >= '1996-01' AND strftime(o_orderdate, '%Y-%m') < '1999-06'""",
 )
 def filter_ranges(spark, d):
-    month = F.date_format("o_orderdate", "yyyy-MM")
     o = load(spark, d, "orders").where(F.col("o_totalprice").between(1000, 200000))
-    return o.where((month >= "1996-01") & (month < "1999-06")).select("o_orderkey")
+    day, kind = F.col("o_orderdate"), o.schema["o_orderdate"].dataType
+    # The stored column itself is compared, so that the range reaches the scan.
+    return o.where((day >= F.lit("1996-01-01").cast(kind)) & (day < F.lit("1999-06-01").cast(kind))).select("o_orderkey")
 
 
 @query(

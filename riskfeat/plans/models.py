@@ -92,7 +92,7 @@ def holdout_complement(spark, d):
     return K.holdout(df, train, ["o_orderkey"]).unionByName(train).select("o_orderkey")
 
 
-VEC_COLS = [f"x{i}" for i in range(16)]
+VEC_COLS = [f"x{i}" for i in range(64)]
 
 
 def vectors(spark, d):
@@ -103,7 +103,7 @@ def vectors(spark, d):
     )
 
 
-VEC_SQL = "vecs AS (SELECT vec_id, CASE WHEN label = 0 THEN 1 ELSE 0 END AS label, CAST(embedding[1:16] AS DOUBLE[]) AS v, CAST(embedding AS DOUBLE[]) AS full_v FROM embeddings)"
+VEC_SQL = "vecs AS (SELECT vec_id, CASE WHEN label = 0 THEN 1 ELSE 0 END AS label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 # Distances are summed in the order of the dimensions on both sides.
 DIST = "sqrt(list_sum(list_transform(range(1, {n} + 1), lambda i: (a.{v}[i] - b.{v}[i]) * (a.{v}[i] - b.{v}[i]))))"
 
@@ -111,8 +111,8 @@ DIST = "sqrt(list_sum(list_transform(range(1, {n} + 1), lambda i: (a.{v}[i] - b.
 @query(
     "nearest_neighbours",
     f"""WITH {VEC_SQL} SELECT id, rank, neighbour, round(distance, 6) AS distance FROM (
-          SELECT a.vec_id AS id, b.vec_id AS neighbour, {DIST.format(n=16, v='v')} AS distance,
-                 CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY {DIST.format(n=16, v='v')}, b.vec_id) AS INTEGER) AS rank
+          SELECT a.vec_id AS id, b.vec_id AS neighbour, {DIST.format(n=64, v='v')} AS distance,
+                 CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY {DIST.format(n=64, v='v')}, b.vec_id) AS INTEGER) AS rank
           FROM vecs a JOIN vecs b ON a.vec_id <> b.vec_id) WHERE rank <= 5""",
 )
 def nearest_neighbours(spark, d):
@@ -133,7 +133,7 @@ def smote_rows(spark, d):
 @query(
     "edited_neighbours",
     f"""WITH {VEC_SQL}, near AS (SELECT * FROM (SELECT a.vec_id, a.label, b.label AS other,
-          row_number() OVER (PARTITION BY a.vec_id ORDER BY {DIST.format(n=16, v='v')}, b.vec_id) AS rn FROM vecs a JOIN vecs b ON a.vec_id <> b.vec_id) WHERE rn <= 3)
+          row_number() OVER (PARTITION BY a.vec_id ORDER BY {DIST.format(n=64, v='v')}, b.vec_id) AS rn FROM vecs a JOIN vecs b ON a.vec_id <> b.vec_id) WHERE rn <= 3)
         SELECT vec_id, label FROM vecs WHERE vec_id NOT IN (SELECT vec_id FROM near WHERE label = 0 AND other <> label)""",
 )
 def edited_neighbours(spark, d):

@@ -121,10 +121,10 @@ def recursive_elimination(spark, d):
 
 def _vectors(spark, d):
     e = load(spark, d, "embeddings")
-    return e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(16)])
+    return e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)])
 
 
-VECTOR_COLS = [f"x{i}" for i in range(16)]
+VECTOR_COLS = [f"x{i}" for i in range(64)]
 
 
 @query("pca_component_number")

@@ -11,8 +11,7 @@ import zipfile
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-# Rows that one window group, one exact percentile or one broadcast may hold.
-GROUP_ROWS = 1_000_000
+# Rows that one broadcast may hold.
 BROADCAST_ROWS = 100_000
 
 

@@ -26,7 +26,6 @@ def save_parquet(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).parquet(path)
 
 
-def save_csv(df: DataFrame, path: str, mode: str = "error", one_file_rows: int = 1_000_000) -> None:
-    """CSV with a header.  Up to ``one_file_rows`` rows go to one file, more keep their partitions."""
-    small = df.limit(one_file_rows + 1).count() <= one_file_rows
-    (df.coalesce(1) if small else df).write.mode(mode).csv(path, header=True)
+def save_csv(df: DataFrame, path: str, mode: str = "error", one_file: bool = False) -> None:
+    """CSV with a header: a file per partition, or one file where the result is known to be small."""
+    (df.coalesce(1) if one_file else df).write.mode(mode).csv(path, header=True)

@@ -13,14 +13,14 @@ def labelled(spark, n=600):
 @pytest.mark.parametrize("n", [0, 1, 137, 599, 600, 900])
 def test_take_exactly(spark, n):
     df = labelled(spark)
-    got = [r["id"] for r in K.take_exactly(df, n, ["id"], last_rows=5).collect()]
+    got = [r["id"] for r in K.take_exactly(df, n, ["id"]).collect()]
     assert len(got) == len(set(got)) == min(n, 600)
-    assert sorted(got) == sorted(r["id"] for r in K.take_exactly(df.repartition(7), n, ["id"], last_rows=5).collect())
+    assert sorted(got) == sorted(r["id"] for r in K.take_exactly(df.repartition(7), n, ["id"]).collect())
 
 
 def test_take_exactly_among_copies(spark):
     copies = spark.range(300).select(F.lit(1).alias("id"))
-    assert K.take_exactly(copies, 120, ["id"], last_rows=10).count() == 120
+    assert K.take_exactly(copies, 120, ["id"]).count() == 120
 
 
 def test_resample_sizes(spark):

@@ -1,6 +1,7 @@
 """Sources, sinks, profiles, statistics, rows and preparation on small frames."""
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riskfeat import runtime
 from riskfeat.functions import columns as C
+from riskfeat.operators import joins as J
 from riskfeat.operators import prepare as P
 from riskfeat.operators import profile as Q
 from riskfeat.operators import rows as R
@@ -32,7 +34,7 @@ def test_saved_tables(spark):
 
 def test_files(spark, tmp_path):
     df = spark.createDataFrame([(1, "a;b", 1.5), (2, None, 2.0)], "x int, s string, d double")
-    sinks.save_csv(df, str(tmp_path / "csv"))
+    sinks.save_csv(df, str(tmp_path / "csv"), one_file=True)
     assert len(list((tmp_path / "csv").glob("part-*.csv"))) == 1
     assert files.read_csv(spark, str(tmp_path / "csv"), infer=True).dtypes == [("x", "int"), ("s", "string"), ("d", "double")]
     assert {t for _, t in files.read_csv(spark, str(tmp_path / "csv")).dtypes} == {"string"}
@@ -68,21 +70,25 @@ def test_profiles(spark):
     assert S.binary_features(df, ["i", "d", "e"]) == ["i"]
 
 
-def test_correlation_guards_and_wide_path(spark):
+def test_correlations_equal_pandas(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 4))
     x[:, 2] = x[:, 0] * 2 + 1e6
     rows = [tuple(None if rng.random() < 0.1 else float(v) for v in r) + (3.0,) for r in x]
     df = spark.createDataFrame(rows, "a double, b double, c double, d double, k double")
     cols = df.columns
-    narrow = {(r[0], r[1]): r[2] for r in S.correlations(df, cols).collect()}
-    wide = {(r[0], r[1]): r[2] for r in S._wide_correlations(df, cols).collect()}
+    found = {(r[0], r[1]): r[2] for r in S.correlations(df, cols).collect()}
+    pairs = list(combinations(cols, 2))
+    single = df.agg(*[S.corr_expr(F.col(p), F.col(q)).alias(p + q) for p, q in pairs]).first()
     frame = df.toPandas().corr()
-    for (p, q), v in narrow.items():
+    assert set(found) == set(pairs)
+    for p, q in pairs:
         if "k" in (p, q):
-            assert v is None and wide[(p, q)] is None
+            assert found[(p, q)] is None and single[p + q] is None
         else:
-            assert v == pytest.approx(frame.loc[p, q], abs=1e-9) and wide[(p, q)] == pytest.approx(v, abs=1e-9)
+            assert found[(p, q)] == pytest.approx(frame.loc[p, q], abs=1e-9) and single[p + q] == pytest.approx(found[(p, q)], abs=1e-9)
+    nan = df.withColumn("a", F.coalesce("a", F.lit(float("nan"))))
+    assert {(r[0], r[1]): r[2] for r in S.correlations(nan, cols).collect()} == pytest.approx(found, abs=1e-12)
     assert [r["feature_1"] + r["feature_2"] for r in S.top_abs_correlations(df, cols, 0.9).collect()] == ["ac"]
 
 
@@ -116,6 +122,11 @@ def test_offsetting_pairs(spark):
 def test_top_k_keeps_ties(spark):
     df = spark.createDataFrame([("a", 5), ("a", 5), ("a", 4), ("a", 3), ("b", 1)], "k string, v int")
     assert sorted(map(tuple, R.top_k_dense(df, ["k"], "v", 2).collect())) == [("a", 4, 2), ("a", 5, 1), ("a", 5, 1), ("b", 1, 1)]
+    gaps = spark.createDataFrame([(1, 5), (1, None), (None, 3), (None, 2)], "k int, v int")
+    ranked = {(r["k"], r["v"]): r[2] for r in R.top_k_dense(gaps, ["k"], "v", 3).collect()}
+    assert ranked == {(1, 5): 1, (1, None): 2, (None, 3): 1, (None, 2): 2}
+    totals = J.aggregate_join_back(gaps, ["k"], {"total": F.sum("v")}).collect()
+    assert sorted((r["total"] for r in totals)) == [5, 5, 5, 5] and len(totals) == 4
 
 
 def test_running_list_and_edges(spark):
