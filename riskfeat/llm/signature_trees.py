@@ -17,6 +17,10 @@ import numpy as np
 PERCENT = 75
 LEAF, FANOUT = 16, 8
 PAIRS_AT_ONCE = 512
+#: Of the signatures that are compared in one step: wide ones go in smaller portions.
+BYTES_AT_ONCE = 8 << 20
+#: Of all signatures of a tree: with more sets they get narrower, which bounds fewer pairs but loses none.
+TREE_BYTES = 16 << 20
 
 
 def width_for(n: np.ndarray, per_element: int = 2) -> np.ndarray:
@@ -60,10 +64,13 @@ class Tree:
         bits, low, high, extra = self.levels[level]
         p = self.percent
         ok = (100 * high[a] >= p * low[b]) & (100 * high[b] >= p * low[a])
-        at = np.flatnonzero(ok)
-        shared = np.bitwise_count(bits[a[at]] & bits[b[at]]).sum(1, dtype=np.int64) + np.minimum(extra[a[at]], extra[b[at]])
-        # overlap >= p% of the union means overlap >= p / (100 + p) of the sizes' sum.
-        ok[at] = (100 + p) * shared >= p * (low[a[at]] + low[b[at]])
+        left, step = np.flatnonzero(ok), max(1, BYTES_AT_ONCE // bits[0].nbytes)
+        for k in range(0, len(left), step):
+            at = left[k:k + step]
+            x, y = a[at], b[at]
+            shared = np.bitwise_count(bits[x] & bits[y]).sum(1, dtype=np.int64) + np.minimum(extra[x], extra[y])
+            # overlap >= p% of the union means overlap >= p / (100 + p) of the sizes' sum.
+            ok[at] = (100 + p) * shared >= p * (low[x] + low[y])
         return ok
 
     def _children(self, level: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +145,7 @@ def links(sets: list[np.ndarray], group: np.ndarray, percent: int = PERCENT) ->
     pairs make; pairs already joined are not looked at."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     bits = int(width_for(sizes.max(), 4))
-    while bits > 256 and bits // 8 * len(sets) > 64 << 20:
+    while bits > 256 and bits // 8 * len(sets) > TREE_BYTES:
         bits //= 2
     label = np.unique(group, return_inverse=True)[1]
     tree = Tree(sizes, np.stack([signature(s, bits) for s in sets]), percent)
