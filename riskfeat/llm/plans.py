@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskfeat.llm import chat, decontaminate, fingerprints, jaccard, language, mixing, quality, token_files, warc
+from riskfeat.llm import chat, decontaminate, fingerprints, jaccard, language, mixing, quality, token_counts, token_files, warc
 from riskfeat.llm.base import load, query
 from riskfeat.runtime import shared_folder
 
@@ -132,6 +132,11 @@ def op5_quality(spark, d):
     return quality.classify(load(spark, d, "documents"), load(spark, d, "labels"), language.held_out(0, 5))
 
 
+@query("op6_token_counts")
+def op6_token_counts(spark, d):
+    return token_counts.token_counts(load(spark, d, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 JACCARD_SQL = r"""WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
   FROM documents),
