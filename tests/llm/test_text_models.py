@@ -39,9 +39,15 @@ def test_nothing_to_learn_from(odd):
 
 
 def test_predictions_depend_on_the_text_only(two_languages):
-    twice = two_languages.unionByName(two_languages.select((F.col("doc_id") + 9000).alias("doc_id"), "text", F.lit("xx").alias("lang")).where("doc_id % 4 = 1").limit(0))
-    rows = language.identify(twice, language.held_out()).groupBy("lang_pred").count().collect()
-    assert {r["lang_pred"]: r["count"] for r in rows} == {"en": 150, "de": 150}
+    """Held-out shadows with other ids, languages and sources get their originals' answers."""
+    held = language.held_out()
+    shadows = two_languages.select((F.col("doc_id") + 9000).alias("doc_id"), "text", F.lit("xx").alias("lang"), F.lit("other").alias("source")).where(held)
+    both = two_languages.withColumn("source", F.lit("one")).unionByName(shadows)
+    rows = language.identify(both, held).join(both.select("doc_id", "text"), "doc_id").collect()
+    answers = {}
+    for r in rows:
+        answers.setdefault(r["text"], set()).add((r["lang_pred"], r["score"], r["rejected"]))
+    assert len(rows) > 350 and len(answers) == 300 and all(len(a) == 1 for a in answers.values())
 
 
 def test_clusters():
