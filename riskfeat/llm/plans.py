@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskfeat.llm import chat, decontaminate, fingerprints, jaccard, language, mixing, quality, token_counts, token_files, warc
+from riskfeat.llm import chat, decontaminate, filter_audit, fingerprints, jaccard, language, mixing, quality, token_counts, token_files, warc
 from riskfeat.llm.base import load, query
 from riskfeat.runtime import shared_folder
 
@@ -155,3 +155,41 @@ FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN reach r ON w.doc_id = r.doc_
 @query("op7_jaccard_join", JACCARD_SQL)
 def op7_jaccard_join(spark, d):
     return jaccard.joined(load(spark, d, "documents"))
+
+
+AUDIT_SQL = r"""WITH RECURSIVE doc AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+firsts AS (SELECT text, min(doc_id) AS first_id FROM doc GROUP BY text),
+label AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+mask AS (
+  SELECT d.part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic,
+    (CASE WHEN len(w) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END)
+    || (CASE WHEN 100 * len(regexp_replace(d.text, '[^A-Z]', '', 'g')) > 3 * length(d.text) THEN 'C' ELSE '' END)
+    || (CASE WHEN regexp_matches(d.text, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN d.doc_id > f.first_id THEN 'E' ELSE '' END) AS fails
+  FROM doc d JOIN firsts f ON d.text = f.text LEFT JOIN label l ON d.doc_id = l.doc_id),
+cell AS (SELECT part, fails, good, toxic, count(*) AS n FROM mask GROUP BY ALL),
+perm AS (
+  SELECT '' AS filter_order UNION ALL
+  SELECT filter_order || x FROM perm, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(filter_order, x)),
+step AS (
+  SELECT filter_order, k::INTEGER AS step, filter_order[k] AS f, filter_order[1:k - 1] AS before
+  FROM perm, (SELECT unnest(range(1, 6)) AS k) WHERE length(filter_order) = 5),
+per_step AS (
+  SELECT c.part, s.filter_order, s.step, s.f,
+    sum(CASE WHEN translate(fails, before || f, '') = fails THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN contains(fails, f) AND translate(fails, before, '') = fails THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN contains(fails, f) AND translate(fails, before, '') <> fails THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails = f THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN contains(fails, f) AND translate(fails, before, '') = fails THEN n * good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN contains(fails, f) AND translate(fails, before, '') = fails THEN n * toxic ELSE 0 END) AS toxic_lost
+  FROM cell c, step s GROUP BY c.part, s.filter_order, s.step, s.f)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM per_step"""
+
+
+@query("op11_filter_audit", AUDIT_SQL)
+def op11_filter_audit(spark, d):
+    return filter_audit.audit(load(spark, d, "documents"), load(spark, d, "labels"))
