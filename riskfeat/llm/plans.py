@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskfeat.llm import chat, decontaminate, filter_audit, fingerprints, jaccard, language, mixing, quality, token_counts, token_files, warc
+from riskfeat.llm import alignment, chat, decontaminate, filter_audit, fingerprints, jaccard, language, mixing, quality, token_counts, token_files, toxicity, warc
 from riskfeat.llm.base import load, query
 from riskfeat.runtime import shared_folder
 
@@ -193,3 +193,13 @@ FROM per_step"""
 @query("op11_filter_audit", AUDIT_SQL)
 def op11_filter_audit(spark, d):
     return filter_audit.audit(load(spark, d, "documents"), load(spark, d, "labels"))
+
+
+@query("op12_toxicity")
+def op12_toxicity(spark, d):
+    return toxicity.classify(load(spark, d, "documents"), load(spark, d, "labels"), language.held_out(1, 3))
+
+
+@query("op13_alignment")
+def op13_alignment(spark, d):
+    return alignment.align(load(spark, d, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))

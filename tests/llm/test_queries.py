@@ -80,3 +80,13 @@ def test_quality_on_held_out_documents(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == (r["score"] >= 0.3) for r in rows)
     held = [r for r in rows if r["held_out"] and r["doc_id"] in label]
     assert np.mean([r["predicted"] == label[r["doc_id"]] for r in held]) > 0.85
+
+
+def test_toxicity_on_held_out_documents(spark):
+    label = {d["doc_id"]: d["toxic"] for d in read("labels")}
+    rows = BOOK["op12_toxicity"].run(spark, FOLDER).collect()
+    assert len(rows) == len(read("documents"))
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and r["predicted"] == (r["score"] >= 0.7) for r in rows)
+    held = [r for r in rows if r["held_out"] and r["doc_id"] in label]
+    # The smallest table has about a dozen toxic documents to learn from.
+    assert np.mean([r["predicted"] == label[r["doc_id"]] for r in held]) > 0.7
