@@ -1,5 +1,7 @@
 """Alignments against byte-by-byte owners of both sides' tokens."""
 
+import json
+import random
 from collections import Counter
 from hashlib import sha256
 
@@ -111,3 +113,22 @@ def test_alphabet_is_the_library_s():
 def test_no_tokens_no_groups():
     x = alignment.Alignment.of([None, ""], alignment.byte_level(A), alignment.pieces_of(B))
     assert len(x.link_a) == len(x.cuts) == 0 and x.group_counts().tolist() == [0, 0]
+
+
+def test_ids_are_the_library_s():
+    """The condition under which both libraries agree, and their ids over code points and odd texts."""
+    both_sides("x")
+    tok = both_sides.__defaults__[0]["a"]
+    spec = json.load(open(A))
+    vocabulary, special = spec["model"]["vocab"], {t["content"] for t in spec["added_tokens"]}
+    assert all(vocabulary["".join(m if isinstance(m, list) else m.split(" "))] == 256 + k for k, m in enumerate(spec["model"]["merges"]))
+    assert all([t.id for t in tok.model.tokenize(e)] == [i] for e, i in vocabulary.items() if e not in special)
+    side = alignment.byte_level(A)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3100 or c % 61 == 0)]
+    texts = ["".join(f"x{c}x {c}{c} 1{c}1 !{c}! {c} \n{c}  {c}'s" for c in points[lo:lo + 256]) for lo in range(0, len(points), 256)]
+    r = random.Random(6)
+    some = ["a", "The", " ", " ", "  ", "\n", " \n", "\t", "'s", "'", "\x1c", "\x85", "\xa0", "\u3000", "中", "7", "é", "!", "▁", "<|endoftext|>", "x" * 40]
+    texts += ["".join(r.choice(some) for _ in range(r.randint(1, 80))) for _ in range(300)]
+    texts += [" " * 1_000_000, "a" + "\n" * 50_000 + "b", "\x1c" * 5_000]
+    for t, ids in zip(texts, side.encode(texts), strict=True):
+        assert ids == tok.encode(" " + t, add_special_tokens=False).ids, repr(t[:200])
