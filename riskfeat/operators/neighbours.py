@@ -1,8 +1,12 @@
-"""Exact nearest neighbours without comparing all rows with all rows.
+"""Exact nearest neighbours by a vector-approximation file.
 
-Distinct vectors are cut into blocks along a small tree of axis cuts.  A search inside the own block
-gives each vector an upper bound on the distance of its k-th neighbour; it then visits only those
-blocks whose bounding box comes within that bound.  Equal vectors are searched once.
+Every distinct vector is kept as one byte per dimension: the number of the cell it lies in, of CELLS along that
+axis.  Two cells bound the distance of their vectors from below and above, by table look-up.  Codes, not vectors,
+are cut into blocks along a small tree of axis cuts.  The own block gives a vector an upper bound on the
+distance of its k-th neighbour; its code then visits the blocks whose box comes within that bound, and only ids
+whose lower bound reaches the k-th upper bound come back.  Vectors are read again for these alone.
+
+Cell borders and the tree come from at most TREE_SAMPLE vectors; that decides how tight the bounds are, never the result.
 """
 
 from __future__ import annotations
@@ -14,11 +18,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskfeat.runtime import collect_bounded, cut_lineage
+from riskfeat.runtime import collect_bounded, cut_lineage, ship
 
 BLOCK_ROWS = 4_096
-MAX_BLOCKS = 20_000
+MAX_BLOCKS = 200_000
 TREE_SAMPLE = 20_000
+CELLS = 256
+PAIRS_AT_ONCE = 2_000_000
+#: A hair of room, so rounding never rules out a neighbour at exactly the bound.
+ROOM = 1 + 1e-9
 
 
 def _matrix(col: pd.Series) -> np.ndarray:
@@ -54,15 +62,75 @@ def _leaf_numbers(tree, points: np.ndarray) -> np.ndarray:
     return out
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances by direct differences, a slice of rows at a time."""
-    out = np.empty((len(a), len(b)))
-    step = max(1, 4_000_000 // max(1, b.size))
-    for i in range(0, len(a), step):
-        out[i:i + step] = np.sqrt(((a[i:i + step, None, :] - b[None, :, :]) ** 2).sum(-1))
+class Cells:
+    """Cells along every axis: ``edges`` (dimensions, CELLS + 1), from the least value to the greatest."""
+
+    def __init__(self, sample: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+        inner = np.quantile(sample, np.arange(1, CELLS) / CELLS, axis=0).T
+        even = lo[:, None] + (hi - lo)[:, None] * np.arange(1, CELLS) / CELLS
+        # Half by rank and half by width, so that neither crowds nor outliers make cells wide where it counts.
+        self.edges = np.concatenate([lo[:, None], np.sort(np.where(np.arange(CELLS - 1) % 2, inner, even), axis=1), hi[:, None]], axis=1)
+        self.centres = (self.edges[:, 1:] + self.edges[:, :-1]) / 2
+        self.halves = (self.edges[:, 1:] - self.edges[:, :-1]) / 2
+        self.axes = np.arange(len(lo))
+
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        return np.stack([np.searchsorted(e[1:-1], v, side="right") for e, v in zip(self.edges, x.T, strict=True)], axis=1).astype(np.uint8)
+
+    def bounds(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(least, greatest) distance of vectors in the cells ``a`` from those in ``b``, row by row."""
+        apart = np.abs(self.centres[self.axes, a] - self.centres[self.axes, b])
+        reach = self.halves[self.axes, a] + self.halves[self.axes, b]
+        return np.sqrt((np.maximum(apart - reach, 0) ** 2).sum(-1)), np.sqrt(((apart + reach) ** 2).sum(-1))
+
+    def rough(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Wider bounds of all rows of ``a`` against all of ``b``: the centres' distance less and plus both radii."""
+        ca, cb = self.centres[self.axes, a], self.centres[self.axes, b]
+        ra, rb = (np.sqrt((self.halves[self.axes, c] ** 2).sum(-1)) for c in (a, b))
+        na, nb = (ca * ca).sum(-1), (cb * cb).sum(-1)
+        square = na[:, None] + nb[None, :] - 2 * ca @ cb.T
+        # The product rounds by a few units of the norms; both bounds are moved apart by more than that.
+        slack = 1e-12 * (na[:, None] + nb[None, :])
+        radii = ra[:, None] + rb[None, :]
+        return np.maximum(np.sqrt(np.maximum(square - slack, 0)) - radii, 0), np.sqrt(np.maximum(square + slack, 0)) + radii
+
+    def near(self, a: np.ndarray, b: np.ndarray, same: np.ndarray, k: int, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row of a, row of b, lower, upper) of the pairs that can be among the k nearest of ``a``'s rows.
+
+        ``same`` marks pairs of one vector with itself, ``reach`` is known of the k-th distance already.
+        """
+        low, high = self.rough(a, b)
+        high[same] = np.inf
+        low[same] = np.inf
+        if b.shape[0] > k:
+            reach = np.minimum(reach, np.partition(high, k - 1, axis=1)[:, k - 1])
+        q, t = np.nonzero(low <= (reach * ROOM)[:, None])
+        low, high = self.bounds(a[q], b[t])
+        reach = np.minimum(reach, kth_of_each(q, high, len(a), k))
+        keep = low <= reach[q] * ROOM
+        return q[keep], t[keep], low[keep], high[keep]
+
+
+def kth_of_each(owner: np.ndarray, value: np.ndarray, n: int, k: int) -> np.ndarray:
+    """The k-th least value of each of ``n`` owners, infinite where there are fewer."""
+    order = np.lexsort((value, owner))
+    first = np.searchsorted(owner[order], np.arange(n))
+    size = np.bincount(owner, minlength=n)
+    out = np.full(n, np.inf)
+    some = size >= k
+    out[some] = value[order][first[some] + k - 1]
     return out
 
 
+def _codes(col: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(col), dtype=np.uint8).reshape(len(col), -1)
+
+
+def _steps(n: int, others: int) -> range:
+    """Starts of portions of ``n`` rows whose comparisons with ``others`` rows stay within PAIRS_AT_ONCE."""
+    return range(0, n, max(1, PAIRS_AT_ONCE // max(1, others)))
+
+
 def _distinct_vectors(df: DataFrame, k: int) -> DataFrame:
     """(vid, features, ids): each distinct vector once, with its k + 1 lowest row ids."""
     w = Window.partitionBy("features").orderBy("id")
@@ -71,98 +139,117 @@ def _distinct_vectors(df: DataFrame, k: int) -> DataFrame:
     return grouped.select(F.col("ids")[0].alias("vid"), "features", "ids")
 
 
-def nearest(df: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(id, rank, neighbour, distance) for ``df`` (id, features array<double>): the k nearest other
-    rows by Euclidean distance, ties by id."""
-    df = df.select("id", F.col("features").cast("array<double>").alias("features"))
+def candidates(df: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(distinct vectors, pairs (vid, near) among which all k nearest neighbours of every vector are).
+
+    ``df`` has ``id`` and ``features`` array<double>; a vector's id is its lowest row id.
+    """
+    ship(df.sparkSession)
     id_type = df.schema["id"].dataType.simpleString()
     vectors = cut_lineage(_distinct_vectors(df, k))
     n = vectors.count()
-    block_rows = max(block_rows, n // MAX_BLOCKS)
+    no_pairs = df.sparkSession.createDataFrame([], f"vid {id_type}, near {id_type}")
     seen = vectors.select("features").sample(fraction=min(1.0, TREE_SAMPLE * 2 / max(n, 1)), seed=7).limit(TREE_SAMPLE).collect()
-    tree = _axis_cuts(_matrix(pd.Series([r[0] for r in seen])), -(-n // block_rows)) if seen else None
+    if not seen:
+        return vectors, no_pairs
+    # Blocks grow with the table beyond some hundred million vectors; comparisons within them go in portions anyway.
+    block_rows = max(block_rows, -(-4 * n // MAX_BLOCKS))
+    sample = _matrix(pd.Series([r[0] for r in seen]))
+    ends = vectors.select(F.posexplode("features").alias("axis", "x")).groupBy("axis").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("axis").collect()
+    cells = Cells(sample, np.array([r["lo"] for r in ends]), np.array([r["hi"] for r in ends]))
+    tree = _axis_cuts(sample, -(-n // block_rows))
 
-    def to_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def to_codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                yield b.assign(leaf=_leaf_numbers(tree, _matrix(b["features"])))
+                x = _matrix(b["features"])
+                yield pd.DataFrame({"vid": b["vid"], "code": [c.tobytes() for c in cells.encode(x)], "leaf": _leaf_numbers(tree, x)})
 
-    leaves = vectors.select("vid", "features").mapInPandas(to_leaves, f"vid {id_type}, features array<double>, leaf bigint")
+    leaves = vectors.select("vid", "features").mapInPandas(to_codes, f"vid {id_type}, code binary, leaf bigint")
     sizes = leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
     parts = sizes.select("leaf", F.ceil(F.col("n") / block_rows).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int")
-    # At most MAX_BLOCKS leaves, so the table of part numbers is small.
-    placed = leaves.join(F.broadcast(parts), "leaf").select("vid", "features", F.concat_ws(":", "leaf", part).alias("block"))
+    # The tree has at most as many leaves as its sample has vectors.
+    placed = leaves.join(F.broadcast(parts), "leaf").select("vid", "code", F.concat_ws(":", "leaf", part).alias("block"))
     placed = cut_lineage(placed)
 
     def bound(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = _matrix(pdf["features"])
-        d = _distances(x, x)
-        np.fill_diagonal(d, np.inf)
-        r = np.partition(d, k - 1, axis=1)[:, k - 1] if len(pdf) > k else np.full(len(pdf), np.inf)
-        return pdf.assign(reach=r)
+        x = _codes(pdf["code"])
+        reach = np.full(len(x), np.inf)
+        for lo in _steps(len(x), len(x)):
+            some = x[lo:lo + _steps(len(x), len(x)).step]
+            same = np.arange(lo, lo + len(some))[:, None] == np.arange(len(x))[None, :]
+            q, _, _, high = cells.near(some, x, same, k, reach[lo:lo + len(some)])
+            reach[lo:lo + len(some)] = kth_of_each(q, high, len(some), k)
+        return pdf.assign(reach=reach)
 
-    bounded = placed.groupBy("block").applyInPandas(bound, f"vid {id_type}, features array<double>, block string, reach double")
-    bounded = cut_lineage(bounded)
+    bounded = cut_lineage(placed.groupBy("block").applyInPandas(bound, f"vid {id_type}, code binary, block string, reach double"))
 
     def box(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = _matrix(pdf["features"])
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "lo": [x.min(0)], "hi": [x.max(0)]})
+        x = _codes(pdf["code"])
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "lo": [x.min(0).tobytes()], "hi": [x.max(0).tobytes()]})
 
-    boxes = collect_bounded(placed.groupBy("block").applyInPandas(box, "block string, lo array<double>, hi array<double>"))
+    boxes = sorted(collect_bounded(placed.groupBy("block").applyInPandas(box, "block string, lo binary, hi binary"), MAX_BLOCKS))
     names = np.array([b["block"] for b in boxes], dtype=object)
-    if not len(names):
-        return df.sparkSession.createDataFrame([], f"id {id_type}, rank int, neighbour {id_type}, distance double")
-    lo, hi = np.array([b["lo"] for b in boxes]), np.array([b["hi"] for b in boxes])
+    # Two bytes per dimension and block travel to the tasks.
+    first, last = (_codes(pd.Series([bytes(b[end]) for b in boxes])) for end in ("lo", "hi"))
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        low, high = cells.edges[cells.axes, first], cells.edges[cells.axes, last.astype(np.int64) + 1]
         for b in batches:
-            for _, part_of in b.groupby(np.arange(len(b)) // 256):
-                x = _matrix(part_of["features"])
-                gap = np.empty((len(x), len(names)))
-                for i, row in enumerate(x):
-                    off = np.maximum(np.maximum(lo - row, row - hi), 0.0)
-                    gap[i] = np.sqrt((off * off).sum(1))
-                # A hair of room, so rounding never rules out a neighbour at exactly the bound.
-                q, t = np.nonzero(gap <= part_of["reach"].to_numpy()[:, None] * (1 + 1e-9))
-                yield pd.DataFrame({"vid": part_of["vid"].to_numpy()[q], "features": part_of["features"].to_numpy()[q], "target": names[t]})
-
-    asked = bounded.select("vid", "features", "reach").mapInPandas(visits, f"vid {id_type}, features array<double>, target string")
-    asked = cut_lineage(asked)
+            codes, reach = _codes(b["code"]) if len(b) else None, b["reach"].to_numpy()
+            for lo in _steps(len(b), low.size):
+                c = codes[lo:lo + _steps(len(b), low.size).step].astype(np.int64)
+                under, over = cells.edges[cells.axes, c], cells.edges[cells.axes, c + 1]
+                gap = np.maximum(np.maximum(low[None] - over[:, None], under[:, None] - high[None]), 0.0)
+                q, t = np.nonzero(np.sqrt((gap * gap).sum(-1)) <= reach[lo:lo + len(c), None] * ROOM)
+                part_of = b.iloc[lo + q]
+                yield pd.DataFrame({"vid": part_of["vid"].to_numpy(), "code": part_of["code"].to_numpy(), "reach": reach[lo + q], "target": names[t]})
+
+    asked = cut_lineage(bounded.select("vid", "code", "reach").mapInPandas(visits, f"vid {id_type}, code binary, reach double, target string"))
     # Blocks asked by very many vectors are answered by several tasks, each with its own copy.
-    loads = asked.groupBy("target").agg(F.ceil(F.count(F.lit(1)) / (2 * block_rows)).cast("int").alias("copies"))
-    loads = F.broadcast(loads)
-    asked = asked.join(loads, "target").select(
-        "target", F.pmod(F.xxhash64("vid"), F.col("copies")).cast("int").alias("copy"), "vid", "features"
-    )
+    loads = F.broadcast(asked.groupBy("target").agg(F.ceil(F.count(F.lit(1)) / (2 * block_rows)).cast("int").alias("copies")))
+    asked = asked.join(loads, "target").select("target", F.pmod(F.xxhash64("vid"), F.col("copies")).cast("int").alias("copy"), "vid", "code", "reach")
     held = placed.withColumnRenamed("block", "target").join(loads, "target").select(
-        "target", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "vid", "features"
+        "target", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "vid", "code"
     )
 
-    def answer(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        pid, px = p["vid"].to_numpy(), _matrix(p["features"])
-        for _, some in q.groupby(np.arange(len(q)) // 512):
-            d = _distances(_matrix(some["features"]), px)
-            qid = some["vid"].to_numpy()
-            d[qid[:, None] == pid[None, :]] = np.inf
-            for i in range(len(some)):
-                # All at or below the k-th distance, so that ties are still there to be ordered by id.
-                limit = np.partition(d[i], k - 1)[k - 1] if len(pid) > k else np.inf
-                keep = np.nonzero((d[i] <= limit) & np.isfinite(d[i]))[0]
-                keep = keep[np.lexsort((pid[keep], d[i][keep]))][:k]
-                out.append(pd.DataFrame({"vid": qid[i], "near": pid[keep], "distance": d[i][keep]}))
-        return pd.concat(out) if out else pd.DataFrame({"vid": [], "near": [], "distance": []})
+    def answer(asking: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(asking) and len(there):
+            qid, tid, q_codes, t_codes = asking["vid"].to_numpy(), there["vid"].to_numpy(), _codes(asking["code"]), _codes(there["code"])
+            step = _steps(len(qid), len(tid)).step
+            for lo in range(0, len(qid), step):
+                ids = qid[lo:lo + step]
+                q, t, least, most = cells.near(q_codes[lo:lo + step], t_codes, ids[:, None] == tid[None, :], k, asking["reach"].to_numpy()[lo:lo + step])
+                found.append(pd.DataFrame({"vid": ids[q], "near": tid[t], "least": least, "most": most}))
+        return pd.concat(found) if found else pd.DataFrame({"vid": [], "near": [], "least": [], "most": []})
 
     found = asked.groupBy("target", "copy").cogroup(held.groupBy("target", "copy")).applyInPandas(
-        answer, f"vid {id_type}, near {id_type}, distance double"
+        answer, f"vid {id_type}, near {id_type}, least double, most double"
     )
+    # What every block found is held against the k-th upper bound over all of them.
+    kth = F.array_sort(F.transform("_all", lambda s: s["most"]))[k - 1]
+    pool = found.groupBy("vid").agg(F.collect_list(F.struct("near", "least", "most")).alias("_all")).withColumn("_kth", F.coalesce(kth, F.lit(float("inf"))))
+    pairs = pool.select("vid", F.explode(F.filter("_all", lambda s: s["least"] <= F.col("_kth") * ROOM)).alias("s")).select("vid", "s.near")
+    return vectors, pairs
+
+
+def nearest(df: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(id, rank, neighbour, distance) for ``df`` (id, features array<double>): the k nearest other
+    rows by Euclidean distance, ties by id."""
+    df = df.select("id", F.col("features").cast("array<double>").alias("features"))
+    vectors, pairs = candidates(df, k, block_rows)
+    mine = vectors.select("vid", F.col("features").alias("_a"))
+    other = vectors.select(F.col("vid").alias("near"), F.col("features").alias("_b"), "ids")
+    squares = F.zip_with("_a", "_b", lambda a, b: (a - b) * (a - b))
+    measured = pairs.join(other, "near").join(mine, "vid").select("vid", "near", "ids", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)).alias("distance"))
     w = Window.partitionBy("vid").orderBy("distance", "near")
-    best = found.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
+    best = measured.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
     # Back to rows: the k + 1 lowest ids of the own vector and of each near vector are enough.
-    others = best.join(vectors.select(F.col("vid").alias("near"), "ids"), "near").select("vid", "distance", "ids")
-    candidates = others.unionByName(vectors.select("vid", F.lit(0.0).alias("distance"), "ids"))
-    pool = candidates.select("vid", F.transform("ids", lambda i: F.struct(F.col("distance").alias("distance"), i.alias("neighbour"))).alias("_s"))
+    others = best.select("vid", "distance", "ids")
+    with_own = others.unionByName(vectors.select("vid", F.lit(0.0).alias("distance"), "ids"))
+    pool = with_own.select("vid", F.transform("ids", lambda i: F.struct(F.col("distance").alias("distance"), i.alias("neighbour"))).alias("_s"))
     pool = pool.groupBy("vid").agg(F.array_sort(F.flatten(F.collect_list("_s"))).alias("_pool"))
     owner = df.join(vectors.select("vid", "features"), "features").select("id", "vid")
     chosen = owner.join(pool, "vid").select(

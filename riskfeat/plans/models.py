@@ -9,11 +9,14 @@ from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from riskfeat.functions import text as X
+from riskfeat.functions.fixed_values import STOP_WORDS
 from riskfeat.operators import joins as J
 from riskfeat.operators import models as M
 from riskfeat.operators import neighbours as N
 from riskfeat.operators import prepare as P
 from riskfeat.operators import sampling as K
+from riskfeat.operators import vocabulary as V
 from riskfeat.plans.base import FEATURES, load, query, r6, with_holes
 from riskfeat.plans.columns import _scratch
 
@@ -292,10 +295,12 @@ def _labelled_texts(spark, d):
 
 @query("text_classifier")
 def text_classifier(spark, d):
-    texts = _labelled_texts(spark, d)
-    train = texts.where(F.col("label").isNotNull())
-    model, full = M.text_pipeline(train, texts, "text", vocab=2_000, min_df=2.0)
-    fitted = M.fit_lr(model.transform(train))
+    texts = X.tokenize(_labelled_texts(spark, d), "text", "words")
+    words = X.remove_stopwords(X.computed_once(texts, ["doc_id", "label"], words=F.col("words")), "words", "kept", STOP_WORDS)
+    # The dictionary is that of the labelled texts, whatever its size.
+    terms = V.dictionary(V.term_counts(words.where(F.col("label").isNotNull()), "doc_id", "kept"))
+    full = V.term_features(words, "doc_id", "kept", terms)
+    fitted = M.fit_lr(full.where(F.col("label").isNotNull()))
     return M.score(fitted, full.where(F.col("label").isNull()), cls=0, at_most=0.5).select("doc_id", "prediction", "p")
 
 

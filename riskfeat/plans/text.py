@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from riskfeat.functions import text as X
 from riskfeat.functions.fixed_values import KEPT_SHORT_TOKENS, PAYEE_RULES, STOP_WORDS
+from riskfeat.operators import embeddings as E
 from riskfeat.operators import models as M
 from riskfeat.operators import textmatch as T
+from riskfeat.operators import vocabulary as V
 from riskfeat.plans.base import load, money, query, r6
 from riskfeat.runtime import spread
 
@@ -36,7 +38,9 @@ def cleaned(spark, d):
 
 
 def worded(spark, d):
-    return X.tokenize(cleaned(spark, d), "t", "words").select("doc_id", "n_chars", "words")
+    """Words are computed once; what explodes them later does not clean the text again per step."""
+    words = X.tokenize(cleaned(spark, d), "t", "words")
+    return X.computed_once(words, ["doc_id", "n_chars"], words=F.col("words"))
 
 
 @query("clean_text", f"WITH {CLEANED} SELECT doc_id, t FROM cleaned")
@@ -194,20 +198,32 @@ def payment_accounts(spark, d):
 )
 def document_frequency_weights(spark, d):
     kept = X.remove_stopwords(worded(spark, d), "words", "kept", STOP_WORDS)
-    counts = M.count_vectorize("kept", "counts", min_df=2.0).fit(kept)
-    weights = M.idf("counts").fit(counts.transform(kept)).idf.toArray()
-    # The vocabulary is capped by the vectorizer's own parameter.
-    return spark.createDataFrame([(t, float(w)) for t, w in zip(counts.vocabulary, weights)], "term string, idf double").withColumn("idf", r6("idf"))
+    terms = V.dictionary(V.term_counts(kept, "doc_id", "kept"), min_docs=2)
+    return terms.select("term", r6(V.idf(load(spark, d, "documents").count())).alias("idf"))
 
 
 @query("term_counts", f"WITH {WORDS} SELECT doc_id, CAST(len(words) AS DOUBLE) AS terms FROM w")
 def term_counts(spark, d):
-    from pyspark.ml.functions import vector_to_array
-
     w = worded(spark, d)
-    counted = M.count_vectorize("words", "counts").fit(w).transform(w)
-    total = F.aggregate(vector_to_array("counts"), F.lit(0.0), lambda a, b: a + b)
-    return counted.select("doc_id", total.alias("terms"))
+    counts = V.term_counts(w, "doc_id", "words")
+    arrays = V.folded(counts, "doc_id", V.dictionary(counts))
+    total = F.aggregate("value", F.lit(0.0), lambda a, b: a + b)
+    return w.select("doc_id").join(arrays, "doc_id", "left").select("doc_id", F.coalesce(total, F.lit(0.0)).alias("terms"))
+
+
+@query(
+    "term_vectors",
+    f"""WITH {WORDS}, c AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(words) AS term FROM w) GROUP BY doc_id, term),
+        v AS (SELECT term, row_number() OVER (ORDER BY sum(n) DESC, encode(term)) - 1 AS index, count(*) AS docs FROM c GROUP BY term)
+        SELECT doc_id, index, CAST(n AS DOUBLE) AS n, round(n * ln(((SELECT count(*) FROM documents) + 1) / (docs + 1)), 6) AS weight FROM c JOIN v USING (term)""",
+)
+def term_vectors(spark, d):
+    """Every slot of every document's sparse vector: the term's number, its count and its weight."""
+    counts = V.term_counts(worded(spark, d), "doc_id", "words")
+    terms = V.dictionary(counts)
+    whole = load(spark, d, "documents").count()
+    slots = [V.folded(counts, "doc_id", terms, v).select("doc_id", F.inline(F.arrays_zip("index", "value"))) for v in (None, F.col("n") * V.idf(whole))]
+    return slots[0].withColumnRenamed("value", "n").join(slots[1].withColumnRenamed("value", "weight"), ["doc_id", "index"]).withColumn("weight", r6("weight"))
 
 
 @query("hashed_term_counts", f"WITH {WORDS} SELECT doc_id, CAST(len(words) AS DOUBLE) AS terms FROM w")
@@ -220,11 +236,7 @@ def hashed_term_counts(spark, d):
 
 @query("word_embeddings")
 def word_embeddings(spark, d):
-    from pyspark.ml.functions import vector_to_array
-
-    w = worded(spark, d)
-    model = M.word2vec("words", "v", size=8, min_count=50).fit(w)
-    return model.transform(w).select("doc_id", vector_to_array("v").alias("vector"))
+    return E.row_vectors(worded(spark, d), "doc_id", "words")
 
 
 @query(

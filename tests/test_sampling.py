@@ -1,7 +1,12 @@
+import os
+import subprocess
+import sys
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from riskfeat.operators import neighbours
 from riskfeat.operators import sampling as K
 from riskfeat.operators.neighbours import nearest
 
@@ -91,3 +96,50 @@ def test_edited_neighbours_drop_disagreeing_majority(spark):
     df = spark.createDataFrame(rows, "id bigint, a double, label int")
     kept = {r["id"] for r in K.edited_neighbours(df, ["a"], "label", "id", k=3, of_class=0).collect()}
     assert kept == {1, 2, 3, 4, 5, 6, 8}
+
+
+def test_few_candidates_in_many_dimensions(spark):
+    """Codes leave at most a twentieth of all pairs to an exact check, and every true neighbour is among them."""
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(1500, 64)) + rng.integers(0, 4, 1500)[:, None]
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id bigint, features array<double>").repartition(4)
+    vectors, pairs = neighbours.candidates(df, 5, block_rows=400)
+    assert vectors.count() == 1500 and set(pairs.columns) == {"vid", "near"}
+    got = {}
+    for r in pairs.collect():
+        got.setdefault(r["vid"], set()).add(r["near"])
+    assert max(len(g) for g in got.values()) <= 1500 / 20
+    for i, p in enumerate(points):
+        d = np.sqrt(((points - p) ** 2).sum(1))
+        d[i] = np.inf
+        assert set(np.argsort(d)[:5].tolist()) <= got[i]
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(300, 7)), rng.normal(size=(20, 7)) * 50, np.zeros((5, 7))])
+    cells = neighbours.Cells(x[::3], x.min(0), x.max(0))
+    codes = cells.encode(x)
+    true = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    i, j = np.indices(true.shape).reshape(2, -1)
+    for low, high in ([b.reshape(true.shape) for b in cells.bounds(codes[i], codes[j])], cells.rough(codes, codes)):
+        assert (low <= true + 1e-9).all() and (true <= high + 1e-9).all()
+
+
+def test_functions_reach_python_workers_elsewhere(tmp_path):
+    """The package is sent along: workers that cannot import it from their folder find it."""
+    script = tmp_path / "job.py"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script.write_text(f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2")
+         .config("spark.checkpoint.dir", {str(tmp_path / "checkpoint")!r}).getOrCreate())
+from riskfeat.operators.sampling import smote
+rows = spark.createDataFrame([(i, float(i % 7), float(i % 5), int(i < 6)) for i in range(40)], "id bigint, a double, b double, label int")
+print("rows", smote(rows, ["a", "b"], "label", "id", k=2).count())
+""")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 68" in done.stdout, done.stderr[-2000:]
