@@ -5,8 +5,9 @@ is made of and encoded by a small layer; gated attention gives every passage a w
 sum of the encodings is scored.  Encoder, attention and scorer are learned together from labels of
 whole documents by gradient descent.
 
-The model is fitted on at most PER_CLASS documents of each label, drawn by a hash of their id among those
-of up to LONGEST passages; every document is scored on its whole text.
+The model is fitted on about PER_CLASS documents of each label, drawn by a hash of their id, in whole texts.  Where these
+hold more than PASSAGES passages, fewer documents are taken, in the order of that hash and whatever their
+length.  Every document is scored on its whole text.
 
 Nulls and special cases: a null or empty text is one empty passage; labels without id or quality are
 ignored, several labels of one id count by their mean; ids held out are never learned from, a null id is
@@ -26,11 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskfeat.llm.words import NOT_BLANK, Words, slices, text_bytes
+from riskfeat.runtime import stored
 
 PASSAGE = 64
 WORD_BINS = 64
 PER_CLASS = 1_500
-LONGEST = 400
+PASSAGES = 150_000
 ACCEPT = 0.3
 
 #: Kinds of bytes: letters, digits, beyond ASCII, line feeds, other blanks, and every mark by itself.
@@ -158,7 +160,18 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], ["doc_id", "label", "n", "features"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, held: Column, per_class: int = PER_CLASS) -> Model:
+def _within(sizes: list, most: int) -> list[int]:
+    """Ids in the given order while each label's passages stay within half of ``most``; one of each label at least."""
+    chosen, sums = [], {}
+    for r in sizes:
+        before = sums.get(r["label"], 0)
+        sums[r["label"]] = before + r["n"]
+        if before == 0 or sums[r["label"]] <= most // 2:
+            chosen.append(r["doc_id"])
+    return chosen
+
+
+def fit(docs: DataFrame, labels: DataFrame, held: Column, per_class: int = PER_CLASS, passages_at_most: int = PASSAGES) -> Model:
     """Learn from ``labels`` (doc_id, quality) of documents that are not ``held`` (a condition on doc_id)."""
     known = labels.where(~held & F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
     known = known.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
@@ -170,12 +183,14 @@ def fit(docs: DataFrame, labels: DataFrame, held: Column, per_class: int = PER_C
     share = F.when(F.col("label") == 1, per_class / sizes[1]).otherwise(per_class / sizes[0])
     # About two times per_class rows, whatever the number of labels.
     drawn = known.where(lot < share)
-    rows = (
+    described = stored(
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")
         .select("doc_id", "text", F.col("label").cast("bigint").alias("label"))
-        .mapInArrow(_describe, "doc_id bigint, label bigint, n bigint, features binary")
-        .where(F.col("n") <= LONGEST).collect()
-    )
+        .mapInArrow(_describe, "doc_id bigint, label bigint, n bigint, features binary"), "passages")
+    # A few thousand rows of sizes decide which documents are brought to the driver.
+    sized = described.groupBy("doc_id", "label").agg(F.sum("n").alias("n")).withColumn("lot", lot).collect()
+    chosen = _within(sorted(sized, key=lambda r: (r["lot"], r["doc_id"])), passages_at_most)
+    rows = described.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id bigint")), "doc_id").collect()
     rows = sorted(rows, key=lambda r: (r["doc_id"], bytes(r["features"])))
     y = np.array([r["label"] for r in rows], dtype=np.float32)
     if len(set(y)) < 2:
@@ -189,15 +204,16 @@ def fit(docs: DataFrame, labels: DataFrame, held: Column, per_class: int = PER_C
     return model
 
 
-def _scorer(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scorer(model, at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Every row as it came, with the score of its column number ``at`` added; portions of bounded bytes go out as they are done."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").fill_null("")
-            scores = [np.zeros(0)]
+            texts = batch.column(at).fill_null("")
             for lo, hi in slices(texts):
                 x, first = passages(texts.slice(lo, hi - lo))
-                scores.append(model.value.score(x, first))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.concatenate(scores))], ["row", "score"])
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.value.score(x, first))], [*part.schema.names, "score"])
 
     return run
 
@@ -207,9 +223,10 @@ def with_scores(docs: DataFrame, labels: DataFrame, held: Column, per_class: int
     if out in docs.columns:
         raise ValueError(f"there is a column {out} already")
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, held, per_class))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
-    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(_scorer(model), schema).select("row.*", F.col("score").alias(out))
+    # Columns go by number, since names may hold dots.
+    numbered = docs.toDF(*[f"_{k}" for k in range(len(docs.columns))])
+    schema = T.StructType([*numbered.schema.fields, T.StructField("score", T.DoubleType())])
+    return numbered.mapInArrow(_scorer(model, docs.columns.index("text")), schema).toDF(*docs.columns, out)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, held: Column, per_class: int = PER_CLASS, accept: float = ACCEPT) -> DataFrame:

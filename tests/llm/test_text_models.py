@@ -120,3 +120,30 @@ def test_labels_of_one_kind(odd, labelled):
     _, labels = labelled
     for some, score in ((labels.where("quality = 1"), 1.0), (labels.limit(0), 0.5)):
         assert {r["score"] for r in quality.classify(odd, some, language.held_out(0, 5)).collect()} == {score}
+
+
+def test_long_documents_are_learned_from(spark):
+    """Labels that only documents of 30,000 words show are learned, and a bound on passages takes fewer documents."""
+    long = lambda k, w: " ".join(f"{w} and {k + i}" for i in range(10_000))
+    docs = spark.createDataFrame([(i, long(i, "plain" if i % 2 else "LOUD!!")) for i in range(16)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(16)], "doc_id bigint, quality int")
+    rows = quality.classify(docs, labels, F.lit(False)).collect()
+    assert np.mean([r["predicted"] == r["doc_id"] % 2 for r in rows]) == 1
+    model = quality.fit(docs, labels, F.lit(False), passages_at_most=2_000)
+    assert model.constant is None
+    assert quality._within([{"doc_id": i, "label": i % 2, "n": 10} for i in range(8)], 40) == [0, 1, 2, 3]
+
+
+def test_attention_equals_a_loop_over_documents(labelled):
+    """Every document by itself: passages encoded, weighted by gated attention, summed and scored."""
+    docs, labels = labelled
+    held = language.held_out(0, 5)
+    m = quality.fit(docs, labels, held)
+    w = m.weights
+    score = {r["doc_id"]: r["score"] for r in quality.classify(docs, labels, held).collect()}
+    for r in docs.collect():
+        x, _ = quality.passages(pa.array([r["text"]]))
+        h = [np.tanh((p - m.mean) / m.scale @ w["E"] + w["e"]) for p in x]
+        a = np.exp([float((np.tanh(v @ w["V"]) / (1 + np.exp(-(v @ w["U"])))) @ w["w"]) for v in h])
+        bag = sum(v * k for v, k in zip(h, a / a.sum(), strict=True))
+        assert score[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-float(bag @ w["c"] + w["b"][0]))), abs=1e-5)
