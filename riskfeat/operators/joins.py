@@ -40,8 +40,10 @@ def lookup_join(df: DataFrame, lookup: DataFrame, keys: list[str], max_rows: int
 def attach_roles(trx: DataFrame, links: DataFrame) -> DataFrame:
     """Role of the counterparty on the main agreement, and of the party on the other agreement.
 
-    ``links`` has (agreement, party, role); ``trx`` has (agreement, party, sec_agreement, sec_party).
+    ``links`` has (agreement, party, role); ``trx`` has (agreement, party, sec_agreement, sec_party).  A party
+    with several roles on one agreement counts with the lowest, so every transfer stays one row.
     """
+    links = links.groupBy("agreement", "party").agg(F.min("role").alias("role"))
     main = links.select(
         F.col("agreement"), F.col("party").alias("sec_party"), F.col("role").alias("sec_role_on_main")
     )

@@ -23,7 +23,7 @@ from riskfeat.functions.columns import cast_columns, flag, sentinel_to_null
 from riskfeat.functions.fixed_values import DECISION_LIMIT, STOP_WORDS
 from riskfeat.operators import sampling
 from riskfeat.operators.ordered import running_totals
-from riskfeat.runtime import collect_bounded
+from riskfeat.operators.vocabulary import join_hot
 from riskfeat.sources.sinks import publish_ctas
 
 
@@ -115,11 +115,13 @@ def fit_linear_svc(df: DataFrame, label: str = "label", features: str = "feature
 
 
 def class_weight(df: DataFrame, label: str, weights: Mapping | str = "balanced", out: str = "class_weight") -> DataFrame:
-    """Weight per row by class: as given, or rows / (classes × rows of the class)."""
+    """Weight per row by class: as given, or rows / (classes × rows of the class).  Rows without class have none."""
     if weights == "balanced":
-        sizes = {r[label]: r["n"] for r in collect_bounded(df.groupBy(label).agg(F.count(F.lit(1)).alias("n")), 1_000)}
-        whole = sum(sizes.values())
-        weights = {k: whole / (len(sizes) * n) for k, n in sizes.items()}
+        sizes = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+        whole = sizes.agg(F.sum("_n").alias("rows"), F.count(F.lit(1)).alias("classes")).first()
+        table = sizes.withColumn(out, F.lit(float(whole["rows"] or 0)) / (F.lit(whole["classes"]) * F.col("_n")))
+        known = join_hot(df.where(F.col(label).isNotNull()), table, label, "_n").drop("_n")
+        return known.unionByName(df.where(F.col(label).isNull()).withColumn(out, F.lit(None).cast("double"))).select(*df.columns, out)
     chain = reduce(lambda w, kv: w.when(F.col(label) == F.lit(kv[0]), F.lit(float(kv[1]))), list(weights.items())[1:],
                    F.when(F.col(label) == F.lit(next(iter(weights))), F.lit(float(next(iter(weights.values()))))))
     return df.withColumn(out, chain)

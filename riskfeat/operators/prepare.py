@@ -163,10 +163,10 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
 
 
 def one_hot(df: DataFrame, col: str, values: Sequence | None = None) -> DataFrame:
-    """0/1 column per value of a bin column, named <col>_<value>."""
+    """0/1 column per value of a bin column, named <col>_<value>; as many columns as there are values."""
     if values is None:
-        values = sorted(r[0] for r in collect_bounded(df.select(col).where(F.col(col).isNotNull()).distinct(), 1_000))
-    return df.withColumns({f"{col}_{v}": F.when(F.col(col) == v, 1).otherwise(0) for v in values})
+        values = sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().collect())
+    return df.select("*", *[F.coalesce((F.col(col) == v).cast("int"), F.lit(0)).alias(f"{col}_{v}") for v in values])
 
 
 def f_scores(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:

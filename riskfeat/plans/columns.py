@@ -10,7 +10,7 @@ from riskfeat.functions import columns as C
 from riskfeat.functions import text as X
 from riskfeat.operators import rows as R
 from riskfeat.plans.base import load, money, money_sql, query
-from riskfeat.runtime import checkpoint_dir
+from riskfeat.runtime import checkpoint_dir, cut_lineage
 from riskfeat.sources import files, sinks, tables
 
 
@@ -48,6 +48,28 @@ def csv_round_trip(spark, d):
     return files.read_lookup(spark, path, customer.schema, ",")
 
 
+@query("semicolon_lookup", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def semicolon_lookup(spark, d):
+    path = _scratch(spark)
+    nation = load(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    sinks.save_csv(nation, path, sep=";")
+    return files.read_lookup(spark, path, nation.schema)
+
+
+@query(
+    "orc_table_round_trip",
+    "SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderstatus <> 'P'",
+)
+def orc_table_round_trip(spark, d):
+    """A managed ORC table written, replaced by rows read from itself, scanned by name, and removed."""
+    name = f"saved_orders_{uuid.uuid4().hex}"
+    sinks.save_table(load(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), name, "orc", ["o_orderstatus"])
+    sinks.save_table(tables.table(spark, name).where(F.col("o_orderstatus") != "P"), name, "orc", ["o_orderstatus"])
+    kept = cut_lineage(tables.table(spark, name))
+    sinks.drop_table(spark, name)
+    return kept
+
+
 @query("csv_as_text", "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, CAST(s_nationkey AS VARCHAR) AS s_nationkey FROM supplier")
 def csv_as_text(spark, d):
     path = _scratch(spark)

@@ -93,7 +93,7 @@ def _links(spark, d):
     return holder.unionByName(co).distinct()
 
 
-LINKS_SQL = """links AS (SELECT DISTINCT agreement, party, role FROM (
+LINKS_SQL = """links AS MATERIALIZED (SELECT DISTINCT agreement, party, role FROM (
   SELECT l_orderkey AS agreement, l_suppkey AS party, '00' AS role FROM lineitem
   UNION ALL SELECT l_orderkey, l_partkey % 100, '01' FROM lineitem))"""
 
@@ -108,12 +108,13 @@ def _transfers(spark, d):
     )
 
 
-TRANSFERS_SQL = """transfers AS (SELECT o_orderkey AS id, o_orderkey AS agreement, o_orderkey + 1 AS sec_agreement, o_custkey % 100 AS party,
+TRANSFERS_SQL = """transfers AS MATERIALIZED (SELECT o_orderkey AS id, o_orderkey AS agreement, o_orderkey + 1 AS sec_agreement, o_custkey % 100 AS party,
   o_custkey % 90 AS sec_party, o_orderpriority AS type, CASE WHEN o_orderkey % 3 = 0 THEN 'x' END AS sec_account_type,
   CASE WHEN o_orderkey % 4 = 0 THEN 'y' END AS sec_clearing, CAST(NULL AS VARCHAR) AS sec_account FROM orders)"""
-ROLES_SQL = """roles AS (SELECT t.*, b.role AS sec_role_on_main, c.role AS main_role_on_sec FROM transfers t
-  LEFT JOIN links b ON t.agreement = b.agreement AND t.sec_party = b.party
-  LEFT JOIN links c ON t.sec_agreement = c.agreement AND t.party = c.party)"""
+ROLES_SQL = """one_role AS MATERIALIZED (SELECT agreement, party, min(role) AS role FROM links GROUP BY agreement, party),
+roles AS MATERIALIZED (SELECT t.*, b.role AS sec_role_on_main, c.role AS main_role_on_sec FROM transfers t
+  LEFT JOIN one_role b ON t.agreement = b.agreement AND t.sec_party = b.party
+  LEFT JOIN one_role c ON t.sec_agreement = c.agreement AND t.party = c.party)"""
 
 
 @query(
@@ -139,8 +140,9 @@ def own_transfer_flags(spark, d):
 
 @query(
     "holder_pairs",
-    f"""WITH {LINKS_SQL} SELECT a.agreement, a.party, b.party AS party_sec FROM links a JOIN links b ON a.agreement = b.agreement
-        WHERE a.role = '00' AND b.role = '01'""",
+    f"""WITH {LINKS_SQL}, holder AS MATERIALIZED (SELECT agreement, party FROM links WHERE role = '00'),
+        co_holder AS MATERIALIZED (SELECT agreement, party FROM links WHERE role = '01')
+        SELECT a.agreement, a.party, b.party AS party_sec FROM holder a JOIN co_holder b ON a.agreement = b.agreement""",
 )
 def holder_pairs(spark, d):
     return J.pair_roles(_links(spark, d))
@@ -148,9 +150,11 @@ def holder_pairs(spark, d):
 
 @query(
     "households",
-    f"""WITH {LINKS_SQL}, pairs AS (SELECT a.agreement, a.party, b.party AS party_sec FROM links a JOIN links b ON a.agreement = b.agreement
-          WHERE a.role = '00' AND b.role = '01' AND a.party IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)),
-        product_of AS (SELECT agreement, party, party % 25 AS product FROM links WHERE role = '00')
+    f"""WITH {LINKS_SQL}, active AS MATERIALIZED (SELECT s_suppkey AS party FROM supplier WHERE s_acctbal > 0),
+        holder AS MATERIALIZED (SELECT l.agreement, l.party FROM links l JOIN active USING (party) WHERE l.role = '00'),
+        co_holder AS MATERIALIZED (SELECT agreement, party FROM links WHERE role = '01'),
+        pairs AS MATERIALIZED (SELECT a.agreement, a.party, b.party AS party_sec FROM holder a JOIN co_holder b ON a.agreement = b.agreement),
+        product_of AS MATERIALIZED (SELECT agreement, party, party % 25 AS product FROM links WHERE role = '00')
         SELECT p.agreement, p.party, p.party_sec, n.n_name AS productname FROM pairs p JOIN product_of q USING (agreement, party)
         LEFT JOIN nation n ON q.product = n.n_nationkey""",
 )

@@ -19,6 +19,8 @@ from riskfeat.operators import sampling as K
 from riskfeat.operators import vocabulary as V
 from riskfeat.plans.base import FEATURES, load, query, r6, with_holes
 from riskfeat.plans.columns import _scratch
+from riskfeat.runtime import cut_lineage
+from riskfeat.sources.sinks import drop_table
 
 # --- samples ----------------------------------------------------------------------------------
 
@@ -311,18 +313,22 @@ def scoring_job(spark, d):
         F.when(F.col("o_orderkey") % 5 == 0, "NA").otherwise(F.col("o_totalprice").cast("string")).alias("price"),
         F.when(F.col("o_orderstatus") == "F", "Yes").otherwise("No").alias("done"),
     )
-    raw.createOrReplaceTempView("scoring_input")
+    view = f"scoring_input_{uuid.uuid4().hex}"
+    raw.createOrReplaceTempView(view)
     path = _scratch(spark)
     config = {
-        "input_table": "scoring_input", "output_table": f"risk_scores_{uuid.uuid4().hex}", "model_path": path,
+        "input_table": view, "output_table": f"risk_scores_{uuid.uuid4().hex}", "model_path": path,
         "sentinel_columns": ["price"], "flags": {"done": "Yes"}, "casts": {"double": ["price"]}, "keep": ["o_orderkey"],
     }
     train = M.cleanse(raw, config).withColumn("label", F.when(F.col("o_orderpriority") == "1-URGENT", 1.0).otherwise(0.0))
     indexers = P.index_strings(train, ["o_orderpriority"])
     stages = [*indexers.stages, VectorAssembler(inputCols=["price", "done", "o_orderpriority_idx"], outputCol="features"),
-              RandomForestClassifier(numTrees=3, maxDepth=3, seed=7)]
+              RandomForestClassifier(numTrees=10, maxDepth=5, seed=7)]
     M.save_model(Pipeline(stages=stages).fit(train), path)
-    return M.score_job(spark, config)
+    scored = cut_lineage(M.score_job(spark, config))
+    drop_table(spark, config["output_table"])
+    spark.catalog.dropTempView(config["input_table"])
+    return scored
 
 
 @query(
@@ -332,8 +338,11 @@ def scoring_job(spark, d):
 def cached_repartitioned_join(spark, d):
     from riskfeat.plans.base import money
 
-    o = load(spark, d, "orders").select("o_orderkey", "o_custkey").repartition(8, "o_orderkey").cache()
-    li = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_extendedprice").repartition(8, "o_orderkey")
-    return li.join(o, "o_orderkey").groupBy("o_custkey").agg(money("l_extendedprice").alias("total"))
+    # As many partitions as the session's shuffles have, and the cache is given back.
+    o = load(spark, d, "orders").select("o_orderkey", "o_custkey").repartition("o_orderkey").cache()
+    li = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_extendedprice").repartition("o_orderkey")
+    totals = cut_lineage(li.join(o, "o_orderkey").groupBy("o_custkey").agg(money("l_extendedprice").alias("total")))
+    o.unpersist()
+    return totals
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from riskfeat import runtime
 from riskfeat.functions import columns as C
 from riskfeat.operators import joins as J
+from riskfeat.operators import models as M
 from riskfeat.operators import prepare as P
 from riskfeat.operators import profile as Q
 from riskfeat.operators import rows as R
@@ -28,8 +29,30 @@ def test_saved_tables(spark):
     assert spark.table("published_feature").count() == 2
     got = {r["table_name"] for r in tables.list_tables(spark, "default", "feature").collect()}
     assert got == {"saved_feature", "published_feature"}
-    spark.sql("drop table saved_feature")
-    spark.sql("drop table published_feature")
+    sinks.drop_table(spark, "saved_feature")
+    sinks.drop_table(spark, "published_feature")
+
+
+def test_a_failed_write_leaves_the_old_table(spark):
+    sinks.save_table(spark.range(4), "kept_feature")
+    bad = spark.range(9).select(F.raise_error(F.lit("no")).cast("bigint").alias("id"))
+    with pytest.raises(Exception, match="no"):
+        sinks.save_table(bad, "kept_feature")
+    assert spark.table("kept_feature").count() == 4
+    # A table may be replaced by rows read from itself.
+    sinks.save_table(spark.table("kept_feature").where("id > 1"), "kept_feature", "parquet")
+    assert {r["id"] for r in spark.table("kept_feature").collect()} == {2, 3}
+    assert [r["table_name"] for r in tables.list_tables(spark, "default", "kept_feature").collect()] == ["kept_feature"]
+    sinks.drop_table(spark, "kept_feature")
+
+
+def test_more_values_and_classes_than_a_thousand(spark):
+    df = spark.range(3_000).select("id", (F.col("id") % 1_500).cast("int").alias("v"))
+    wide = P.one_hot(df, "v")
+    assert len(wide.columns) == 1_502 and wide.agg(F.sum("v_7"), F.sum("v_1499")).first() == (2, 2)
+    weighted = M.class_weight(df.unionByName(spark.createDataFrame([(5_000, None)], df.schema)), "v")
+    assert weighted.where("v IS NOT NULL").select("class_weight").distinct().collect() == [(1.0,)]
+    assert weighted.where("v IS NULL").first()["class_weight"] is None
 
 
 def test_files(spark, tmp_path):
