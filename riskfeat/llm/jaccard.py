@@ -391,13 +391,20 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block_se
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose doc_id is their component's id.
+    """One row of ``docs``, with all its columns, of each component: the one with the least doc_id.
 
-    Of rows with the same id and text one stays.  Rows with the same id and different texts all stay.
+    Rows are told apart by id and text, so rows that share an id, or have none, are chosen by their own component; of
+    those with the least id the one with the least hash stays, and a null id gives way to any other.  Of rows
+    with the same id and text one stays.
     """
-    kept = stored(joined(docs, words, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")), "kept")
-    ids = kept.groupBy("_id").agg(F.count(F.lit(1)).alias("_n"))
-    rows = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
-    if not ids.where("_n > 1").head(1):
-        return rows
-    return rows.dropDuplicates(["doc_id", "text"])
+    names = docs.columns
+    key = F.xxhash64("doc_id", "text")
+    keyed = docs.select(key.alias("_key"), *[F.col(f"`{c}`") for c in names])
+    found = joined(keyed.select(F.col("_key").alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    own = keyed.select("_key", F.col("doc_id").alias("_id")).groupBy("_key", "_id").agg(F.count(F.lit(1)).alias("_n"))
+    first = F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_key", "_n")).alias("_first")
+    kept = stored(found.join(own, "_key").groupBy("component_id").agg(first).select("_first.*"), "kept")
+    rows = keyed.alias("d").join(kept.alias("k"), (F.col("d._key") == F.col("k._key")) & F.col("d.doc_id").eqNullSafe(F.col("k._id")), "left_semi")
+    if kept.where("_n > 1").head(1):
+        rows = rows.dropDuplicates(["_key", "doc_id"])
+    return rows.select(*[F.col(f"`{c}`") for c in names])

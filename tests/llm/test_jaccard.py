@@ -127,3 +127,15 @@ def test_components_of_chains_and_stars(spark):
     got = {r["id"]: r["root"] for r in components(df).collect()}
     assert got == {i: 0 for i in range(41)} | {100 + k: 100 for k in range(30)} | {300: 299, 299: 299}
     assert components(df.limit(0)).count() == 0
+
+
+def test_one_of_each_by_id_and_text(spark):
+    """Rows that share an id or have none are judged by their own texts."""
+    def kept(rows):
+        return sorted(map(tuple, jaccard.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()), key=str)
+
+    a, b = "a b c d e f g", "p q r s t u v"
+    assert kept([(None, a), (None, a), (None, b), (1, a)]) == [(1, a), (None, b)]
+    assert kept([(5, a), (5, b), (3, b)]) == [(3, b), (5, a)]
+    assert kept([(7, a), (7, a), (7, a)]) == [(7, a)]
+    assert kept([(None, a), (None, a + " h")]) in ([(None, a)], [(None, a + " h")])

@@ -82,3 +82,17 @@ def test_run_gives_the_rows_of_the_stages_twice(spark, stages):
     first, second = corpus_pipeline.run(spark, FOLDER), corpus_pipeline.run(spark, FOLDER)
     want = sorted(map(tuple, stages[5][first.columns].itertuples(index=False)))
     assert sorted(map(tuple, first.collect())) == want == sorted(map(tuple, second.collect()))
+
+
+def test_odd_and_empty_tables_pass_all_stages(spark, odd, nothing, tmp_path):
+    """Nulls, repeated rows, a long text and clashing columns; then no rows at all."""
+    for name, docs in (("odd", odd), ("nothing", nothing)):
+        size = docs.count()
+        for k, (stage_name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, FOLDER)
+            out.write.parquet(str(tmp_path / name / stage_name))
+            after = spark.read.schema(out.schema).parquet(str(tmp_path / name / stage_name))
+            if k < 4:
+                assert after.columns == odd.columns
+            docs = after
+        assert (size == 0) == (docs.count() == 0)
