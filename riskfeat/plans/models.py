@@ -252,19 +252,19 @@ def entropy_tree_model(spark, d):
 @query("boosted_model")
 def boosted_model(spark, d):
     df = features(spark, d)
-    return _predictions(M.fit_gbt(df, rounds=3, depth=3), df)
+    return _predictions(M.fit_gbt(df, rounds=100, depth=3), df)
 
 
 @query("linear_vector_model")
 def linear_vector_model(spark, d):
     df = features(spark, d)
-    return _predictions(M.fit_linear_svc(df, max_iter=5), df)
+    return _predictions(M.fit_linear_svc(df), df)
 
 
 @query("grid_search")
 def grid_search(spark, d):
     df = features(spark, d)
-    found = M.grid_search(df, LogisticRegression(maxIter=5), {"regParam": [0.01, 0.1]}, folds=2)
+    found = M.grid_search(df, LogisticRegression(maxIter=10), {"regParam": [0.001, 0.01, 0.1, 1.0], "elasticNetParam": [0.0, 0.5]})
     return spark.createDataFrame([(i, float(m)) for i, m in enumerate(found.avgMetrics)], "candidate int, area double")
 
 
