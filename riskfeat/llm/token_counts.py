@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -50,7 +49,7 @@ def automaton(model_file: str) -> tuple[ahocorasick.Automaton, float]:
 def best_count(text: str, found: ahocorasick.Automaton, unknown: float) -> int:
     """Number of pieces of the best path."""
     n = len(text)
-    score, pieces = np.zeros(n + 1), np.zeros(n + 1, np.int64)
+    score, pieces = [0.0] * (n + 1), [0] * (n + 1)
     matches = found.iter(text)
     end, match = next(matches, (n, None))
     for k in range(n):
@@ -68,7 +67,7 @@ def best_count(text: str, found: ahocorasick.Automaton, unknown: float) -> int:
             if best is None or candidate > best:
                 best, count = candidate, pieces[k] + len(text[k].encode())
         score[k + 1], pieces[k + 1] = best, count
-    return int(pieces[n])
+    return pieces[n]
 
 
 def token_counts(docs: DataFrame, model_file: str) -> DataFrame:
