@@ -3,22 +3,20 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riskfeat.functions.columns import log_ratio
 from riskfeat.operators.ordered import running_totals, with_neighbours
 from riskfeat.operators.prepare import medians
 from riskfeat.operators.quantiles import quantile_rows
 from riskfeat.operators.stats import feature_profile, long_features
-from riskfeat.runtime import broadcast_if_small, collect_bounded, same, stored
+from riskfeat.runtime import broadcast_if_small, same, stored
 
 MISSING_BIN = -1
-Key = tuple
 
 
 # --- quantile bins ----------------------------------------------------------------------------
@@ -36,14 +34,6 @@ def quantile_edge_rows(values: DataFrame, keys: list[str], cells: int = 10, valu
     return quantile_rows(values, keys, value, shares, "_q").select(*keys, F.coalesce(*edges, F.array(at[0.0], at[1.0])).alias("edges"))
 
 
-def _inner_edge_table(values: DataFrame, keys: list[str], edges: Mapping[Key, list[float]]) -> DataFrame:
-    schema = T.StructType(
-        [T.StructField(k, values.schema[k].dataType, True) for k in keys]
-        + [T.StructField("_edges", T.ArrayType(T.DoubleType()), True)]
-    )
-    return values.sparkSession.createDataFrame([(*k, e[1:-1]) for k, e in edges.items()], schema)
-
-
 def _edges_passed(value: Column, most: int, passed) -> Column:
     """How many of the at most ``most`` edges in the column ``_edges`` the value has passed."""
     hits = [F.when(passed(value, F.get("_edges", F.lit(i))), 1).otherwise(0) for i in range(most)]
@@ -199,92 +189,75 @@ def value_histogram(values: DataFrame, keys: list[str], label: str) -> DataFrame
     return stored(ahead.select(*keys, "value", F.col("_next.value").alias("_next"), "_g", "_b", "_cg", "_cb"))
 
 
-def tree_edges(
-    values: DataFrame, keys: list[str], label: str, leaves: int = 6, min_share: float = 0.05
-) -> dict[Key, list[float]]:
-    """Bin edges per key from a best-first entropy tree over one feature.
+def tree_edge_rows(values: DataFrame, keys: list[str], label: str, leaves: int = 6, min_share: float = 0.05) -> DataFrame:
+    """(keys…, edges): bin edges per key from a best-first entropy tree over one feature, for any number of keys.
 
-    Each round looks at the leaves made in the round before, for all keys together, and returns one
-    row per leaf: its best cut.  The leaf with the largest gain is cut next.
+    The open leaves of all keys are a table, the frontier.  Each round finds the best cut of the leaves made in the
+    round before by one join with the histogram and one aggregate; a window over the few open leaves of a key then
+    chooses the one with the largest gain (equal gains: the lowest cut), which becomes two leaves.  Rounds end when
+    no key has a leaf left to cut.  A cut has to gain something, in 9 decimals.  Keys without values have no row.
     """
-    spark = values.sparkSession
     hist = value_histogram(values, keys, label)
-    ends = hist.groupBy(*keys).agg(
-        F.min("value").alias("lo"), F.max("value").alias("hi"), F.max("_cg").alias("g"), F.max("_cb").alias("b")
-    )
-    state = {}
-    for r in collect_bounded(ends):
-        key = tuple(r[k] for k in keys)
-        n = r["g"] + r["b"]
-        # A leaf: values in [lo, hi), rows up to its start, its own rows.
-        root = {"lo": -math.inf, "hi": math.inf, "g0": 0, "b0": 0, "g": r["g"], "b": r["b"]}
-        state[key] = {"min": r["lo"], "max": r["hi"], "need": math.ceil(min_share * n), "leaves": 1, "cuts": [], "open": [], "fresh": [root]}
-    key_fields = [T.StructField(k, hist.schema[k].dataType, True) for k in keys]
-    num = lambda n, t: T.StructField(n, t, False)
-    schema = T.StructType(
-        key_fields
-        + [num("_leaf", T.IntegerType()), num("_lo", T.DoubleType()), num("_hi", T.DoubleType())]
-        + [num(n, T.LongType()) for n in ("_g0", "_b0", "_lg", "_lb", "_need")]
+    ends = stored(hist.groupBy(*keys).agg(
+        F.min("value").alias("_min"), F.max("value").alias("_max"), F.max("_cg").alias("_lg"), F.max("_cb").alias("_lb")
+    ), "ends")
+    # A leaf: values in [_lo, _hi), rows up to its start, its own rows, and the rows that a side of a cut needs.
+    leaf = ["_lo", "_hi", "_g0", "_b0", "_lg", "_lb", "_need"]
+    zero = F.lit(0).cast("bigint")
+    fresh = ends.select(
+        *keys, F.lit(-math.inf).alias("_lo"), F.lit(math.inf).alias("_hi"), zero.alias("_g0"), zero.alias("_b0"), "_lg", "_lb",
+        F.ceil(F.lit(min_share) * (F.col("_lg") + F.col("_lb"))).alias("_need"),
     )
+    gl, bl = F.col("_cg") - F.col("_g0"), F.col("_cb") - F.col("_b0")
+    gr, br = F.col("_lg") - gl, F.col("_lb") - bl
+    gain = F.round(_nh(F.col("_lg"), F.col("_lb")) - _nh(gl, bl) - _nh(gr, br), 9)
+    cut = F.col("value") + (F.col("_next") - F.col("value")) / 2
+    inside = (F.col("a.value") >= F.col("_lo")) & (F.col("a.value") < F.col("_hi")) & (F.col("a._next") < F.col("_hi"))
+    order = Window.partitionBy(*keys).orderBy(F.desc("_best.gain"), "_best.cut")
+    waiting, chosen = None, []
     for _ in range(leaves - 1):
-        fresh = [
-            (*k, i, leaf["lo"], leaf["hi"], leaf["g0"], leaf["b0"], leaf["g"], leaf["b"], s["need"])
-            for k, s in state.items()
-            for i, leaf in enumerate(s["fresh"])
-            if leaf["g"] and leaf["b"] and leaf["g"] + leaf["b"] >= 2 * s["need"]
-        ]
-        best = {}
-        if fresh:
-            table = F.broadcast(spark.createDataFrame(fresh, schema).alias("b"))
-            on = same(keys) & (F.col("a.value") >= F.col("_lo")) & (F.col("a.value") < F.col("_hi")) & (F.col("a._next") < F.col("_hi"))
-            gl, bl = F.col("_cg") - F.col("_g0"), F.col("_cb") - F.col("_b0")
-            gr, br = F.col("_lg") - gl, F.col("_lb") - bl
-            gain = _nh(F.col("_lg"), F.col("_lb")) - _nh(gl, bl) - _nh(gr, br)
-            cuts = (
-                hist.alias("a").join(table, on)
-                .where((gl + bl >= F.col("_need")) & (gr + br >= F.col("_need")))
-                .select(*[F.col(f"a.{k}").alias(k) for k in keys], "_leaf", gain.alias("gain"), (F.col("value") + (F.col("_next") - F.col("value")) / 2).alias("cut"), "_cg", "_cb")
-            )
-            # Highest gain, then the lowest cut.
-            pick = F.max_by(F.struct("gain", "cut", "_cg", "_cb"), F.struct(F.round("gain", 9), -F.col("cut"))).alias("_best")
-            for r in collect_bounded(cuts.groupBy(*keys, "_leaf").agg(pick)):
-                best[(tuple(r[k] for k in keys), r["_leaf"])] = r["_best"]
-        progress = False
-        for key, s in state.items():
-            for i, leaf in enumerate(s["fresh"]):
-                if (key, i) in best:
-                    s["open"].append((best[(key, i)], leaf))
-            s["fresh"] = []
-            if not s["open"] or s["leaves"] >= leaves:
-                continue
-            s["open"].sort(key=lambda o: (-round(o[0]["gain"], 9), o[0]["cut"]))
-            cut, leaf = s["open"].pop(0)
-            if cut["gain"] <= 0:
-                continue
-            g, b = cut["_cg"] - leaf["g0"], cut["_cb"] - leaf["b0"]
-            left = {**leaf, "hi": cut["cut"], "g": g, "b": b}
-            right = {"lo": cut["cut"], "hi": leaf["hi"], "g0": cut["_cg"], "b0": cut["_cb"], "g": leaf["g"] - g, "b": leaf["b"] - b}
-            s["cuts"].append(cut["cut"])
-            s["leaves"] += 1
-            s["fresh"] = [left, right]
-            progress = True
-        if not progress:
+        able = fresh.where((F.col("_lg") > 0) & (F.col("_lb") > 0) & (F.col("_lg") + F.col("_lb") >= 2 * F.col("_need")))
+        tried = hist.alias("a").join(broadcast_if_small(able).alias("b"), same(keys) & inside)
+        # Highest gain, then the lowest cut.
+        found = (
+            tried.where((gl + bl >= F.col("_need")) & (gr + br >= F.col("_need")))
+            .select(*[F.col(f"a.`{k}`").alias(k) for k in keys], *leaf, F.struct(gain.alias("gain"), cut.alias("cut"), "_cg", "_cb").alias("_try"))
+            .groupBy(*keys, *leaf).agg(F.max_by("_try", F.struct(F.col("_try.gain"), -F.col("_try.cut"))).alias("_best"))
+            .where(F.col("_best.gain") > 0)
+        )
+        frontier = found if waiting is None else waiting.unionByName(found)
+        frontier = stored(frontier.withColumn("_nth", F.row_number().over(order)), "frontier")
+        first = frontier.where(F.col("_nth") == 1)
+        if first.isEmpty():
             break
-    return {k: sorted({s["min"], *s["cuts"], s["max"] + 0.1}) for k, s in state.items()}
+        chosen.append(first.select(*keys, F.col("_best.cut").alias("_cut")))
+        waiting = frontier.where(F.col("_nth") > 1).drop("_nth")
+        g, b = F.col("_best._cg") - F.col("_g0"), F.col("_best._cb") - F.col("_b0")
+        left = F.struct("_lo", F.col("_best.cut").alias("_hi"), "_g0", "_b0", g.alias("_lg"), b.alias("_lb"), "_need")
+        right = F.struct(
+            F.col("_best.cut").alias("_lo"), "_hi", F.col("_best._cg").alias("_g0"), F.col("_best._cb").alias("_b0"),
+            (F.col("_lg") - g).alias("_lg"), (F.col("_lb") - b).alias("_lb"), "_need",
+        )
+        fresh = first.select(*keys, F.inline(F.array(left, right)))
+    outer = F.array("_min", F.col("_max") + 0.1)
+    if not chosen:
+        return ends.select(*keys, F.array_sort(F.array_distinct(outer)).alias("edges"))
+    cuts = reduce(DataFrame.unionByName, chosen).groupBy(*keys).agg(F.collect_list("_cut").alias("_cuts"))
+    all_edges = F.when(F.col("_cuts").isNull(), outer).otherwise(F.concat(outer, "_cuts"))
+    joined = ends.alias("a").join(cuts.alias("b"), same(keys), "left")
+    return joined.select(*[F.col(f"a.`{k}`").alias(k) for k in keys], F.array_sort(F.array_distinct(all_edges)).alias("edges"))
 
 
 def tree_boundaries(df: DataFrame, cols: Sequence[str], label: str, leaves: int = 6, min_share: float = 0.05) -> DataFrame:
     """(feature, edges) with bins [a, b)."""
-    values = long_features(df, [label], cols)
-    edges = tree_edges(values, ["feature"], label, leaves, min_share)
-    return df.sparkSession.createDataFrame([(k[0], e) for k, e in edges.items()], "feature string, edges array<double>")
+    return tree_edge_rows(long_features(df, [label], cols), ["feature"], label, leaves, min_share)
 
 
 def _tree_table(values: DataFrame, keys: list[str], label: str, missing: str, leaves: int = 6, min_share: float = 0.05) -> DataFrame:
-    edges = tree_edges(values, keys, label, leaves, min_share)
-    table = F.broadcast(_inner_edge_table(values, keys, edges).alias("b"))
+    edges = stored(tree_edge_rows(values, keys, label, leaves, min_share), "edges")
+    inner = edges.select(*keys, F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0))).alias("_edges"))
     bin_of = _edges_passed(F.col("value"), leaves - 1, lambda v, e: v >= e)
-    binned = values.alias("a").join(table, same(keys), "left").select("a.*", bin_of.alias("bin"))
+    binned = values.alias("a").join(broadcast_if_small(inner).alias("b"), same(keys), "left").select("a.*", bin_of.alias("bin"))
     if missing == "drop":
         binned = binned.where(F.col("bin") != MISSING_BIN)
     return woe_table(binned, label, keys, sign="good")

@@ -98,14 +98,20 @@ def features_by_iv(spark, d):
     return B.select_by_iv(iv, 0.0002).select("feature")
 
 
-def _sweep_sql() -> str:
+def _sweep_long() -> tuple[str, str]:
+    """SQL of the medians, and of the long rows of every fill."""
     med = ", ".join(f"(SELECT quantile_cont(CASE WHEN {c} <> 0 THEN {c} END, 0.5) FROM feats) AS m_{c}" for c in FEATURES)
     parts = []
     for c in FEATURES:
         for fill, e in (("none", c), ("zero", f"coalesce({c}, 0)"), ("median", f"coalesce(nullif({c}, 0), m_{c}, 0)")):
             parts.append(f"SELECT segment, '{fill}' AS fill, '{c}' AS feature, label, CAST({e} AS DOUBLE) AS value FROM feats CROSS JOIN med")
+    return f"SELECT {med}", " UNION ALL ".join(parts)
+
+
+def _sweep_sql() -> str:
+    med, long = _sweep_long()
     keys = "segment, fill, feature"
-    return f"""WITH {HOLES_SQL}, med AS (SELECT {med}), {bins_sql(keys, ' UNION ALL '.join(parts))}, {woe_sql(keys)}
+    return f"""WITH {HOLES_SQL}, med AS ({med}), {bins_sql(keys, long)}, {woe_sql(keys)}
         SELECT segment, fill, feature, round(sum((event_pct - nonevent_pct) * woe), 6) AS iv FROM woe GROUP BY {keys}"""
 
 
@@ -131,21 +137,79 @@ def first_entropy_cut(spark, d):
     return edges.select("feature", r6(F.col("edges")[1]).alias("cut"))
 
 
-@query("entropy_boundaries")
+def _tree_sql(keys: str, long: str, leaves: int = 6) -> str:
+    """Long rows with their entropy bin: the rounds of the best-first tree, written out one after the other."""
+    nh = lambda g, b: f"(-(CASE WHEN {g} > 0 THEN {g} * ln({g} / ({g} + {b})::DOUBLE) ELSE 0 END + CASE WHEN {b} > 0 THEN {b} * ln({b} / ({g} + {b})::DOUBLE) ELSE 0 END))"
+    leaf = "lo, hi, g0, b0, g, b, need"
+    parts = [
+        f"long AS MATERIALIZED ({long})",
+        f"h AS (SELECT {keys}, value, count(*) FILTER (label = 0) AS g, count(*) FILTER (label = 1) AS b FROM long WHERE value IS NOT NULL GROUP BY {keys}, value)",
+        f"""c AS MATERIALIZED (SELECT {keys}, value, lead(value) OVER w AS nxt, CAST(sum(g) OVER w AS BIGINT) AS cg, CAST(sum(b) OVER w AS BIGINT) AS cb
+              FROM h WINDOW w AS (PARTITION BY {keys} ORDER BY value))""",
+        f"ends AS MATERIALIZED (SELECT {keys}, min(value) AS least, max(value) AS most, max(cg) AS g, max(cb) AS b FROM c GROUP BY {keys})",
+        f"""fresh0 AS (SELECT {keys}, '-Infinity'::DOUBLE AS lo, 'Infinity'::DOUBLE AS hi, 0::BIGINT AS g0, 0::BIGINT AS b0, g, b,
+              CAST(ceil(0.05 * (g + b)) AS BIGINT) AS need FROM ends)""",
+    ]
+    for k in range(leaves - 1):
+        older = f" UNION ALL SELECT {keys}, {leaf}, cut, cg, cb, gain FROM open{k - 1} WHERE rn > 1" if k else ""
+        parts += [
+            f"""try{k} AS (SELECT {keys}, {leaf}, value + (nxt - value) / 2 AS cut, cg, cb,
+                  round({nh('g', 'b')} - {nh('(cg - g0)', '(cb - b0)')} - {nh('(g - cg + g0)', '(b - cb + b0)')}, 9) AS gain
+                FROM c JOIN fresh{k} USING ({keys}) WHERE g > 0 AND b > 0 AND value >= lo AND value < hi AND nxt < hi
+                  AND cg - g0 + cb - b0 >= need AND g + b - (cg - g0 + cb - b0) >= need)""",
+            f"""best{k} AS (SELECT {keys}, {leaf}, cut, cg, cb, gain FROM try{k} WHERE gain > 0
+                QUALIFY row_number() OVER (PARTITION BY {keys}, lo ORDER BY gain DESC, cut) = 1)""",
+            f"""open{k} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY gain DESC, cut) AS rn
+                FROM (SELECT * FROM best{k}{older}))""",
+            f"""fresh{k + 1} AS (SELECT {keys}, lo, cut AS hi, g0, b0, cg - g0 AS g, cb - b0 AS b, need FROM open{k} WHERE rn = 1
+                UNION ALL SELECT {keys}, cut, hi, cg, cb, g - cg + g0, b - cb + b0, need FROM open{k} WHERE rn = 1)""",
+        ]
+    union = " UNION ALL ".join(f"SELECT {keys}, cut FROM open{k} WHERE rn = 1" for k in range(leaves - 1))
+    parts += [
+        f"edges AS MATERIALIZED (SELECT {keys}, least, most, e FROM ends LEFT JOIN (SELECT {keys}, list(cut ORDER BY cut) AS e FROM ({union}) GROUP BY {keys}) USING ({keys}))",
+        f"""binned AS (SELECT l.*, CAST(CASE WHEN value IS NULL THEN -1 ELSE coalesce(len(list_filter(e, lambda x: value >= x)), 0) END AS INTEGER) AS bin
+              FROM long l LEFT JOIN edges USING ({keys}))""",
+    ]
+    return ", ".join(parts)
+
+
+@query(
+    "entropy_boundaries",
+    f"""WITH {HOLES_SQL}, {_tree_sql('feature', _long_sql())}
+        SELECT feature, list_transform(list_sort(list_distinct(list_concat([least, most + 0.1], coalesce(e, [])))), lambda x: round(x, 6)) AS edges FROM edges""",
+)
 def entropy_boundaries(spark, d):
-    return B.tree_boundaries(with_holes(spark, d), FEATURES, "label")
+    edges = B.tree_boundaries(with_holes(spark, d), FEATURES, "label")
+    return edges.select("feature", F.transform("edges", lambda x: F.round(x, 6)).alias("edges"))
 
 
-@query("entropy_woe")
+def _tree_woe_sql(kept: str) -> str:
+    return f"""WITH {HOLES_SQL}, {_tree_sql('feature', _long_sql())}, rows_kept AS (SELECT * FROM binned WHERE {kept}), {woe_sql('feature').replace('FROM binned', 'FROM rows_kept')}
+        SELECT feature, bin, total - events AS good, events AS bad, total, bin_min AS min, bin_max AS max, round(nonevent_pct, 6) AS good_pct, round(event_pct, 6) AS bad_pct,
+          round(total / sum(total) OVER (PARTITION BY feature)::DOUBLE, 6) AS total_pct, round(events / total::DOUBLE, 6) AS bad_rate,
+          round(-woe, 6) AS woe, round((event_pct - nonevent_pct) * woe, 6) AS iv FROM woe"""
+
+
+TREE_ROWS = ["good_pct", "bad_pct", "total_pct", "bad_rate", "woe", "iv"]
+
+
+@query("entropy_woe", _tree_woe_sql("bin <> -1"))
 def entropy_woe(spark, d):
-    return B.tree_woe(with_holes(spark, d), FEATURES, "label")
+    return B.tree_woe(with_holes(spark, d), FEATURES, "label").withColumns({c: r6(c) for c in TREE_ROWS})
 
 
-@query("entropy_woe_missing_bin")
+@query("entropy_woe_missing_bin", _tree_woe_sql("true"))
 def entropy_woe_missing_bin(spark, d):
-    return B.tree_woe(with_holes(spark, d), FEATURES, "label", missing="bin")
+    return B.tree_woe(with_holes(spark, d), FEATURES, "label", missing="bin").withColumns({c: r6(c) for c in TREE_ROWS})
+
+
+def _tree_sweep_sql() -> str:
+    med, long = _sweep_long()
+    keys = "segment, fill, feature"
+    return f"""WITH {HOLES_SQL}, med AS ({med}), {_tree_sql(keys, long)}, {woe_sql(keys)}
+        SELECT segment, fill, feature, round(sum((event_pct - nonevent_pct) * woe), 6) AS iv FROM woe GROUP BY {keys}"""
 
 
-@query("entropy_iv_sweep")
+@query("entropy_iv_sweep", _tree_sweep_sql())
 def entropy_iv_sweep(spark, d):
-    return B.iv_sweep(with_holes(spark, d), FEATURES, "label", "segment", method="tree")
+    return B.iv_sweep(with_holes(spark, d), FEATURES, "label", "segment", method="tree").withColumn("iv", r6("iv"))

@@ -123,3 +123,18 @@ def test_sweep_covers_segments_and_fills(spark, data):
     assert len(got) == 2 * 3 * 2 and all(r["iv"] >= 0 for r in got)
     same = {(r["segment"], r["fill"]): r["iv"] for r in got if r["feature"] == "x"}
     assert same[(0.0, "none")] == pytest.approx(same[(0.0, "zero")])
+
+
+def test_tree_edges_of_two_hundred_thousand_keys(spark):
+    n = 200_000
+    rows = spark.range(4 * n).selectExpr("id % 200000 AS k", "CAST(id div 200000 AS DOUBLE) AS value", "CAST(id div 400000 = 1 AND id % 4 <> 3 AS INT) AS label")
+    got = B.tree_edge_rows(rows, ["k"], "label").groupBy("edges").count().collect()
+    assert {tuple(r["edges"]): r["count"] for r in got} == {(0.0, 1.5, 3.1): n * 3 // 4, (0.0, 3.1): n // 4}
+
+
+def test_tree_edges_of_odd_tables(spark):
+    schema = "k string, value double, label int"
+    rows = [(None, 1.0, 0), (None, 2.0, 1), (None, float("nan"), 1), ("a", None, 1), ("b", 1.0, 0), ("b", 1.0, 1), ("c", 1.0, 0), ("c", 1.0, 0), ("c", 3.0, 1), ("c", 3.0, None)]
+    got = {r["k"]: r["edges"] for r in B.tree_edge_rows(spark.createDataFrame(rows, schema), ["k"], "label").collect()}
+    assert got == {None: [1.0, 1.5, 2.1], "b": [1.0, 1.1], "c": [1.0, 2.0, 3.1]}
+    assert B.tree_edge_rows(spark.createDataFrame([], schema), ["k"], "label").count() == 0
