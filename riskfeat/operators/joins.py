@@ -10,7 +10,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskfeat.runtime import broadcast_if_small, same
+from riskfeat.operators.ordered import number_rows, running_totals
+from riskfeat.runtime import broadcast_if_small, same, stored
 
 
 def chain_left_join(dfs: Sequence[DataFrame], keys: list[str]) -> DataFrame:
@@ -95,6 +96,62 @@ def range_class(df: DataFrame, value: Column, ranges: Sequence[tuple[float, floa
     return coded.withColumn(out, F.when(F.col("_code").isNotNull(), found)).drop("_code", "_piece")
 
 
+def _first_of_pieces(placed: DataFrame, pieces: DataFrame, sizes: int) -> DataFrame:
+    """(piece, name): the first range (priority, name) that covers each piece, of ranges of pieces [_from, _to).
+
+    Ranges are cut into power-of-two buckets of pieces, at most two of each size.  A bucket lies in its ranges as a
+    whole, so only its first range is kept, and a piece looks at its one bucket of each size: overlaps multiply nothing.
+    """
+    levels = F.sequence(F.lit(0), F.lit(sizes))
+
+    def buckets_of(level: Column) -> Column:
+        size = F.call_function("shiftleft", F.lit(1).cast("bigint"), level)
+        first = F.call_function("shiftright", F.col("_from") + size - 1, level)
+        end = F.call_function("shiftright", F.col("_to"), level)
+        return F.array(
+            F.when((first < end) & (first % 2 == 1), F.struct(level.alias("level"), first.alias("bucket"))),
+            F.when((first < end) & (end % 2 == 1), F.struct(level.alias("level"), (end - 1).alias("bucket"))),
+        )
+
+    cut = placed.select(F.struct("priority", "name").alias("_r"), F.explode(F.flatten(F.transform(levels, buckets_of))).alias("_b"))
+    firsts = cut.where(F.col("_b").isNotNull()).groupBy("_b.level", "_b.bucket").agg(F.min("_r").alias("_r"))
+    probes = pieces.select("piece", F.explode(levels).alias("level")).withColumn("bucket", F.call_function("shiftright", "piece", F.col("level")))
+    found = probes.join(firsts, ["level", "bucket"]).groupBy("piece").agg(F.min("_r").alias("_r"))
+    return found.select("piece", "_r.name")
+
+
+def range_table_class(df: DataFrame, value: Column, ranges: DataFrame, out: str) -> DataFrame:
+    """Name of the closed range that holds the value and has the least priority, of a table of any number of ranges.
+
+    ``ranges`` has (lo, hi, priority, name).  Its ends part the number line into numbered pieces, each with its first
+    range; rows and ends are then ordered together, and the ends before a row count to its piece.  So a row is
+    shuffled once, whatever the number of ranges that hold it, and no pair of row and range is formed.
+
+    Equal priorities: the lower name.  A range with a null or NaN end, or with lo above hi, holds nothing; a value that is
+    null, NaN or no number gets null, and so does every row where there are no ranges.  Rows may repeat; a column
+    called ``out`` is replaced.
+    """
+    lo, hi = F.col("lo").cast("double"), F.col("hi").cast("double")
+    usable = ranges.select(lo.alias("lo"), hi.alias("hi"), "priority", "name").where((F.col("lo") <= F.col("hi")) & ~F.isnan("lo") & ~F.isnan("hi"))
+    begin, after = F.struct(F.col("lo").alias("at"), F.lit(0).alias("side")), F.struct(F.col("hi").alias("at"), F.lit(2).alias("side"))
+    ends = usable.select(F.inline(F.array(begin, after))).distinct()
+    # Piece k goes from end k to the one that follows.
+    ends = stored(number_rows(ends, [], ["at", "side"], "piece"), "ends")
+    starts = ends.where(F.col("side") == 0).select(F.col("at").alias("lo"), F.col("piece").alias("_from"))
+    stops = ends.where(F.col("side") == 2).select(F.col("at").alias("hi"), F.col("piece").alias("_to"))
+    placed = usable.join(starts, "lo").join(stops, "hi")
+    names = stored(_first_of_pieces(placed, ends.select("piece"), ends.count().bit_length()), "pieces")
+
+    kept = [c for c in df.columns if c != out]
+    points = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), value.try_cast("double").alias("at"), F.lit(1).alias("side"), F.lit(0).cast("bigint").alias("end")
+    )
+    no_row = F.lit(None).cast(points.schema["row"].dataType)
+    both = points.unionByName(ends.select(no_row.alias("row"), "at", "side", F.lit(1).cast("bigint").alias("end")))
+    counted = running_totals(both, [], ["at", "side"], {"piece": "end"}).where(F.col("side") == 1).select("row", "piece")
+    return counted.join(broadcast_if_small(names), "piece", "left").select("row.*", F.col("name").alias(out))
+
+
 def range_lookup(
     df: DataFrame, code: str, ranges: Sequence[tuple[str, int, int, str]], out: str, other: str
 ) -> DataFrame:

@@ -246,6 +246,22 @@ def value_range_lookup(spark, d):
     return J.range_class(load(spark, d, "customer"), F.col("c_acctbal"), ranges, "band").select("c_custkey", "band")
 
 
+@query(
+    "price_range_table",
+    """WITH r AS (SELECT p_partkey AS priority, p_brand AS name, (p_retailprice - 10) * p_size AS lo, (p_retailprice + 10) * p_size AS hi FROM part),
+       v AS (SELECT DISTINCT l_extendedprice AS v FROM lineitem),
+       hit AS (SELECT v, arg_min(name, priority) AS brand FROM v JOIN r ON v >= lo AND v <= hi GROUP BY v)
+       SELECT l_orderkey, l_linenumber, l_extendedprice, brand FROM lineitem LEFT JOIN hit ON v = l_extendedprice""",
+)
+def price_range_table(spark, d):
+    """Brand of the first part of which ``p_size`` pieces, 10 more or less each, cost as much as a line."""
+    ranges = load(spark, d, "part").selectExpr(
+        "(p_retailprice - 10) * p_size AS lo", "(p_retailprice + 10) * p_size AS hi", "p_partkey AS priority", "p_brand AS name"
+    )
+    lines = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return J.range_table_class(lines, F.col("l_extendedprice"), ranges, "brand")
+
+
 def _counterparty_sql() -> str:
     from riskfeat.functions.fixed_values import CLEARING_RANGES, OTHER_COUNTERPARTY
 

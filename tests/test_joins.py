@@ -106,3 +106,39 @@ def test_trimmed_join_and_lookup(spark):
     assert sorted((r["v"], r["name"]) for r in J.join_trimmed(a, b, "k", "code").collect()) == [(1, "X"), (2, "Y")]
     plan = J.lookup_join(a, b.withColumnRenamed("code", "k"), ["k"], max_rows=1)._jdf.queryExecution().logical().toString()
     assert "broadcast" not in plan.lower()
+
+
+def test_range_table_of_many_overlapping_ranges(spark):
+    import duckdb
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    n = 100_000
+    lo = rng.integers(0, 1_000_000, n).astype(float)
+    wide = np.where(rng.random(n) < 0.001, 500_000.0, rng.integers(0, 300, n))
+    ranges = pd.DataFrame({"lo": lo, "hi": lo + wide, "priority": rng.integers(0, 50_000, n), "name": [f"r{i:06d}" for i in range(n)]})
+    points = pd.DataFrame({"id": np.arange(5_000), "v": np.where(np.arange(5_000) % 3 == 0, 77_777.0, rng.integers(-1000, 1_600_000, 5_000) / 2)})
+    got = J.range_table_class(spark.createDataFrame(points), F.col("v"), spark.createDataFrame(ranges), "name")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    con = duckdb.connect()
+    con.register("r", ranges)
+    con.register("p", points)
+    want = con.execute("SELECT id, min({'p': priority, 'n': name}).n FROM p LEFT JOIN r ON v >= lo AND v <= hi GROUP BY id").fetchall()
+    assert sorted((r["id"], r["name"]) for r in got.select("id", "name").collect()) == sorted(want)
+
+
+def test_range_table_of_odd_rows(spark):
+    nan = float("nan")
+    ranges = spark.createDataFrame(
+        [(0.0, 10.0, 2, "b"), (0.0, 10.0, 2, "a"), (5.0, 5.0, 1, "point"), (9.0, 20.0, 3, "c"), (None, 30.0, 0, "null"), (0.0, nan, 0, "nan"), (8.0, 1.0, 0, "turned"), (float("inf"), float("inf"), 9, "last")],
+        "lo double, hi double, priority int, name string",
+    )
+    values = [-1.0, -0.0, 4.9, 5.0, 5.1, 10.0, 10.5, 20.0, 20.1, float("inf"), nan, None, 5.0]
+    df = spark.createDataFrame([(v, "x", i, 7) for i, v in enumerate(values)], "v double, piece string, i int, at int")
+    got = J.range_table_class(df, F.col("v"), ranges, "piece").orderBy("i").collect()
+    assert [r["piece"] for r in got] == [None, "a", "a", "point", "a", "a", "c", "c", None, "last", None, None, "point"]
+    assert got[0].asDict().keys() == {"v", "i", "at", "piece"}
+    assert [r["c"] for r in J.range_table_class(df, F.col("v"), ranges.limit(0), "c").collect()] == [None] * len(values)
+    assert J.range_table_class(df.limit(0), F.col("v"), ranges, "c").count() == 0
