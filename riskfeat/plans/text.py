@@ -8,6 +8,7 @@ from riskfeat.functions import text as X
 from riskfeat.functions.fixed_values import KEPT_SHORT_TOKENS, PAYEE_RULES, STOP_WORDS
 from riskfeat.operators import embeddings as E
 from riskfeat.operators import models as M
+from riskfeat.operators import phrases as PH
 from riskfeat.operators import textmatch as T
 from riskfeat.operators import vocabulary as V
 from riskfeat.plans.base import load, money, query, r6
@@ -150,6 +151,28 @@ def phrase_table_hits(spark, d):
     return T.phrase_hits(cleaned(spark, d), "t", phrases, ["doc_id"])
 
 
+@query(
+    "first_phrase_of_table",
+    f"""WITH {CLEANED}, b AS (SELECT string_split({clean_sql('text')}, ' ') AS w FROM benchmark),
+        phrases AS (SELECT DISTINCT phrase FROM (
+          SELECT unnest(list_transform(range(1, len(w) + 1), lambda i: array_to_string(w[i:i + (len(w) + i) % 12], ' '))) AS phrase FROM b) WHERE phrase <> ''),
+        listed AS MATERIALIZED (SELECT phrase, len(string_split(phrase, ' ')) AS n, array_to_string(string_split(phrase, ' ')[1:2], ' ') AS head FROM phrases),
+        s AS MATERIALIZED (SELECT doc_id, string_split(t, ' ') AS s FROM cleaned WHERE t <> ''),
+        w AS (SELECT doc_id, unnest(s) AS one, unnest(range(1, len(s) + 1)) AS i FROM s),
+        g AS MATERIALIZED (SELECT doc_id, i, one, one || ' ' || lead(one) OVER (PARTITION BY doc_id ORDER BY i) AS two FROM w),
+        near AS MATERIALIZED (SELECT doc_id, i, n, phrase FROM g JOIN listed ON two = head WHERE n > 1),
+        hit AS (SELECT doc_id, i - 1 AS position, n, phrase AS match FROM near JOIN s USING (doc_id) WHERE array_to_string(s[i:i + n - 1], ' ') = phrase
+          UNION ALL SELECT doc_id, i - 1, n, phrase FROM g JOIN listed ON one = phrase WHERE n = 1)
+        SELECT doc_id, CAST(position AS INTEGER) AS position, match, CAST(n AS INTEGER) AS n_words FROM hit
+        QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY position, n DESC) = 1""",
+)
+def first_phrase_of_table(spark, d):
+    """The first phrase of a table that each text holds; from each word of an item on, a phrase of 1 to 12 words."""
+    words = X.computed_once(load(spark, d, "benchmark"), [], w=F.split(X.clean(F.col("text")), " "))
+    lengths = F.transform("w", lambda _, i: F.array_join(F.slice("w", i + 1, (F.size("w") + i + 1) % 12 + 1), " "))
+    return PH.first_phrase(cleaned(spark, d), "t", words.select(F.explode(lengths).alias("phrase")), ["doc_id"])
+
+
 @query(
     "matched_phrase",
     f"WITH {CLEANED} SELECT doc_id, regexp_extract(t, '{PATTERN_SQL}', 2) AS match, CAST(length(regexp_extract(t, '{PATTERN_SQL}', 2)) AS INTEGER) AS match_len FROM cleaned",
