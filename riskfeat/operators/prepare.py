@@ -6,15 +6,15 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, PCAModel, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskfeat.functions.columns import nan_free
 from riskfeat.operators.quantiles import exact_quantiles
 from riskfeat.operators.stats import corr_expr, long_features, per_column
+from riskfeat.operators.sweeps import eliminate
 from riskfeat.runtime import collect_bounded
 
 
@@ -185,17 +185,6 @@ def select_k_best(df: DataFrame, cols: Sequence[str], label: str, k: int) -> Dat
 
 def recursive_elimination(df: DataFrame, cols: Sequence[str], label: str, n: int) -> DataFrame:
     """(feature, ranking): the weakest coefficient leaves until ``n`` features stay at rank 1."""
-    left, dropped = list(cols), []
-    data = assemble(df.select(label, *cols), cols).select(F.col(label).cast("double").alias("label"), "features").cache()
-    try:
-        where = {c: i for i, c in enumerate(cols)}
-        while len(left) > n:
-            keep = F.array(*[vector_to_array("features")[where[c]] for c in left])
-            model = LogisticRegression(standardization=False, regParam=1e-3).fit(data.withColumn("features", array_to_vector(keep)))
-            weakest = int(np.argmin(np.abs(model.coefficients.toArray())))
-            dropped.append(left.pop(weakest))
-    finally:
-        data.unpersist()
-    rows = [(c, 1) for c in left] + [(c, i + 2) for i, c in enumerate(reversed(dropped))]
+    dropped, _ = eliminate(df, cols, label, n)
+    rows = [(c, 1) for c in cols if c not in dropped] + [(c, i + 2) for i, c in enumerate(reversed(dropped))]
     return df.sparkSession.createDataFrame(rows, "feature string, ranking int")
-

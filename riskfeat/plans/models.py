@@ -16,6 +16,7 @@ from riskfeat.operators import models as M
 from riskfeat.operators import neighbours as N
 from riskfeat.operators import prepare as P
 from riskfeat.operators import sampling as K
+from riskfeat.operators import sweeps as W
 from riskfeat.operators import vocabulary as V
 from riskfeat.plans.base import FEATURES, load, query, r6, with_holes
 from riskfeat.plans.columns import _scratch
@@ -263,9 +264,13 @@ def linear_vector_model(spark, d):
 
 @query("grid_search")
 def grid_search(spark, d):
-    df = features(spark, d)
-    found = M.grid_search(df, LogisticRegression(maxIter=10), {"regParam": [0.001, 0.01, 0.1, 1.0], "elasticNetParam": [0.0, 0.5]})
-    return spark.createDataFrame([(i, float(m)) for i, m in enumerate(found.avgMetrics)], "candidate int, area double")
+    """Mean area on three held-out folds for penalties, their absolute share and class weights."""
+    df = P.fill_zero(with_holes(spark, d))
+    points = W.grid([0.001, 0.01, 0.1, 1.0], [0.0, 0.5], [(1.0, 1.0), "balanced"])
+    found = W.logistic_sweep(df, FEATURES, "label", ["l_orderkey"], points, folds=3)
+    rows = [(i, c.reg, c.mixing, "balanced" if c.weights == "balanced" else "equal") for i, c in enumerate(points)]
+    table = spark.createDataFrame(rows, "candidate int, reg double, mixing double, weights string")
+    return table.join(found.areas.groupBy("candidate").agg(F.avg("area").alias("area")), "candidate")
 
 
 @query("prediction_errors")

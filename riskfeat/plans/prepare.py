@@ -142,3 +142,10 @@ def pca_projection(spark, d):
 @query("pca_loadings")
 def pca_loadings(spark, d):
     return P.pca_loadings(P.scale_minmax(_vectors(spark, d), VECTOR_COLS), VECTOR_COLS, 3)
+
+
+@query("wide_elimination")
+def wide_elimination(spark, d):
+    """Dimensions of the vectors that tell label 0 from the others, until ten are left."""
+    df = _vectors(spark, d).withColumn("label", F.when(F.col("label") == 0, 1).otherwise(0))
+    return P.recursive_elimination(df, VECTOR_COLS, "label", 10)
