@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -254,8 +255,7 @@ def grid(reg: Sequence[float] = (0.0,), mixing: Sequence[float] = (0.0,), weight
 
 def _areas(rows: DataFrame, names: Sequence[str], models: DataFrame) -> DataFrame:
     """(candidate, fold, area): each row is scored by the models that did not see its fold; ties count half."""
-    values = F.array(*names)
-    margin = F.aggregate(F.zip_with("slopes", values, lambda a, x: a * x), F.col("intercept"), lambda s, x: s + x)
+    margin = reduce(lambda total, i: total + F.col("slopes")[i] * F.col(names[i]), range(len(names)), F.col("intercept"))
     # A row per candidate and fold at most.
     scored = rows.join(F.broadcast(models), "fold").select("candidate", "fold", "label", margin.alias("score"))
     points = scored.groupBy("candidate", "fold", "score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
