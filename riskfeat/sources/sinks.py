@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 from riskfeat.runtime import drop_folder
 
@@ -22,15 +22,22 @@ def save_table(df: DataFrame, name: str, fmt: str = "orc", partition_by: list[st
     spark, parts = df.sparkSession, list(partition_by or [])
     warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
     folder = f"{warehouse}/{name.replace('`', '')}{VERSION}{uuid.uuid4().hex}"
-    written = Observation()
+    # Not counted by an Observation: it leaves its manager in the session, which cannot be serialised, and every two-class
+    # model fitted later takes the session into its tasks with its training summary.
+    kept = df.storageLevel == StorageLevel.NONE
+    if kept:
+        df.persist(StorageLevel.DISK_ONLY)
     try:
-        df.observe(written, F.count(F.lit(1)).alias("n")).write.format(fmt).partitionBy(*parts).save(folder)
-        found = spark.read.format(fmt).schema(df.schema).load(folder).count()
-        if found != written.get["n"]:
-            raise RuntimeError(f"{found} rows in {folder}, {written.get['n']} were written")
+        df.write.format(fmt).partitionBy(*parts).save(folder)
+        written, found = df.count(), spark.read.format(fmt).schema(df.schema).load(folder).count()
+        if found != written:
+            raise RuntimeError(f"{found} rows in {folder}, {written} were written")
     except Exception:
         drop_folder(spark, folder)
         raise
+    finally:
+        if kept:
+            df.unpersist()
     before = version_folder(spark, name)
     cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     by = f"PARTITIONED BY ({', '.join(f'`{p}`' for p in parts)})" if parts else ""
