@@ -143,3 +143,35 @@ print("rows", smote(rows, ["a", "b"], "label", "id", k=2).count())
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "rows 68" in done.stdout, done.stderr[-2000:]
+
+
+def test_blocks_are_screened_by_one_product(monkeypatch):
+    # Far from the origin and of very different widths, with equal vectors among them; no pair matrix is kept in double precision.
+    rng = np.random.default_rng(5)
+    x = rng.normal(1e3, 1.0, (900, 6)) * np.array([1e-3, 1, 1, 1e4, 1, 1])
+    x[700:] = x[:200]
+    cells = neighbours.Cells(x[::3], x.min(0), x.max(0))
+    ids = np.arange(900)
+    points = cells.points(cells.encode(x), ids)
+    low, high = (b.reshape(900, 900) for b in cells.bounds(points.codes[np.repeat(ids, 900)], points.codes[np.tile(ids, 900)]))
+    low[ids, ids] = high[ids, ids] = np.inf
+    kth = np.sort(high, axis=1)[:, 4]
+    monkeypatch.setattr(neighbours.Cells, "rough", None)
+    for reach in (np.full(900, np.inf), kth * 1.5):
+        q, t, least, most = cells.near(points, points, 5, reach)
+        assert set(zip(q, t)) >= set(zip(*np.nonzero(low <= kth[:, None])))
+        assert np.array_equal(neighbours.kth_of_each(q, most, 900, 5), kth) and np.array_equal(least, low[q, t])
+
+
+def test_blocks_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(neighbours, "BLOCKS", 3)
+    seen = []
+    cuts = neighbours._axis_cuts
+    monkeypatch.setattr(neighbours, "_axis_cuts", lambda points, leaves: seen.append(leaves) or cuts(points, leaves))
+    x = np.random.default_rng(2).normal(size=(300, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, features array<double>")
+    got = {(r["id"], r["rank"]): r["neighbour"] for r in neighbours.nearest(df, 2, 40).collect()}
+    apart = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) + np.diag(np.full(300, np.inf))
+    assert got == {(i, n + 1): j for i in range(300) for n, j in enumerate(np.argsort(apart[i])[:2])}
+    assert seen[0] == 3
