@@ -29,6 +29,8 @@ ALL_ROWS = -1
 MAX_STEPS = 100
 #: A model is done when its next step promises less than this share of its objective.
 TOLERANCE = 1e-14
+#: Up to so many columns, the intercept's too, products of columns are made once for all models.
+PRODUCT_COLUMNS = 16
 #: Subsets of an elimination that are fitted side by side.
 AHEAD = 16
 
@@ -227,20 +229,28 @@ def _sums(names: Sequence[str], centre: np.ndarray, scale: np.ndarray, fits: Seq
         upper = np.triu_indices(size)
         loss = np.zeros(len(left_out))
         gradient = np.zeros((size, len(left_out)))
-        curvature = np.zeros((len(left_out), size, size))
+        curvature = np.zeros((len(left_out), len(upper[0])))
+        few = size <= PRODUCT_COLUMNS
         for b in batches:
             z = np.ones((len(b), size))
             z[:, :-1] = (b[names].to_numpy(dtype=float) - centre) / scale
             y = b["label"].to_numpy(dtype=float)[:, None]
             margin = z @ places
             w = weights.T[y[:, 0].astype(int)] * (b["fold"].to_numpy()[:, None] != left_out)
-            p = np.exp(-np.logaddexp(0.0, -margin))
-            loss += (w * (np.logaddexp(0.0, margin) - y * margin)).sum(axis=0)
+            # One exponential and one logarithm a margin; neither can overflow, and small tails keep their digits.
+            tail = np.exp(-np.abs(margin))
+            whole = 1.0 + tail
+            p, q = np.where(margin >= 0, 1.0, tail) / whole, np.where(margin >= 0, tail, 1.0) / whole
+            loss += (w * (np.maximum(margin, 0.0) + np.log1p(tail) - y * margin)).sum(axis=0)
             gradient += z.T @ (w * (p - y))
-            bend = w * p * np.exp(-np.logaddexp(0.0, margin))
+            bend = w * p * q
+            if few:
+                # All models share the products of the columns.
+                curvature += bend.T @ (z[:, upper[0]] * z[:, upper[1]])
+                continue
             for k in range(len(left_out)):
-                curvature[k] += z.T @ (bend[:, k, None] * z)
-        rows = [np.concatenate([[loss[k]], gradient[:, k], curvature[k][upper]]) for k in range(len(left_out))]
+                curvature[k] += (z.T @ (bend[:, k, None] * z))[upper]
+        rows = [np.concatenate([[loss[k]], gradient[:, k], curvature[k]]) for k in range(len(left_out))]
         yield pd.DataFrame({"fit": np.arange(len(left_out), dtype="int32"), "sums": rows})
 
     return run

@@ -1,6 +1,7 @@
 """Many fits in one pass, against single fits from scratch."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
@@ -130,3 +131,27 @@ def test_elimination_with_equal_columns(spark, data):
     twice = data.withColumn("a2", F.col("a"))
     got, _ = S.eliminate(twice, ["a", "a2", "flat"], "label", 1)
     assert got[0] == "flat" and got[1] == "a"
+
+
+@pytest.mark.parametrize("columns", [3, 20])
+def test_sums_of_a_pass(columns):
+    # Margins up to hundreds: neither side overflows, and the small probability is not one less the large one.
+    rng = np.random.default_rng(4)
+    names = [f"x{i}" for i in range(columns)]
+    x = rng.normal(0, 1, (50, columns)) * 40
+    b = pd.DataFrame(x, columns=names).assign(label=rng.integers(0, 2, 50).astype(float), fold=rng.integers(0, 2, 50))
+    flat = np.zeros(columns + 1)
+    fits = [S._Fit(k, (1.0, 2.0), flat, flat, flat > 0, rng.normal(0, 1, columns + 1)) for k in (-1, 0, 1)]
+    exponentials = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(np, "logaddexp", lambda *a: exponentials.append(a))
+        got = next(S._sums(names, np.zeros(columns), np.ones(columns), fits)(iter([b])))
+    assert not exponentials
+    z = np.column_stack([x, np.ones(50)])
+    for f, row in zip(fits, got["sums"]):
+        w = np.where(b["label"] == 1, 2.0, 1.0) * (b["fold"] != f.left_out)
+        m = z @ f.trial
+        p, q = np.exp(-np.logaddexp(0, -m)), np.exp(-np.logaddexp(0, m))
+        assert np.isclose(row[0], (w * (np.logaddexp(0, m) - b["label"] * m)).sum())
+        assert np.allclose(row[1 : columns + 2], z.T @ (w * (p - b["label"])))
+        assert np.allclose(row[columns + 2 :], (z.T @ ((w * p * q)[:, None] * z))[np.triu_indices(columns + 1)], rtol=1e-9)
