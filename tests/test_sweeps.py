@@ -148,10 +148,11 @@ def test_sums_of_a_pass(columns):
         got = next(S._sums(names, np.zeros(columns), np.ones(columns), fits)(iter([b])))
     assert not exponentials
     z = np.column_stack([x, np.ones(50)])
+    y, fold = b["label"].to_numpy(), b["fold"].to_numpy()
     for f, row in zip(fits, got["sums"]):
-        w = np.where(b["label"] == 1, 2.0, 1.0) * (b["fold"] != f.left_out)
+        w = np.where(y == 1, 2.0, 1.0) * (fold != f.left_out)
         m = z @ f.trial
         p, q = np.exp(-np.logaddexp(0, -m)), np.exp(-np.logaddexp(0, m))
-        assert np.isclose(row[0], (w * (np.logaddexp(0, m) - b["label"] * m)).sum())
-        assert np.allclose(row[1 : columns + 2], z.T @ (w * (p - b["label"])))
+        assert np.isclose(row[0], (w * (np.logaddexp(0, m) - y * m)).sum())
+        assert np.allclose(row[1 : columns + 2], z.T @ (w * (p - y)))
         assert np.allclose(row[columns + 2 :], (z.T @ ((w * p * q)[:, None] * z))[np.triu_indices(columns + 1)], rtol=1e-9)
