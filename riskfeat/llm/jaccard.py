@@ -2,7 +2,9 @@
 
 Texts with equal shingle sets form one class from the start.  Two similar classes share a shingle among
 the first quarter of each, in an order that all texts share, so every class is entered in the blocks of
-its first quarter of shingles, and a block's classes meet in a signature tree (``signature_trees``):
+its first quarter of shingles.  Similar classes meet under the first shingle that they share, and what they
+share lies behind it in both, so a class stays only in blocks where its size, the shingle's place in it, and
+those of another class allow a link.  A block's classes meet in a signature tree (``signature_trees``):
 
 1. trees over the signatures alone drop the classes that have no possible partner in a block, and part
    the rest into those that chains of possible pairs connect;
@@ -51,6 +53,12 @@ BUCKET_POSTINGS = 1_000_000
 #: Shingles of all sets that one tree of whole sets is meant to hold.
 UNION_ELEMENTS = 4_000_000
 MOST_HOT = 1 << 16
+#: Of a shingle's hash within its bucket: two of a bucket's shingles rarely share these, and are one block then.
+SHINGLE_BYTES = 5
+#: Steps of a set's size per octave, and of a place per size; half of the latter fit into a byte.
+SIZE_STEPS, PLACE_STEPS = 2_048, 512
+#: Longest list of classes under a shingle in which all pairs of places are compared.
+PLACED = 1_024
 U = np.uint64
 
 
@@ -132,33 +140,38 @@ def prefix(elements: np.ndarray, levels: np.ndarray, percent: int = PERCENT) ->
     return elements[order[:n - -(-percent * n // 100) + 1]]
 
 
-POSTINGS = "bucket int, shingles binary, sub binary, sets binary, set_id bigint, n bigint, sig binary"
+POSTINGS = "bucket int, shingles binary, sub binary, sets binary, sizes binary, places binary"
+
+
+def _own(b: pa.RecordBatch, hot: dict, words: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The classes of a batch, once each.  Of a class with very many copies only its first document goes on."""
+    texts = b.column("text").fill_null("")
+    doc_ids, seen = b.column("doc_id").to_pylist(), set()
+    for lo, hi in slices(texts):
+        for doc_id, s in zip(doc_ids[lo:hi], shingle_sets(texts.slice(lo, hi - lo), words), strict=True):
+            key = set_id(s)
+            if len(s) and key not in seen and hot.get(key, doc_id) == doc_id:
+                seen.add(key)
+                yield key, s
 
 
 def _post(model, words: int, percent: int, buckets: int, block_sets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Two kinds of rows: a batch's postings by bucket, and each class's signature."""
+    """A batch's postings by bucket: shingle, part, class, the class's size and the shingle's place in its order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, levels, hot = model.value
         for b in batches:
-            texts = b.column("text").fill_null("")
-            ids, sets, sizes, sigs, seen = [], [], [], [], set()
-            doc_ids = b.column("doc_id").to_pylist()
-            for lo, hi in slices(texts):
-                for doc_id, s in zip(doc_ids[lo:hi], shingle_sets(texts.slice(lo, hi - lo), words), strict=True):
-                    key = set_id(s)
-                    # Of a class with very many copies only its first document goes on.
-                    if not len(s) or key in seen or hot.get(key, doc_id) != doc_id:
-                        continue
-                    seen.add(key)
-                    ids.append(key)
-                    sets.append(prefix(s, levels, percent))
-                    sizes.append(len(s))
-                    sigs.append(signature(s, int(width_for(len(s)))).tobytes())
+            ids, sets, sizes = [], [], []
+            for key, s in _own(b, hot, words):
+                ids.append(key)
+                sets.append(prefix(s, levels, percent))
+                sizes.append(len(s))
             if not ids:
                 continue
             shingles = np.concatenate(sets)
-            of = np.repeat(np.array(ids, dtype=np.int64), [len(s) for s in sets])
+            length = [len(s) for s in sets]
+            of, n = np.repeat(np.array(ids, dtype=np.int64), length), np.repeat(np.array(sizes, dtype=np.int64), length)
+            size, place = codes(n, np.concatenate([np.arange(k) for k in length]))
             parts = -(-counts[_cell(shingles)] // block_sets)
             sub = np.where((levels[_cell(shingles)] > 0) & (parts > 1), 1 + (mix(of.view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64), 0)
             bucket = (mix(shingles ^ sub.astype(np.uint64)) % U(buckets)).astype(np.int32)
@@ -166,17 +179,49 @@ def _post(model, words: int, percent: int, buckets: int, block_sets: int) -> Cal
             cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
             ends = np.append(cuts[1:], len(order))
             rows = [(order[x:y]) for x, y in zip(cuts, ends, strict=True)]
-            k, m = len(rows), len(ids)
-            cols = [
-                pa.array(np.append(bucket[order][cuts], np.full(m, -1)).astype(np.int32)),
-                *(pa.array([a[r].tobytes() for r in rows] + [None] * m, pa.binary()) for a in (shingles, sub.astype(np.int32), of)),
-                pa.array([None] * k + ids, pa.int64()), pa.array([None] * k + sizes, pa.int64()), pa.array([None] * k + sigs, pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(cols, ["bucket", "shingles", "sub", "sets", "set_id", "n", "sig"])
+            short = np.ascontiguousarray(shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SHINGLE_BYTES])
+            cols = [pa.array(bucket[order][cuts]), *(pa.array([a[r].tobytes() for r in rows], pa.binary()) for a in (short, sub.astype(np.int32), of, size, place))]
+            yield pa.RecordBatch.from_arrays(cols, ["bucket", "shingles", "sub", "sets", "sizes", "places"])
+
+    return run
+
+
+def _sign(model, words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each class's signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = model.value[2]
+        for b in batches:
+            rows = [(key, len(s), signature(s, int(width_for(len(s)))).tobytes()) for key, s in _own(b, hot, words)]
+            ids, sizes, sigs = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], ["set_id", "n", "sig"])
 
     return run
 
 
+def codes(n: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Set sizes in steps of an octave, and places in shares of the size, both rounded down."""
+    return np.floor(np.log2(n) * SIZE_STEPS).astype(np.uint16), np.minimum(at * PLACE_STEPS // n, 255).astype(np.uint8)
+
+
+def _may_link(size: np.ndarray, place: np.ndarray, percent: int, a, b) -> np.ndarray:
+    """Whether classes ``a`` and ``b`` may be similar if a shingle at these places is the first that they share.
+
+    What they share then lies at that place or behind it in both; rounding only lets more pass.
+    """
+    low = 2.0 ** (size / SIZE_STEPS)
+    rest = 2.0 ** ((size + 1.0) / SIZE_STEPS) * (1 - place / PLACE_STEPS)
+    return (100 + percent) * np.minimum(rest[a], rest[b]) >= percent * (1 - 1e-9) * (low[a] + low[b])
+
+
+def with_partner(size: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
+    """Which classes of a shingle may be linked with another one there, by ``_may_link``."""
+    k = np.arange(len(size))
+    ok = _may_link(size, place, percent, k[:, None], k[None, :])
+    np.fill_diagonal(ok, False)
+    return ok.any(axis=1)
+
+
 BLOCKS = "block bigint, family bigint, members array<bigint>"
 
 
@@ -200,37 +245,58 @@ def runs_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The classes under each shingle (and part of a hot one), where there are several; equal lists once."""
-    for t in runs_of(batches, "bucket"):
-        column = lambda name, kind: np.concatenate([np.frombuffer(x, dtype=kind) for x in t.column(name).to_pylist()])  # noqa: B023, E731
-        shingles, sub, sets = column("shingles", np.uint64), column("sub", np.int32), column("sets", np.int64)
-        order = np.lexsort((sets, sub, shingles))
-        shingles, sub, sets = shingles[order], sub[order], sets[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (shingles[1:] != shingles[:-1]) | (sub[1:] != sub[:-1])
-        first = new.copy()
-        first[1:] |= sets[1:] != sets[:-1]
-        shingles, sub, sets, new = shingles[first], sub[first], sets[first], new[first]
-        at = np.append(np.flatnonzero(new), len(new))
-        length = np.diff(at)
-        # A part of a hot shingle stays even with one class: it meets the other parts later.
-        keep = np.flatnonzero((length > 1) | (sub[at[:-1]] > 0))
-        seen, blocks, families, members = set(), [], [], []
-        for lo, n in zip(at[keep].tolist(), length[keep].tolist(), strict=True):
-            list_ = sets[lo:lo + n]
-            hot = int(sub[lo]) > 0
-            name = list_.tobytes() + (shingles[lo:lo + 1].tobytes() + sub[lo:lo + 1].tobytes() if hot else b"")
-            key = int.from_bytes(hashlib.blake2b(name, digest_size=8).digest(), "little", signed=True)
-            if key in seen:
-                continue
-            seen.add(key)
-            blocks.append(key)
-            families.append(int(shingles[lo:lo + 1].view(np.int64)[0]) if hot else None)
-            members.append(list_)
-        offsets = pa.array(np.append(0, np.cumsum([len(m) for m in members])).astype(np.int32))
-        lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*members, np.zeros(0, np.int64)])))
-        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(families, pa.int64()), lists], ["block", "family", "members"])
+def _block(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The classes under each shingle (and part of a hot one), where there are several; equal lists once.
+
+    Similar classes meet at the first shingle they share, so a class stays only where that shingle's place lets it
+    have a partner.  Parts of a hot shingle stay whole, and longer lists than PLACED.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs_of(batches, "bucket"):
+            column = lambda name, kind: np.concatenate([np.frombuffer(x, dtype=kind) for x in t.column(name).to_pylist()])  # noqa: B023, E731
+            short = column("shingles", np.uint8).reshape(-1, SHINGLE_BYTES)
+            shingles = np.zeros((len(short), 8), dtype=np.uint8)
+            shingles[:, :SHINGLE_BYTES] = short
+            shingles, sub, sets = shingles.view("<u8").ravel(), column("sub", np.int32), column("sets", np.int64)
+            size, place = column("sizes", np.uint16), column("places", np.uint8)
+            # Of two shingles with the same bytes in one class the place of the earlier counts.
+            order = np.lexsort((place, sets, sub, shingles))
+            shingles, sub, sets, size, place = shingles[order], sub[order], sets[order], size[order], place[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (shingles[1:] != shingles[:-1]) | (sub[1:] != sub[:-1])
+            first = new.copy()
+            first[1:] |= sets[1:] != sets[:-1]
+            shingles, sub, sets, size, place, new = shingles[first], sub[first], sets[first], size[first], place[first], new[first]
+            at = np.append(np.flatnonzero(new), len(new))
+            length = np.diff(at)
+            # Most lists are pairs, which are looked at together.
+            two = at[:-1][(length == 2) & (sub[at[:-1]] == 0)]
+            able = np.ones(len(new), bool)
+            able[two] = able[two + 1] = _may_link(size, place, percent, two, two + 1)
+            # A part of a hot shingle stays even with one class: it meets the other parts later.
+            keep = np.flatnonzero(((length > 1) & able[at[:-1]]) | (sub[at[:-1]] > 0))
+            seen, blocks, families, members = set(), [], [], []
+            for lo, n in zip(at[keep].tolist(), length[keep].tolist(), strict=True):
+                list_ = sets[lo:lo + n]
+                hot = int(sub[lo]) > 0
+                if not hot and 2 < n <= PLACED:
+                    list_ = list_[with_partner(size[lo:lo + n], place[lo:lo + n], percent)]
+                    if not len(list_):
+                        continue
+                name = list_.tobytes() + (shingles[lo:lo + 1].tobytes() + sub[lo:lo + 1].tobytes() if hot else b"")
+                key = int.from_bytes(hashlib.blake2b(name, digest_size=8).digest(), "little", signed=True)
+                if key in seen:
+                    continue
+                seen.add(key)
+                blocks.append(key)
+                families.append(int(shingles[lo]) if hot else None)
+                members.append(list_)
+            offsets = pa.array(np.append(0, np.cumsum([len(m) for m in members])).astype(np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*members, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(families, pa.int64()), lists], ["block", "family", "members"])
+
+    return run
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
@@ -351,11 +417,10 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block_se
     model = spark.sparkContext.broadcast((counts, _levels(counts), hot))
     buckets = max(partitions(spark), -(-int(totals["postings"] or 0) // BUCKET_POSTINGS))
 
-    posted = stored(texts.mapInArrow(_post(model, words, percent, buckets, block_sets), POSTINGS), "postings")
-    signatures = posted.where("bucket < 0").select("set_id", "n", "sig").dropDuplicates(["set_id"])
-    postings = posted.where("bucket >= 0").select("bucket", "shingles", "sub", "sets")
-    dealt = postings.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    blocks = stored(dealt.mapInArrow(_block, BLOCKS).dropDuplicates(["block"]), "blocks")
+    # Postings go to their buckets as they are made; the texts are read once more for the signatures, so neither is kept on disk.
+    dealt = texts.mapInArrow(_post(model, words, percent, buckets, block_sets), POSTINGS).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    blocks = stored(dealt.mapInArrow(_block(percent), BLOCKS).dropDuplicates(["block"]), "blocks")
+    signatures = texts.mapInArrow(_sign(model, words), "set_id bigint, n bigint, sig binary").dropDuplicates(["set_id"])
 
     # 1. Trees of signatures: classes without a possible partner go.
     entered = blocks.select("block", "family", F.explode("members").alias("set_id")).join(signatures, "set_id")

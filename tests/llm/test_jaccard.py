@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -139,3 +140,34 @@ def test_one_of_each_by_id_and_text(spark):
     assert kept([(5, a), (5, b), (3, b)]) == [(3, b), (5, a)]
     assert kept([(7, a), (7, a), (7, a)]) == [(7, a)]
     assert kept([(None, a), (None, a + " h")]) in ([(None, a)], [(None, a + " h")])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 60), min_size=1, max_size=40), min_size=2, max_size=30), st.sampled_from([50, 75, 90]))
+def test_places_lose_no_pair(sets, percent):
+    """Similar sets may link at the first shingle that they share."""
+    hashed = [np.unique(np.array([x * 0x9E3779B97F4A7C15 % 2**64 for x in s], dtype=np.uint64)) for s in sets]
+    levels = np.zeros(jaccard.CELLS, np.uint8)
+    fronts = [jaccard.prefix(s, levels, percent).tolist() for s in hashed]
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                x = next(x for x in fronts[i] if x in fronts[j])
+                size, place = jaccard.codes(np.array([len(hashed[i]), len(hashed[j])]), np.array([fronts[i].index(x), fronts[j].index(x)]))
+                assert jaccard.with_partner(size, place, percent).all()
+
+
+def test_places_keep_classes_out_of_blocks():
+    """A shingle at the end of two prefixes leaves too few behind it; one at their start makes a block."""
+    def blocks(places, sizes=None):
+        size, place = jaccard.codes(np.array(sizes or [200] * len(places)), np.array(places))
+        k = len(places)
+        row = {
+            "bucket": [0], "shingles": [np.full(k, 77, "<u8").view(np.uint8).reshape(-1, 8)[:, :jaccard.SHINGLE_BYTES].tobytes()],
+            "sub": [np.zeros(k, np.int32).tobytes()], "sets": [np.arange(k).tobytes()], "sizes": [size.tobytes()], "places": [place.tobytes()],
+        }
+        out = list(jaccard._block(75)(iter([pa.RecordBatch.from_pydict(row)])))
+        return [m for b in out for m in b.column("members").to_pylist()]
+
+    assert blocks([0, 5]) == [[0, 1]] and blocks([0, 45]) == [] and blocks([0, 0], (200, 140)) == []
+    assert blocks([0, 5, 45]) == [[0, 1]] and blocks([40, 45, 45]) == []
