@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskfeat.llm.words import ALPHANUMERIC, Words, byte_lengths, slices
+from riskfeat.llm.words import ALPHANUMERIC, Words, byte_lengths, give_back, slices
 from riskfeat.runtime import broadcast_if_small, shared_folder, stored
 
 WINDOW = 10
@@ -52,14 +52,21 @@ def _unpacked(width: int, gaps: bytes) -> np.ndarray:
 
 
 def _index_slice(ids: pa.Array, keys: pa.Array, texts: pa.Array, terms: np.ndarray, shard: int) -> pa.RecordBatch:
-    words = Words(texts, ALPHANUMERIC)
-    n_words = np.diff(words.bounds)
-    first = np.cumsum(n_words + GAP) - (n_words + GAP)
-    at = np.searchsorted(terms, words.hash)
-    known = np.flatnonzero((at < len(terms)) & (terms[np.minimum(at, len(terms) - 1)] == words.hash)) if len(terms) else np.zeros(0, int)
-    position = first[words.doc[known]] + known - words.bounds[words.doc[known]]
-    order = np.argsort(at[known], kind="stable")
-    term, position = at[known][order], position[order]
+    counts, term, position, passed = [], [], [], 0
+    # In portions, of which only the positions of known words stay.
+    for lo, hi in slices(texts):
+        words = Words(texts.slice(lo, hi - lo), ALPHANUMERIC)
+        n = np.diff(words.bounds)
+        first = passed + np.cumsum(n + GAP) - (n + GAP)
+        at = np.searchsorted(terms, words.hash)
+        known = np.flatnonzero((at < len(terms)) & (terms[np.minimum(at, len(terms) - 1)] == words.hash)) if len(terms) else np.zeros(0, int)
+        counts.append(n)
+        term.append(at[known])
+        position.append(first[words.doc[known]] + known - words.bounds[words.doc[known]])
+        passed += int((n + GAP).sum())
+    n_words, term, position = np.concatenate(counts), np.concatenate(term), np.concatenate(position)
+    order = np.argsort(term, kind="stable")
+    term, position = term[order], position[order]
     cuts = np.flatnonzero(np.diff(term, prepend=-1))
     lists = np.split(position, cuts[1:]) if len(cuts) else []
     packed = [_packed(x) for x in lists]
@@ -90,6 +97,7 @@ def _indexer(terms: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator
             for lo, hi in slices(texts, SHARD_BYTES):
                 yield _index_slice(batch.column("doc_id").slice(lo, hi - lo), batch.column("text_key").slice(lo, hi - lo), texts.slice(lo, hi - lo), terms, shard)
                 shard += 1
+        give_back()
 
     return run
 

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from riskfeat.llm.base import partitions
 from riskfeat.llm.components import components
 from riskfeat.llm.signature_trees import PERCENT, links, signature, tied, width_for
-from riskfeat.llm.words import NOT_BLANK, Words, mix, slices
+from riskfeat.llm.words import NOT_BLANK, Words, give_back, mix, slices
 from riskfeat.runtime import broadcast_if_small, stored
 
 WORDS = 5
@@ -117,6 +117,7 @@ def _describe(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
         packed = [zlib.compress(cells[k * CELL_BLOCK:(k + 1) * CELL_BLOCK].astype("<u4").tobytes(), 1) for k in used]
         none = [None] * len(used)
         yield batch(pa.array(none, pa.int64()), none, none, used, packed)
+        give_back()
 
     return run
 
@@ -182,6 +183,7 @@ def _post(model, words: int, percent: int, buckets: int, block_sets: int) -> Cal
             short = np.ascontiguousarray(shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SHINGLE_BYTES])
             cols = [pa.array(bucket[order][cuts]), *(pa.array([a[r].tobytes() for r in rows], pa.binary()) for a in (short, sub.astype(np.int32), of, size, place))]
             yield pa.RecordBatch.from_arrays(cols, ["bucket", "shingles", "sub", "sets", "sizes", "places"])
+        give_back()
 
     return run
 
@@ -195,6 +197,7 @@ def _sign(model, words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             rows = [(key, len(s), signature(s, int(width_for(len(s)))).tobytes()) for key, s in _own(b, hot, words)]
             ids, sizes, sigs = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], ["set_id", "n", "sig"])
+        give_back()
 
     return run
 
@@ -295,6 +298,7 @@ def _block(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             offsets = pa.array(np.append(0, np.cumsum([len(m) for m in members])).astype(np.int32))
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*members, np.zeros(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(families, pa.int64()), lists], ["block", "family", "members"])
+        give_back()
 
     return run
 
@@ -328,6 +332,7 @@ def _survive(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                 yield flush()
                 out.clear()
         yield flush()
+        give_back()
 
     return run
 
@@ -349,6 +354,7 @@ def _join_block(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
                 a, b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        give_back()
 
     return run
 
@@ -362,6 +368,7 @@ def _elements(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_id", "elements"]
                 )
+        give_back()
 
     return run
 

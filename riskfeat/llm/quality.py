@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskfeat.llm.words import NOT_BLANK, Words, slices, text_bytes
+from riskfeat.llm.words import NOT_BLANK, Words, give_back, slices, text_bytes
 from riskfeat.runtime import stored
 
 PASSAGE = 64
@@ -214,6 +214,7 @@ def _scorer(model, at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                 x, first = passages(texts.slice(lo, hi - lo))
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.value.score(x, first))], [*part.schema.names, "score"])
+        give_back()
 
     return run
 

@@ -6,7 +6,9 @@ modulo 2^64, moved to a common power and mixed, so no Python code runs per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
 from functools import lru_cache
 
 import numpy as np
@@ -34,6 +36,14 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+def give_back() -> None:
+    """Return freed memory to the system.  Python workers stay for later stages, with all they have held, unless told so."""
+    pa.default_memory_pool().release_unused()
+    # Only the GNU C library has this.
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _room(n: int) -> int:
     return max(SLICE_BYTES, 1 << max(0, n - 1).bit_length()) + 1
 

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from small import prose
 
@@ -88,3 +90,13 @@ def test_clean_keeps_rows_whole(spark, odd, nothing):
     assert sorted(r["text"] for r in gone) == ["a row without id", "one two three", "one two three"]
     assert dc.clean(nothing, item).count() == 0
     assert dc.clean(odd, item.limit(0)).count() == odd.count()
+
+
+def test_a_shard_is_indexed_in_portions(monkeypatch):
+    """Words of a shard are held a portion at a time; positions run on as in one piece."""
+    ids, texts = pa.array(range(9)), pa.array(["a b c d", "", "b a", "c " * 50, "d", "a-b", "x y z", "b", "a c"])
+    terms = np.unique(dc.Words(pa.array(["a b c d"]), dc.ALPHANUMERIC).hash)
+    whole = dc._index_slice(ids, ids, texts, terms, 0)
+    real, seen = dc.slices, []
+    monkeypatch.setattr(dc, "slices", lambda t: (seen.append(1), real(t, 8))[1])
+    assert dc._index_slice(ids, ids, texts, terms, 0).equals(whole) and seen
