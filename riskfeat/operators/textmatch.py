@@ -13,6 +13,7 @@ from riskfeat.functions.text import (
 )
 from riskfeat.operators.joins import fuzzy_token_pairs
 from riskfeat.operators.rows import first_per_key, top_k_dense
+from riskfeat.runtime import stored
 
 
 
@@ -30,13 +31,16 @@ def token_report(df: DataFrame, words: str, n: str, amount: str) -> DataFrame:
     ``token_freq`` is per distinct token; the other two are per total over the texts before they are
     split, so a text with three tokens counts three times and they add up to more than 100.
     """
-    grouped = df.select(F.explode(words).alias("token"), n, amount).groupBy("token").agg(
-        F.count(F.lit(1)).alias("occurrences"), F.sum(n).alias("n"), F.sum(amount).alias("amount")
-    )
-    totals = df.agg(F.struct(F.sum(n).alias("n"), F.sum(amount).alias("amount"))).scalar()
-    # All columns are read here, so that Spark finds the same grouping twice and runs it once.
-    whole = [F.count(F.lit(1)).alias("tokens"), F.sum("occurrences"), F.sum("n"), F.sum("amount")]
-    distinct_tokens = grouped.agg(F.struct(*whole)).scalar().getField("tokens")
+    # The texts are read once: a text's first row, which one without tokens has too, also brings its part of the totals.
+    rows = df.select(F.posexplode_outer(words).alias("_at", "token"), n, amount)
+    first, found = F.coalesce("_at", F.lit(0)) == 0, F.col("_at").isNotNull()
+    counts = stored(rows.groupBy("token").agg(
+        F.count("_at").alias("occurrences"), F.sum(F.when(found, F.col(n))).alias("n"), F.sum(F.when(found, F.col(amount))).alias("amount"),
+        F.sum(F.when(first, F.col(n))).alias("_n"), F.sum(F.when(first, F.col(amount))).alias("_amount"),
+    ), "token-counts")
+    totals = counts.agg(F.struct(F.sum("_n").alias("n"), F.sum("_amount").alias("amount"))).scalar()
+    grouped = counts.where("occurrences > 0").drop("_n", "_amount")
+    distinct_tokens = grouped.agg(F.count(F.lit(1))).scalar()
 
     def pct(part: Column, whole: Column) -> Column:
         return F.try_divide(part * 100, whole)

@@ -55,3 +55,8 @@ def test_texts_are_cleaned_below_the_explode_only(spark, name):
     """One cleaning takes three replacements; what comes after it reads its result."""
     text = plan(spark, name)
     assert text.count("regexp_replace") <= 3 * max(1, text.count("FileScan"))
+
+
+def test_token_report_cleans_texts_once(spark):
+    """Tokens, their number and the totals are read from counts that are put aside; no text is cleaned for them again."""
+    assert "regexp_replace" not in plan(spark, "token_report")
