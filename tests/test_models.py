@@ -83,3 +83,16 @@ def test_scoring_job(spark, tmp_path):
     out = M.score_job(spark, config)
     assert out.count() == 61 and out.where("prediction = 1").count() == 30
     spark.sql("drop table scored_rows")
+
+
+def test_text_classifier_cuts_texts_once(spark, monkeypatch):
+    """The fit and the scoring read stored vectors, not the texts."""
+    from riskfeat.plans import models as plans
+
+    seen = []
+    monkeypatch.setattr(plans.M, "fit_lr", lambda df: seen.append(df))
+    monkeypatch.setattr(plans.M, "score", lambda model, df, **_: df.withColumns({"prediction": F.lit(1.0), "p": F.lit(0.1)}))
+    texts = spark.createDataFrame([(1, "good words", 1.0), (2, "bad words", 0.0), (3, "more words", None)], "doc_id bigint, text string, label double")
+    monkeypatch.setattr(plans, "_labelled_texts", lambda s, d: texts)
+    assert plans.text_classifier(spark, "").count() == 1
+    assert "split(" not in seen[0]._jdf.queryExecution().toString()
