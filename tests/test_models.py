@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
@@ -96,3 +97,40 @@ def test_text_classifier_cuts_texts_once(spark, monkeypatch):
     monkeypatch.setattr(plans, "_labelled_texts", lambda s, d: texts)
     assert plans.text_classifier(spark, "").count() == 1
     assert "split(" not in seen[0]._jdf.queryExecution().toString()
+
+
+def test_counted_trees_equal_trees_over_rows(spark, monkeypatch):
+    """The same predictions as from all rows, while the rounds go through each row of bins and label once."""
+    rng = np.random.default_rng(5)
+    n = 3000
+    x = np.where(rng.random(n) < 0.3, 0.0, rng.exponential(size=n)).round(2)
+    z = rng.integers(0, 4, n).astype(float)
+    y = (rng.random(n) < 1 / (1 + np.exp(1 - x * (z - 1)))).astype(float)
+    rows = [(i, float(a), float(b), 7.0, float(c)) for i, (a, b, c) in enumerate(zip(x, z, y))]
+    df = spark.createDataFrame(rows, "id int, x double, z double, same double, label double")
+    plain = M.fit_gbt(P.assemble(df, ["x", "z", "same"]), rounds=5, depth=3).transform(P.assemble(df, ["x", "z", "same"]))
+
+    given, fit = [], M.GBTClassifier.fit
+    monkeypatch.setattr(M.GBTClassifier, "fit", lambda self, data: (given.append(data.count()), fit(self, data))[1])
+    counted = M.fit_gbt_counted(df, ["x", "z", "same"], rounds=5, depth=3).transform(df)
+    assert given[0] <= 2 * 32 * 4
+    p = lambda frame: {r["id"]: (r["prediction"], r["p"]) for r in frame.select("id", "prediction", M.probability_of(1).alias("p")).collect()}
+    want, got = p(plain), p(counted)
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and 0 < sum(v[0] for v in got.values()) < n
+    assert [got[k][1] for k in want] == pytest.approx([v[1] for v in want.values()])
+
+
+def test_split_points_follow_multiples_of_all_rows(spark):
+    values = [0.0] * 400 + [float(v) for v in range(1, 60)] + [100.0] * 200 + [101.0, 102.0, 103.0]
+    df = spark.createDataFrame([(v, float(i % 3), 1.0) for i, v in enumerate(values)], "a double, b double, c double")
+    seen = sorted(set(values))
+    want, rows, target = [], values.count(seen[0]), len(values) / 32
+    for lo, hi in zip(seen, seen[1:]):
+        if abs(rows - target) < abs(rows + values.count(hi) - target):
+            want.append((lo + hi) / 2)
+            target += len(values) / 32
+        rows += values.count(hi)
+    assert M.split_points(df, ["a", "b", "c"]) == {"a": want, "b": [0.5, 1.5], "c": []}
+    for bad in (None, float("nan"), float("inf")):
+        with pytest.raises(ValueError, match="must be numbers"):
+            M.split_points(spark.createDataFrame([(1.0,), (bad,)], "a double"), ["a"])
