@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from riskfeat.functions.columns import log_ratio
 from riskfeat.operators.ordered import running_totals, with_neighbours
 from riskfeat.operators.prepare import medians
-from riskfeat.operators.quantiles import quantile_rows
+from riskfeat.operators.quantiles import exact_quantiles, quantile_rows
 from riskfeat.operators.stats import feature_profile, long_features
 from riskfeat.runtime import broadcast_if_small, same, stored
 
@@ -22,7 +22,7 @@ MISSING_BIN = -1
 # --- quantile bins ----------------------------------------------------------------------------
 
 
-def quantile_edge_rows(values: DataFrame, keys: list[str], cells: int = 10, value: str = "value") -> DataFrame:
+def quantile_edge_rows(values: DataFrame, keys: list[str], cells: int = 10, value: str = "value", weight: str | None = None) -> DataFrame:
     """(keys…, edges): edges for the largest number of cells, at most ``cells``, without repeated edges.
 
     The quantiles of all cell numbers are found together.
@@ -31,7 +31,7 @@ def quantile_edge_rows(values: DataFrame, keys: list[str], cells: int = 10, valu
     at = {f: F.col("_q")[i] for i, f in enumerate(shares)}
     tries = [F.array(*[at[i / k] for i in range(k + 1)]) for k in range(cells, 1, -1)]
     edges = [F.when(F.size(F.array_distinct(e)) == F.size(e), e) for e in tries]
-    return quantile_rows(values, keys, value, shares, "_q").select(*keys, F.coalesce(*edges, F.array(at[0.0], at[1.0])).alias("edges"))
+    return quantile_rows(values, keys, value, shares, "_q", weight).select(*keys, F.coalesce(*edges, F.array(at[0.0], at[1.0])).alias("edges"))
 
 
 def _edges_passed(value: Column, most: int, passed) -> Column:
@@ -46,8 +46,8 @@ def quantile_bins(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (),
     return _binned(long_features(df, list(keep), cols), ["feature"], cells)
 
 
-def _binned(values: DataFrame, keys: list[str], cells: int) -> DataFrame:
-    edges = stored(quantile_edge_rows(values, keys, cells), "edges")
+def _binned(values: DataFrame, keys: list[str], cells: int, weight: str | None = None) -> DataFrame:
+    edges = stored(quantile_edge_rows(values, keys, cells, weight=weight), "edges")
     inner = edges.select(*keys, F.slice("edges", F.lit(2), F.size("edges") - 2).alias("_edges"))
     # Bins (a, b] counted from 0.
     table = broadcast_if_small(inner).alias("b")
@@ -55,17 +55,18 @@ def _binned(values: DataFrame, keys: list[str], cells: int) -> DataFrame:
     return joined.select("a.*", _edges_passed(F.col("value"), cells - 1, lambda v, e: v > e).alias("bin"))
 
 
-def woe_table(binned: DataFrame, label: str, keys: Sequence[str] = ("feature",), sign: str = "event") -> DataFrame:
+def woe_table(binned: DataFrame, label: str, keys: Sequence[str] = ("feature",), sign: str = "event", weight: str | None = None) -> DataFrame:
     """Per key and bin: min, max, events, total, shares, WOE and IV.
 
     ``sign`` "event" takes ln(event share / non-event share), "good" the opposite; the IV is the same.
-    A bin without events or without non-events has an infinite WOE and IV.
+    A bin without events or without non-events has an infinite WOE and IV.  With ``weight`` a row stands for as many
+    equal rows as that column says.
     """
-    keys = list(keys)
+    keys, n = list(keys), F.lit(1).cast("bigint") if weight is None else F.col(weight)
     shown = F.when(F.col("bin") == MISSING_BIN, F.lit(float(MISSING_BIN))).otherwise(F.col("value"))
     y = F.col(label).cast("bigint")
     bins = binned.groupBy(*keys, "bin").agg(
-        F.min(shown).alias("bin_min"), F.max(shown).alias("bin_max"), F.sum(y).alias("events"), F.count(F.lit(1)).alias("total")
+        F.min(shown).alias("bin_min"), F.max(shown).alias("bin_max"), F.sum(y * n).alias("events"), F.sum(n).alias("total")
     )
     totals = bins.groupBy(*keys).agg(F.sum("events").alias("_e"), F.sum(F.col("total") - F.col("events")).alias("_n"))
     joined = bins.alias("a").join(totals.alias("b"), same(keys)).select("a.*", "_e", "_n")
@@ -115,6 +116,13 @@ def select_by_iv(iv: DataFrame, limit: float = 0.0) -> DataFrame:
     return iv.where((F.col("iv") >= limit) & ~F.isnan("iv"))
 
 
+def _filled(v: Column, fill: str, mid: Column) -> Column:
+    """``v`` filled one way; a null ``mid`` is that of a column without median."""
+    if fill == "median":
+        v = F.coalesce(F.nullif(v, F.lit(0.0)), mid)
+    return F.coalesce(v, F.lit(0.0)) if fill in ("zero", "median") else v
+
+
 def fill_variants(df: DataFrame, cols: Sequence[str], fills: Sequence[str], numeric: Sequence[str] | None = None) -> dict[str, dict[str, Column]]:
     """Per fill name the column expressions: none keeps nulls, zero and median replace them.
 
@@ -122,45 +130,40 @@ def fill_variants(df: DataFrame, cols: Sequence[str], fills: Sequence[str], nume
     """
     numeric = list(cols if numeric is None else numeric)
     mid = medians(df, numeric, missing=0) if "median" in fills else {}
-    out: dict[str, dict[str, Column]] = {}
-    for fill in fills:
-        exprs = {}
-        for c in cols:
-            v = F.col(c).cast("double")
-            v = F.when(~F.isnan(v), v)
-            if fill == "zero":
-                v = F.coalesce(v, F.lit(0.0))
-            elif fill == "median":
-                if c in mid:
-                    v = F.coalesce(F.nullif(v, F.lit(0.0)), F.lit(mid[c]))
-                v = F.coalesce(v, F.lit(0.0))
-            exprs[c] = v
-        out[fill] = exprs
-    return out
-
-
-def _sweep_values(df, cols, label, segment, fills, numeric) -> DataFrame:
-    variants = fill_variants(df, cols, fills, numeric)
-    rows = F.array(
-        *[
-            F.struct(F.lit(fill).alias("fill"), F.lit(c).alias("feature"), e.alias("value"))
-            for fill, exprs in variants.items()
-            for c, e in exprs.items()
-        ]
-    )
-    return df.select(F.col(segment).alias("segment"), F.col(label).alias(label), F.inline(rows))
+    number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    return {fill: {c: _filled(number(c), fill, F.lit(mid.get(c)).cast("double")) for c in cols} for fill in fills}
+
+
+def value_counts(values: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys…, value, _n): how often each value comes per key, stored; nulls and NaN are values too."""
+    return stored(values.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_n")), "value-counts")
+
+
+def _sweep_counts(df, cols, label, segment, fills, numeric) -> DataFrame:
+    """(segment, label, fill, feature, value, _n).  Filling changes a value whatever its row, so the rows are counted once
+    and the counted values are filled in each way."""
+    given = long_features(df, [F.col(segment).alias("segment"), F.col(label).alias(label)], cols)
+    value = F.col("value")
+    counts = value_counts(given.withColumn("value", F.when(~F.isnan(value), value)), ["segment", label, "feature"])
+    mid = F.lit(None).cast("double")
+    if "median" in fills:
+        numbers = counts.where(F.col("feature").isin(list(cols if numeric is None else numeric)) & (value != 0))
+        for (feature,), q in exact_quantiles(numbers, ["feature"], "value", [0.5], "_n").items():
+            mid = F.when(F.col("feature") == feature, F.lit(q[0.5])).otherwise(mid)
+    filled = F.array(*[F.struct(F.lit(f).alias("fill"), _filled(value, f, mid).alias("value")) for f in fills])
+    return counts.select("segment", label, "feature", "_n", F.inline(filled))
 
 
 def iv_sweep(
     df: DataFrame, cols: Sequence[str], label: str, segment: str, fills: Sequence[str] = ("none", "zero", "median"),
     method: str = "quantile", cells: int = 10, numeric: Sequence[str] | None = None,
 ) -> DataFrame:
-    """(segment, fill, feature, iv) for every segment and fill method, from one long table."""
+    """(segment, fill, feature, iv) for every segment and fill method, from one long table of counted values."""
     keys = ["segment", "fill", "feature"]
-    values = _sweep_values(df, cols, label, segment, fills, numeric)
+    counts = _sweep_counts(df, cols, label, segment, fills, numeric)
     if method == "quantile":
-        return total_iv(woe_table(_binned(values, keys, cells), label, keys), keys)
-    return total_iv(_tree_table(values, keys, label, missing="bin"), keys)
+        return total_iv(woe_table(_binned(counts, keys, cells, "_n"), label, keys, weight="_n"), keys)
+    return total_iv(_tree_table(counts, keys, label, missing="bin"), keys)
 
 
 # --- entropy bins -----------------------------------------------------------------------------
@@ -176,20 +179,21 @@ def _nh(good: Column, bad: Column) -> Column:
     return -(part(good) + part(bad))
 
 
-def value_histogram(values: DataFrame, keys: list[str], label: str) -> DataFrame:
+def value_histogram(values: DataFrame, keys: list[str], label: str, weight: str | None = None) -> DataFrame:
     """Distinct values per key with the good and bad rows up to each, and the next value.
 
     Computed and stored once; every split of every leaf is then plain arithmetic on it.
     """
-    y = F.col(label).cast("int")
+    y, n = F.col(label).cast("int"), F.lit(1).cast("bigint") if weight is None else F.col(weight)
+    of = lambda cls: F.sum(F.when(y == cls, n).otherwise(0))
     present = values.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    hist = stored(present.groupBy(*keys, "value").agg(F.count_if(y == 0).alias("_g"), F.count_if(y == 1).alias("_b")))
+    hist = stored(present.groupBy(*keys, "value").agg(of(0).alias("_g"), of(1).alias("_b")))
     summed = running_totals(hist, keys, ["value"], {"_cg": "_g", "_cb": "_b"})
     ahead = with_neighbours(summed, keys, ["value"], ["value"], None, "_next")
     return stored(ahead.select(*keys, "value", F.col("_next.value").alias("_next"), "_g", "_b", "_cg", "_cb"))
 
 
-def tree_edge_rows(values: DataFrame, keys: list[str], label: str, leaves: int = 6, min_share: float = 0.05) -> DataFrame:
+def tree_edge_rows(values: DataFrame, keys: list[str], label: str, leaves: int = 6, min_share: float = 0.05, weight: str | None = None) -> DataFrame:
     """(keys…, edges): bin edges per key from a best-first entropy tree over one feature, for any number of keys.
 
     The open leaves of all keys are a table, the frontier.  Each round finds the best cut of the leaves made in the
@@ -197,7 +201,7 @@ def tree_edge_rows(values: DataFrame, keys: list[str], label: str, leaves: int =
     chooses the one with the largest gain (equal gains: the lowest cut), which becomes two leaves.  Rounds end when
     no key has a leaf left to cut.  A cut has to gain something, in 9 decimals.  Keys without values have no row.
     """
-    hist = value_histogram(values, keys, label)
+    hist = value_histogram(values, keys, label, weight)
     ends = stored(hist.groupBy(*keys).agg(
         F.min("value").alias("_min"), F.max("value").alias("_max"), F.max("_cg").alias("_lg"), F.max("_cb").alias("_lb")
     ), "ends")
@@ -253,21 +257,23 @@ def tree_boundaries(df: DataFrame, cols: Sequence[str], label: str, leaves: int
     return tree_edge_rows(long_features(df, [label], cols), ["feature"], label, leaves, min_share)
 
 
-def _tree_table(values: DataFrame, keys: list[str], label: str, missing: str, leaves: int = 6, min_share: float = 0.05) -> DataFrame:
-    edges = stored(tree_edge_rows(values, keys, label, leaves, min_share), "edges")
+def _tree_table(counts: DataFrame, keys: list[str], label: str, missing: str, leaves: int = 6, min_share: float = 0.05) -> DataFrame:
+    """The bins of values with their counts ``_n``; edges and bins are both made from the counts, not from the rows."""
+    edges = stored(tree_edge_rows(counts, keys, label, leaves, min_share, "_n"), "edges")
     inner = edges.select(*keys, F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0))).alias("_edges"))
     bin_of = _edges_passed(F.col("value"), leaves - 1, lambda v, e: v >= e)
-    binned = values.alias("a").join(broadcast_if_small(inner).alias("b"), same(keys), "left").select("a.*", bin_of.alias("bin"))
+    binned = counts.alias("a").join(broadcast_if_small(inner).alias("b"), same(keys), "left").select("a.*", bin_of.alias("bin"))
     if missing == "drop":
         binned = binned.where(F.col("bin") != MISSING_BIN)
-    return woe_table(binned, label, keys, sign="good")
+    return woe_table(binned, label, keys, "good", "_n")
 
 
 def tree_woe(
     df: DataFrame, cols: Sequence[str], label: str, missing: str = "drop", leaves: int = 6, min_share: float = 0.05
 ) -> DataFrame:
     """Good/bad table over entropy bins; nulls are left out, or are their own bin -1 with missing="bin"."""
-    t = _tree_table(long_features(df, [label], cols), ["feature"], label, missing, leaves, min_share)
+    counts = value_counts(long_features(df, [label], cols), [label, "feature"])
+    t = _tree_table(counts, ["feature"], label, missing, leaves, min_share)
     per = t.groupBy("feature").agg(F.sum("total").alias("_t"))
     return t.join(per, "feature").select(
         "feature", "bin", (F.col("total") - F.col("events")).alias("good"), F.col("events").alias("bad"), "total",

@@ -13,15 +13,18 @@ from riskfeat.runtime import same
 Key = tuple
 
 
-def quantile_rows(df: DataFrame, keys: list[str], value: str, fractions: Sequence[float], out: str = "quantiles") -> DataFrame:
+def quantile_rows(df: DataFrame, keys: list[str], value: str, fractions: Sequence[float], out: str = "quantiles", weight: str | None = None) -> DataFrame:
     """(keys…, out): the linearly interpolated quantiles of ``value`` per key, nulls and NaN left out.
 
+    With ``weight`` a row stands for as many equal rows as that column says.
+
     Rows are first summed to distinct values.  Running counts over these, which may span many tasks,
     tell which values hold the wanted ranks, and one aggregate picks them.
     """
     v = F.col(value).cast("double")
-    rows = df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    histogram = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    n = F.lit(1) if weight is None else F.col(weight)
+    rows = df.select(*keys, v.alias("_v"), n.cast("bigint").alias("_w")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    histogram = rows.groupBy(*keys, "_v").agg(F.sum("_w").alias("_n"))
     counted = running_totals(histogram, keys, ["_v"], {"_to": "_n"})
     sizes = counted.groupBy(*keys).agg(F.sum("_n").alias("_rows")) if keys else counted.agg(F.sum("_n").alias("_rows"))
     ranked = counted.alias("a").join(sizes.alias("b"), same(keys)).select("a.*", "_rows")
@@ -38,8 +41,8 @@ def quantile_rows(df: DataFrame, keys: list[str], value: str, fractions: Sequenc
     return found.select(*keys, F.array(*between).alias(out))
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, fractions: Sequence[float]) -> dict[Key, dict[float, float]]:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, fractions: Sequence[float], weight: str | None = None) -> dict[Key, dict[float, float]]:
     """The quantiles on the driver, for keys that the caller lists (columns of a table)."""
     fractions = sorted(set(fractions))
-    rows = quantile_rows(df, keys, value, fractions).collect()
+    rows = quantile_rows(df, keys, value, fractions, weight=weight).collect()
     return {tuple(r[k] for k in keys): dict(zip(fractions, r["quantiles"], strict=True)) for r in rows}

@@ -138,3 +138,34 @@ def test_tree_edges_of_odd_tables(spark):
     got = {r["k"]: r["edges"] for r in B.tree_edge_rows(spark.createDataFrame(rows, schema), ["k"], "label").collect()}
     assert got == {None: [1.0, 1.5, 2.1], "b": [1.0, 1.1], "c": [1.0, 2.0, 3.1]}
     assert B.tree_edge_rows(spark.createDataFrame([], schema), ["k"], "label").count() == 0
+
+
+def test_sweep_and_tree_table_read_the_rows_once(spark, monkeypatch):
+    """Edges, medians and bins come from stored counts of values: what is joined with the edges has no more rows than those."""
+    rng = np.random.default_rng(4)
+    n = 2000
+    x = [None if i % 9 == 0 else float("nan") if i % 31 == 0 else float(v) for i, v in enumerate(rng.integers(0, 12, n))]
+    rows = [(f"s{i % 2}", v, float(i % 3), int(rng.random() < 0.1 + 0.06 * (v if v and v == v else 0))) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "part string, x double, z double, y int")
+    seen, table = [], B.woe_table
+    monkeypatch.setattr(B, "woe_table", lambda binned, *a, **k: (seen.append(binned.count()), table(binned, *a, **k))[1])
+    p = pd.DataFrame(rows, columns=["part", "x", "z", "y"])
+    present = p.x[p.x.notna() & (p.x != 0)]
+    filled = {"none": p.x, "zero": p.x.fillna(0), "median": p.x.replace(0, np.nan).fillna(present.median())}
+    for method in ("quantile", "tree"):
+        got = {(r["segment"], r["fill"], r["feature"]): r["iv"] for r in B.iv_sweep(df, ["x", "z"], "y", "part", method=method).collect()}
+        assert len(got) == 12 and seen[-1] <= 2 * 2 * 3 * (13 + 3)
+        for part in ("s0", "s1"):
+            for fill, values in filled.items():
+                mine = p.part == part
+                one = make(spark, {"x": list(values[mine])}, list(p.y[mine]))
+                if method == "tree":
+                    want = B.tree_woe(one, ["x"], "label", missing="bin").agg({"iv": "sum"}).first()[0]
+                else:
+                    bins = pandas_bins(values[mine].to_numpy(float))
+                    e = p.y[mine].groupby(bins.to_numpy()).agg(["sum", "count"])
+                    good, bad = e["sum"] / e["sum"].sum(), (e["count"] - e["sum"]) / (e["count"] - e["sum"]).sum()
+                    want = ((good - bad) * np.log(good / bad)).sum()
+                assert got[part, fill, "x"] == pytest.approx(want)
+    B.tree_woe(df, ["x"], "y", missing="bin").collect()
+    assert seen[-1] <= 2 * 14
