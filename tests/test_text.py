@@ -102,3 +102,16 @@ def test_html_text(spark):
     assert one(spark, html, lambda c: X.html_text(c, "h1", "main")) == "A b c"
     assert one(spark, html, lambda c: X.html_text(c, "p", "x")) == "y"
     assert one(spark, html, lambda c: X.html_text(c, "h1", "mai")) == ""
+
+
+def test_letters_and_digits_are_those_of_the_negated_class(spark):
+    """Every code point, alone and between letters, is cleaned as the class [^A-Za-zÀ-ÿ0-9] says; it is written as ranges."""
+    from riskfeat.functions.fixed_values import NOT_LETTER_OR_DIGIT
+
+    assert "[^" not in NOT_LETTER_OR_DIGIT
+    code = F.when(F.col("id") < 0xD800, F.col("id")).otherwise(F.col("id") + 0x800)
+    one = F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(code), 8, "0"))), "UTF-32")  # after a mark of byte order
+    points = spark.range(0x110000 - 0x800).select(one.alias("c")).select("c", F.concat(F.lit("a "), "c", "c", F.lit("-b")).alias("t"))
+    differ = [~F.regexp_replace(x, NOT_LETTER_OR_DIGIT, " ").eqNullSafe(F.regexp_replace(x, "[^A-Za-zÀ-ÿ0-9]+", " ")) for x in ("c", "t")]
+    assert points.where(F.length("c") == 1).count() == 0x110000 - 0x800
+    assert points.where(differ[0] | differ[1]).count() == 0
