@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskfeat.llm import chat
 
@@ -88,3 +89,25 @@ def test_loss_is_read_from_the_expanded_examples(spark, long, tmp_path):
     assert few[5]["turns_sha256"] == got[5]["turns_sha256"] and len(few) == len(got)
     with pytest.raises(Exception, match="does not follow its context"):
         chat.digests(rows, made.withColumn("context_chars", made["context_chars"] + 1)).collect()
+
+
+@pytest.mark.parametrize("part", [chat.PART, 16])
+def test_examples_hold_their_whole_text(spark, long, tmp_path, monkeypatch, part):
+    monkeypatch.setattr(chat, "PART", part)
+    chat.write(spark.createDataFrame([(*r, 1, 1, 1) for r in ROWS], SCHEMA), str(tmp_path / "odd"))
+    for path, n in ((str(tmp_path / "odd"), 7), (long[1], 150)):
+        rows = chat.read(spark, path)
+        turns = {}
+        for r in sorted(rows.collect(), key=lambda r: r["seq"]):
+            turns.setdefault(r["conv_id"], []).append(r["text"])
+        made = chat.expand(rows, str(tmp_path / f"examples-{n}"))
+        got = spark.read.parquet(str(tmp_path / f"examples-{n}")).collect()
+        assert len(got) == n
+        for r in got:
+            assert r["text"] == "".join(turns[r["conv_id"]][:r["seq"] + 1])
+            assert r["text"][:r["context_chars"]] == "".join(turns[r["conv_id"]][:r["context_turns"]])
+            assert r["text"][r["loss_start"]:r["loss_end"]] + chat.END + "\n" == r["text"][r["context_chars"]:].split("\n", 1)[1]
+        # A context that is not that of the turns is found, though its length and the target are right.
+        other = made.withColumn("text", F.concat(F.lit("?"), F.substring("text", 2, 1 << 30)))
+        with pytest.raises(Exception, match="does not follow its context"):
+            chat.digests(rows, other).collect()
