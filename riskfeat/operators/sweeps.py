@@ -18,10 +18,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskfeat.operators.ordered import running_totals
 from riskfeat.runtime import drop_folder, shared_folder, ship
 
 #: Number of the models that learn from all rows, in the place of the fold that is left out.
@@ -31,6 +31,16 @@ MAX_STEPS = 100
 TOLERANCE = 1e-14
 #: Up to so many columns, the intercept's too, products of columns are made once for all models.
 PRODUCT_COLUMNS = 16
+#: Bytes of the margins that a pass works on at a time.
+IN_CACHE = 1 << 18
+#: Factors of one logarithm.
+LOG_AT_ONCE = 512
+#: Rows whose scores are sorted at a time, and rows of a range of scores, about.
+SCORES, POINTS = 1 << 17, 1 << 20
+#: Ranges of a table of more rows than that, at least: a task hands on small pieces.
+RANGES = 160
+#: Rows that the ranges of scores are taken from.
+RANGED = 20_000
 #: Subsets of an elimination that are fitted side by side.
 AHEAD = 16
 
@@ -225,37 +235,68 @@ def _sums(names: Sequence[str], centre: np.ndarray, scale: np.ndarray, fits: Seq
     names = list(names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size = len(names) + 1
+        size, models = len(names) + 1, len(left_out)
         upper = np.triu_indices(size)
-        loss = np.zeros(len(left_out))
-        gradient = np.zeros((size, len(left_out)))
-        curvature = np.zeros((len(left_out), len(upper[0])))
+        loss = np.zeros(models)
+        gradient = np.zeros((size, models))
+        curvature = np.zeros((models, len(upper[0])))
         few = size <= PRODUCT_COLUMNS
+        step = max(1, IN_CACHE // (8 * models))
         for b in batches:
             z = np.ones((len(b), size))
             z[:, :-1] = (b[names].to_numpy(dtype=float) - centre) / scale
-            y = b["label"].to_numpy(dtype=float)[:, None]
-            margin = z @ places
-            w = weights.T[y[:, 0].astype(int)] * (b["fold"].to_numpy()[:, None] != left_out)
-            # One exponential and one logarithm a margin; neither can overflow, and small tails keep their digits.
-            tail = np.exp(-np.abs(margin))
-            whole = 1.0 + tail
-            p, q = np.where(margin >= 0, 1.0, tail) / whole, np.where(margin >= 0, tail, 1.0) / whole
-            loss += (w * (np.maximum(margin, 0.0) + np.log1p(tail) - y * margin)).sum(axis=0)
-            gradient += z.T @ (w * (p - y))
-            bend = w * p * q
-            if few:
-                # All models share the products of the columns.
-                curvature += bend.T @ (z[:, upper[0]] * z[:, upper[1]])
-                continue
-            for k in range(len(left_out)):
-                curvature[k] += (z.T @ (bend[:, k, None] * z))[upper]
-        rows = [np.concatenate([[loss[k]], gradient[:, k], curvature[k]]) for k in range(len(left_out))]
-        yield pd.DataFrame({"fit": np.arange(len(left_out), dtype="int32"), "sums": rows})
+            cls, fold = b["label"].to_numpy().astype(int), b["fold"].to_numpy()
+            # Rows of one fold and class have the same models, and one weight in each.
+            for f in np.unique(fold):
+                learn = np.flatnonzero(left_out != f)
+                for c in (0, 1):
+                    at = np.flatnonzero((fold == f) & (cls == c))
+                    if not len(learn) or not len(at):
+                        continue
+                    w, side = weights[learn, c], 1.0 - 2.0 * c
+                    found = _of_class(z[at] * side, places[:, learn], step, upper if few else None)
+                    loss[learn] += w * found[0]
+                    gradient[:, learn] += w * found[1]
+                    curvature[learn] += w[:, None] * found[2]
+        rows = [np.concatenate([[loss[k]], gradient[:, k], curvature[k]]) for k in range(models)]
+        yield pd.DataFrame({"fit": np.arange(models, dtype="int32"), "sums": rows})
 
     return run
 
 
+def _of_class(z: np.ndarray, places: np.ndarray, step: int, upper: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Loss, gradient and upper second derivatives per model of rows that pull one way: log(1 + exp(z · place)).
+
+    ``step`` rows at a time, so that what is between stays in a core's cache.  With ``upper`` all models share the products of
+    the columns.
+    """
+    size, models = places.shape
+    loss, gradient = np.zeros(models), np.zeros((size, models))
+    triangle = np.triu_indices(size)
+    curvature = np.zeros((models, len(triangle[0])))
+    for k in range(0, len(z), step):
+        part = z[k:k + step]
+        margin = part @ places
+        # One exponential a margin; it cannot overflow, and small tails keep their digits.
+        tail = np.exp(-np.abs(margin))
+        whole = 1.0 + tail
+        # Factors of at most 2: the product of LOG_AT_ONCE of them is a number, and needs one logarithm.
+        for c in range(0, len(part), LOG_AT_ONCE):
+            loss += np.log(np.multiply.reduce(whole[c:c + LOG_AT_ONCE], axis=0))
+        loss += np.maximum(margin, 0.0).sum(axis=0)
+        near = np.divide(1.0, whole, out=whole)
+        tail *= near
+        p = np.where(margin >= 0, near, tail)
+        gradient += part.T @ p
+        tail *= near
+        if upper is not None:
+            curvature += tail.T @ (part[:, upper[0]] * part[:, upper[1]])
+            continue
+        for m in range(models):
+            curvature[m] += (part.T @ (tail[:, m, None] * part))[triangle]
+    return loss, gradient, curvature
+
+
 # --- grids ------------------------------------------------------------------------------------
 
 
@@ -263,15 +304,109 @@ def grid(reg: Sequence[float] = (0.0,), mixing: Sequence[float] = (0.0,), weight
     return [Candidate(r, m, w) for r in reg for m in mixing for w in weights]
 
 
-def _areas(rows: DataFrame, names: Sequence[str], models: DataFrame) -> DataFrame:
-    """(candidate, fold, area): each row is scored by the models that did not see its fold; ties count half."""
-    margin = reduce(lambda total, i: total + F.col("slopes")[i] * F.col(names[i]), range(len(names)), F.col("intercept"))
-    # A row per candidate and fold at most.
-    scored = rows.join(F.broadcast(models), "fold").select("candidate", "fold", "label", margin.alias("score"))
-    points = scored.groupBy("candidate", "fold", "score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
-    counted = running_totals(points, ["candidate", "fold"], [F.desc("score")], {"tp": "pos"})
-    half = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
-    return counted.groupBy("candidate", "fold").agg(F.try_divide(half, F.sum("pos").cast("double") * F.sum("neg")).alias("area"))
+def _distinct(score: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct scores by falling size, with their numbers of both classes; NaN is one score, the largest."""
+    order = np.argsort(score)[::-1]
+    score = score[order]
+    if not len(score):
+        return score, pos, neg
+    new = (score[1:] != score[:-1]) & ~(np.isnan(score[1:]) & np.isnan(score[:-1]))
+    first = np.flatnonzero(np.r_[True, new])
+    return score[first], np.add.reduceat(pos[order], first), np.add.reduceat(neg[order], first)
+
+
+def _areas(rows: DataFrame, names: Sequence[str], models: Sequence[tuple[int, int, list[float], float]], n_rows: float) -> DataFrame:
+    """(candidate, fold, area): each row is scored by the models (candidate, fold, slopes, intercept) that did not see its
+    fold; ties count half.
+
+    A task sorts the scores it has, adds up equal ones and deals them out by ranges; a range's points come together sorted, and
+    what ranges add to each other follows from their sums.  The ranges are quantiles of some rows' scores: they
+    say where a point is counted and nothing about the area.
+    """
+    names, models = list(names), list(models)
+    ranges = max(RANGES, int(n_rows // POINTS)) if n_rows > POINTS else 1
+
+    def scores(x: list[np.ndarray], slopes: list[float], intercept: float) -> np.ndarray:
+        with np.errstate(all="ignore"):
+            return reduce(lambda total, i: total + slopes[i] * x[i], range(len(names)), np.full(len(x[0]), intercept))
+
+    some = rows.sample(min(1.0, RANGED / max(n_rows, 1.0)), seed=7).limit(2 * RANGED).toArrow() if ranges > 1 else None
+    borders = []
+    for _, _, slopes, intercept in models:
+        found = scores([some.column(x).to_numpy() for x in names], slopes, intercept) if some is not None and some.num_rows else np.zeros(0)
+        found = np.sort(found[np.isfinite(found)])
+        # A score belongs to the first range whose lower end it reaches; ranges go by falling scores.
+        borders.append(np.unique(found[np.arange(1, ranges) * len(found) // ranges]) if len(found) else np.zeros(0))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        n = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            x = [np.concatenate([h[i] for h in held]) for i in range(len(names))]
+            one, fold = (np.concatenate([h[i] for h in held]) for i in (-2, -1))
+            dealt = []
+            for m, (_, k, slopes, intercept) in enumerate(models):
+                at = np.flatnonzero(fold == k)
+                if not len(at):
+                    continue
+                pos = one[at].astype(np.int64)
+                score, pos, neg = _distinct(scores([v[at] for v in x], slopes, intercept), pos, 1 - pos)
+                part = len(borders[m]) - np.searchsorted(borders[m], score, side="right")
+                part[np.isnan(score)] = 0
+                ends = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+                dealt += [(m, int(part[a]), score[a:b].tobytes(), pos[a:b].tobytes(), neg[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*dealt), kinds)], ["model", "part", "score", "pos", "neg"]) if dealt else empty
+
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        empty = pa.RecordBatch.from_arrays([pa.array([], t) for t in kinds], ["model", "part", "score", "pos", "neg"])
+        for b in batches:
+            held.append((*[b.column(x).to_numpy() for x in names], b.column("label").to_numpy() == 1.0, b.column("fold").to_numpy()))
+            n += b.num_rows
+            if n >= SCORES:
+                yield from out()
+                held, n = [], 0
+        if n:
+            yield from out()
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per (model, part), whose rows follow each other: its numbers of both classes, and its pairs in the right order."""
+        current, held, points, least, done = None, [], 0, 0, []
+
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            return _distinct(*(np.concatenate([h[i] for h in held]) for i in range(3)))
+
+        def close() -> None:
+            if current is not None:
+                _, pos, neg = merged()
+                above = np.cumsum(pos)
+                done.append((*current, int(pos.sum()), int(neg.sum()), float(np.sum(neg * (above - pos / 2)))))
+
+        for b in batches:
+            for m, part, score, pos, neg in zip(*(b.column(c).to_pylist() for c in ("model", "part", "score", "pos", "neg"))):
+                if (m, part) != current:
+                    close()
+                    current, held, points, least = (m, part), [], 0, 0
+                held.append((np.frombuffer(score), np.frombuffer(pos, np.int64), np.frombuffer(neg, np.int64)))
+                points += len(held[-1][0])
+                if points > 2 * least + POINTS:
+                    held = [merged()]
+                    points = least = len(held[0][0])
+        close()
+        if done:
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), kinds)], ["model", "part", "pos", "neg", "half"])
+
+    pieces = rows.select(*names, "label", "fold").mapInArrow(deal, "model int, part int, score binary, pos binary, neg binary")
+    together = pieces.repartition("model", "part").sortWithinPartitions("model", "part")
+    sums = together.mapInArrow(add_up, "model int, part int, pos bigint, neg bigint, half double")
+    above = Window.partitionBy("model").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    half = F.sum(F.col("half") + F.col("neg").cast("double") * F.col("above"))
+    whole = sums.withColumn("above", F.coalesce(F.sum("pos").over(above), F.lit(0))).groupBy("model").agg(
+        F.try_divide(half, F.sum("pos").cast("double") * F.sum("neg")).alias("area")
+    )
+    named = rows.sparkSession.createDataFrame([(m, c, k) for m, (c, k, _, _) in enumerate(models)], "model int, candidate int, fold int")
+    return whole.join(F.broadcast(named), "model").select("candidate", "fold", "area")
 
 
 def logistic_sweep(
@@ -296,12 +431,9 @@ def logistic_sweep(
         table = [(c, k, a, None if v is None else v[i]) for (c, k), v in values.items() for i, a in enumerate(named)]
         spark = df.sparkSession
         coefficients = spark.createDataFrame(table, "candidate int, fold int, feature string, coefficient double")
-        models = spark.createDataFrame(
-            [(c, k, v[:-1], v[-1]) for (c, k), v in values.items() if v is not None and k != ALL_ROWS],
-            "candidate int, fold int, slopes array<double>, intercept double",
-        )
+        models = [(c, k, v[:-1], v[-1]) for (c, k), v in values.items() if v is not None and k != ALL_ROWS]
         # At most one row per candidate and fold.
-        areas = {(r["candidate"], r["fold"]): r["area"] for r in _areas(rows.table, rows.names, models).collect()}
+        areas = {(r["candidate"], r["fold"]): r["area"] for r in _areas(rows.table, rows.names, models, rows.n.sum()).collect()}
         found = [(c, k, areas.get((c, k))) for c in range(len(candidates)) for k in range(folds)]
         return Sweep(coefficients, spark.createDataFrame(found, "candidate int, fold int, area double"), rows.passes)
     finally:

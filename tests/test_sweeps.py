@@ -70,6 +70,29 @@ def test_areas_equal_brute_force(spark, data):
         assert r["area"] == pytest.approx(wins / len(pos) / len(neg))
 
 
+def test_areas_by_ranges_of_scores(spark, monkeypatch):
+    # Ranges, ties over their ends, flushes of some rows, a score for all rows, NaN as the largest, a fold of one class.
+    rng = np.random.default_rng(8)
+    rows = [(float(rng.integers(-30, 30)), float(rng.normal()), float(rng.integers(0, 2)), int(rng.integers(0, 2))) for _ in range(900)]
+    rows += [(0.0, float("inf"), float(k % 2), 0) for k in range(5)] + [(1.0, 1.0, 1.0, 2)] * 3
+    table = spark.createDataFrame(rows, "x0 double, x1 double, label double, fold int").repartition(3)
+    models = [(0, 0, [1.0, 0.0], 0.5), (1, 0, [0.3, 1.0], 0.0), (0, 1, [0.0, 0.0], 1.0), (1, 1, [-1.0, 1e-3], 0.0), (0, 2, [1.0, 0.0], 0.0)]
+    want = {}
+    for c, k, slopes, intercept in models:
+        with np.errstate(all="ignore"):
+            scored = [(intercept + slopes[0] * x0 + slopes[1] * x1, y) for x0, x1, y, f in rows if f == k]
+        rank = [(np.inf if np.isnan(m) else m, np.isnan(m), y) for m, y in scored]
+        pos, neg = [r[:2] for r in rank if r[2] == 1], [r[:2] for r in rank if r[2] == 0]
+        wins = sum(1.0 if p > q else 0.5 if p == q else 0.0 for p in pos for q in neg)
+        want[c, k] = wins / len(pos) / len(neg) if pos and neg else None
+    for points, scores in ((1 << 20, 1 << 17), (10, 64)):
+        monkeypatch.setattr(S, "POINTS", points)
+        monkeypatch.setattr(S, "SCORES", scores)
+        got = {(r["candidate"], r["fold"]): r["area"] for r in S._areas(table, ["x0", "x1"], models, float(len(rows))).collect()}
+        assert got.pop((0, 2)) is None and want[0, 2] is None
+        assert got == pytest.approx({at: a for at, a in want.items() if a is not None}, abs=1e-12)
+
+
 def test_odd_rows_leave_the_fit_alone(spark, data):
     nan, inf = float("nan"), float("inf")
     odd = [(1, None, 1.0, 1.0, 1.0, 1.0, 1.0), (2, nan, 1.0, 1.0, 1.0, 1.0, 1.0), (3, 1.0, inf, 1.0, 1.0, 1.0, 0.0), (None, 1.0, 1.0, 1.0, 1.0, 1.0, None), (4, 1.0, 1.0, 1.0, 1.0, 1.0, 2.0)]
